@@ -17,9 +17,9 @@ import base64
 import hashlib
 import heapq
 import json
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,8 @@ from lodestone.llm.common import gather, read, slices, strings, utf8
 
 #: Characters with Unicode's White_Space property, for engines whose \s is ASCII alone.
 SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-CACHED_BYTES, CACHED_WORDS = 64, 1 << 20
+#: Words kept by a worker; ids are kept as bytes, about 200 bytes a word in all.
+CACHED_BYTES, CACHED_WORDS = 64, 1 << 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -95,18 +96,22 @@ class Bpe:
         self.ranks = load_ranks(path)
         self.pieces = {v: k for k, v in self.ranks.items()}
         self.words = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
-        self.chunks: dict[str, list[int]] = {"": []}
+        self.known: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {"": b""}
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
+        """Little-endian ids of one word."""
         if (ids := self.known.get(word)) is None:
-            ids = fold_merges(raw := word.encode(), self.ranks)
+            folded = fold_merges(raw := word.encode(), self.ranks)
+            ids = struct.pack(f"<{len(folded)}I", *folded)
             if len(raw) <= CACHED_BYTES:
+                if len(self.known) >= CACHED_WORDS:
+                    self.known.clear()
                 self.known[word] = ids
         return ids
 
-    def chunk(self, text: str) -> list[int]:
-        return [i for w in self.words(text) for i in self.word(w)]
+    def chunk(self, text: str) -> bytes:
+        return b"".join(map(self.word, self.words(text)))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text.
@@ -115,10 +120,6 @@ class Bpe:
         never goes from a word over a space. Texts with a space inside a longer run of blanks, of which the
         pattern sees the end, go through whole.
         """
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        if len(self.chunks) > CACHED_WORDS:
-            self.chunks = {"": []}
         off, data = utf8(texts)
         whole = strings(off, data.tobytes())
         odd = pc.match_substring_regex(whole, rf"[{SPACES}] (?:[{SPACES}]|\z)|\A (?:[{SPACES}]|\z)").to_numpy(zero_copy_only=False)
@@ -133,16 +134,18 @@ class Bpe:
             if (known := self.chunks.get(x)) is None:
                 known = self.chunk(x)
                 if len(x) <= CACHED_BYTES:
+                    if len(self.chunks) >= CACHED_WORDS:
+                        self.chunks = {"": b""}
                     self.chunks[x] = known
             ids.append(known)
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum()))
+        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
         out, take = gather(flat, lens, words.indices.to_numpy()) if len(words) else (flat, np.zeros(0, np.int64))
         counts = np.diff(np.r_[0, np.cumsum(take)][bounds])
         if odd.any():
             at = np.flatnonzero(odd)
             stops = np.cumsum(counts)
-            own = [np.array(self.chunk(whole[int(i)].as_py()), np.uint32) for i in at]
+            own = [np.frombuffer(self.chunk(whole[int(i)].as_py()), "<u4") for i in at]
             out = np.insert(out, np.repeat(stops[at], [len(x) for x in own]), np.concatenate(own))
             counts[at] += [len(x) for x in own]
         return out, counts

@@ -121,7 +121,7 @@ def bag_names(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int)
 def _sketcher(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 doc, shingle, weight, words = bags(part.column("text"))
                 n = part.num_rows
                 names = [x.tobytes() for x in bag_names(doc, shingle, weight, n)]
@@ -145,7 +145,7 @@ def _verifier(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text_b"):
+            for part in slices(batch, "text_b", 4 << 20):
                 n = part.num_rows
                 both = pa.concat_arrays([part.column("text_a").cast(pa.large_string()), part.column("text_b").cast(pa.large_string())])
                 # a hub's text comes up again and again: each distinct text is read once

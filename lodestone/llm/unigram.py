@@ -29,7 +29,7 @@ from lodestone.llm.common import read, slices, strings, utf8
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHED_CHARS, CACHED_WORDS = 64, 1 << 20
+CACHED_CHARS, CACHED_WORDS = 64, 1 << 18
 
 
 def load_pieces(path: str) -> list[tuple[str, float]]:
@@ -75,12 +75,12 @@ class Unigram:
         if (found := self.known.get(text)) is None:
             found = self.count(text)
             if len(text) <= CACHED_CHARS:
+                if len(self.known) >= CACHED_WORDS:
+                    self.known.clear()
                 self.known[text] = found
         return found
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
         off, data = utf8(texts)
         whole = strings(off, data.tobytes())
         odd = pc.match_substring_regex(whole, rf"  |\A | \z|{MARK}").to_numpy(zero_copy_only=False) if self.breaks else np.ones(len(texts), bool)
