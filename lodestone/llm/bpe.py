@@ -27,12 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import gather, read, slices, strings, utf8
+from lodestone.llm.common import Recent, gather, read, slices, strings, utf8
 
 #: Characters with Unicode's White_Space property, for engines whose \s is ASCII alone.
 SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Words kept by a worker; ids are kept as bytes, about 200 bytes a word in all.
-CACHED_BYTES, CACHED_WORDS = 64, 1 << 18
+KEPT_BYTES, KEPT_WORDS = 64, 1 << 17
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -96,18 +96,15 @@ class Bpe:
         self.ranks = load_ranks(path)
         self.pieces = {v: k for k, v in self.ranks.items()}
         self.words = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {"": b""}
+        self.known, self.chunks = Recent(KEPT_WORDS), Recent(KEPT_WORDS)
 
     def word(self, word: str) -> bytes:
         """Little-endian ids of one word."""
         if (ids := self.known.get(word)) is None:
             folded = fold_merges(raw := word.encode(), self.ranks)
             ids = struct.pack(f"<{len(folded)}I", *folded)
-            if len(raw) <= CACHED_BYTES:
-                if len(self.known) >= CACHED_WORDS:
-                    self.known.clear()
-                self.known[word] = ids
+            if len(raw) <= KEPT_BYTES:
+                self.known.put(word, ids)
         return ids
 
     def chunk(self, text: str) -> bytes:
@@ -133,10 +130,8 @@ class Bpe:
         for x in words.dictionary.to_pylist():
             if (known := self.chunks.get(x)) is None:
                 known = self.chunk(x)
-                if len(x) <= CACHED_BYTES:
-                    if len(self.chunks) >= CACHED_WORDS:
-                        self.chunks = {"": b""}
-                    self.chunks[x] = known
+                if len(x) <= KEPT_BYTES:
+                    self.chunks.put(x, known)
             ids.append(known)
         lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")

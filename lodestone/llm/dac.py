@@ -15,8 +15,8 @@ segment; an empty table gives an empty file; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
-import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -33,8 +33,9 @@ from lodestone.llm.common import gather, new_path, read, slices, strings, utf8
 BLOCK = 512
 #: Blanks that part words for certain under the tokenizer's normaliser, all written as a space.
 BLANKS = bytes(0x20 if c in b"\t\n\r" else c for c in range(256))
-#: Pieces kept by a worker; ids are kept as bytes, about 200 bytes a piece in all.
-CACHED_CHARS, CACHED_PIECES = 64, 1 << 18
+LOWERED = bytes(c + 32 if 65 <= c <= 90 else BLANKS[c] for c in range(256))
+#: A letter and the ASCII punctuation behind it.
+EDGE = r"(\p{L})([!-&(-/:-@\[-`{-~])"
 
 
 # ---- the code ----
@@ -82,36 +83,72 @@ def dac_decode(chunks: list[bytes], more: list[bytes]) -> np.ndarray:
 # ---- the tokenizer ----
 
 class Pieces:
-    """Ids of texts by a tokenizers file whose words never cross a blank: each distinct piece between blanks is encoded once."""
+    """Ids of texts by a tokenizers file whose words never cross a blank and end in a marked piece.
+
+    A text is cut at blanks, and between a letter and ASCII punctuation (not the apostrophe of a contraction),
+    where the tokenizer cuts too. Each distinct piece of a run of texts is encoded once. Pieces of letters
+    alone are one word each, so many go through the tokenizer as one text, and the ids are parted behind each
+    word's last piece.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.last[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
+
+    def encode(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def distinct(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, the number of ids of each run of them, and which run each piece has."""
+        plain = np.fromiter(map(str.isalpha, pieces), bool, len(pieces))
+        order, flat, lens = [], [], []
+        at = np.flatnonzero(plain)
+        odd = np.flatnonzero(~plain).tolist()
+        for a in range(0, len(at), 512):
+            some = at[a : a + 512].tolist()
+            ids = self.encode([" ".join([pieces[i] for i in some])])[0]
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) != len(some) or ends[-1] + 1 != len(ids):
+                odd += some  # a letter that lower-cases to more than letters
+                continue
+            order += some
+            flat.append(ids)
+            lens.append(np.diff(np.r_[-1, ends]))
+        for a in range(0, len(odd), 4096):
+            some = odd[a : a + 4096]
+            found = self.encode([pieces[i] for i in some])
+            order += some
+            flat += found
+            lens.append(np.fromiter(map(len, found), np.int64, len(found)))
+        run = np.empty(len(pieces), np.int64)
+        run[order] = np.arange(len(pieces))
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        return join(flat, np.uint32), join(lens, np.int64), run
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
         off, data = utf8(texts)
-        parts = pc.split_pattern(strings(off, data.tobytes().translate(BLANKS)), " ")
+        raw = data.tobytes()
+        # composing marks could make one letter of two: then A-Z is left to the tokenizer
+        special = b"<|" in raw
+        whole = strings(off, raw.translate(BLANKS if special or b"\xcc" in raw or b"\xcd" in raw else LOWERED))
+        cut = pc.replace_substring_regex(whole, EDGE, r"\1 \2")
+        if special:  # strings of special tokens stay in one piece
+            cut = pc.if_else(pc.match_substring(whole, "<|"), whole, cut)
+        parts = pc.split_pattern(cut, " ")
         words = parts.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        new = [x for x in distinct if x not in self.known]
-        fresh = {}
-        for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                fresh[x] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        ids = [fresh[x] if x in fresh else self.known[x] for x in distinct]
-        if len(self.known) + len(fresh) > CACHED_PIECES:
-            self.known = {"": b""}
-        self.known.update((k, v) for k, v in fresh.items() if len(k) <= CACHED_CHARS)
-        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
         if not len(words):
-            return flat, np.zeros(len(texts), np.int64)
-        out, take = gather(flat, lens, words.indices.to_numpy())
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        flat, lens, run = self.distinct(words.dictionary.to_pylist())
+        out, take = gather(flat, lens, run[words.indices.to_numpy()])
         ends = np.r_[0, np.cumsum(take)][parts.offsets.to_numpy() - parts.offsets[0].as_py()]
         return out, np.diff(ends)
 
@@ -143,7 +180,7 @@ def _writer(tokenizer: str, end_id: int, segment_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, KINDS)], names=[x.split()[0] for x in SEGMENT.split(", ")])
 
         for batch in batches:
-            for run in slices(batch, "text"):
+            for run in slices(batch, "text", 4 << 20):
                 flat, counts = pieces(tokenizer)(run.column("text"))
                 stops = np.cumsum(counts)
                 flat, stops = np.insert(flat, stops, np.uint32(end_id)), stops + np.arange(1, len(stops) + 1)

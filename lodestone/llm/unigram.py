@@ -25,11 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import read, slices, strings, utf8
+from lodestone.llm.common import Recent, read, slices, strings, utf8
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHED_CHARS, CACHED_WORDS = 64, 1 << 18
+KEPT_CHARS, KEPT_WORDS = 64, 1 << 17
 
 
 def load_pieces(path: str) -> list[tuple[str, float]]:
@@ -50,7 +50,7 @@ class Unigram:
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
         self.breaks = all(MARK not in p.lstrip(MARK) and (p.strip(MARK) or len(p) > 0) for p, _ in pieces) and all(float(s).is_integer() for _, s in pieces) and not any(p.startswith(MARK * 2) and p.strip(MARK) for p, _ in pieces)
-        self.known: dict[str, tuple[int, float]] = {}
+        self.known = Recent(KEPT_WORDS)
 
     def count(self, text: str) -> tuple[int, float]:
         """Pieces and score of the best path over text."""
@@ -74,10 +74,8 @@ class Unigram:
     def word(self, text: str) -> tuple[int, float]:
         if (found := self.known.get(text)) is None:
             found = self.count(text)
-            if len(text) <= CACHED_CHARS:
-                if len(self.known) >= CACHED_WORDS:
-                    self.known.clear()
-                self.known[text] = found
+            if len(text) <= KEPT_CHARS:
+                self.known.put(text, found)
         return found
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
