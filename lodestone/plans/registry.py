@@ -1,9 +1,9 @@
 """All queries and oracles by name."""
 
-from lodestone.plans import text
+from lodestone.plans import basics, graphs, learning, places, text
 
 QUERIES = {}
 ORACLES = {}
-for module in (text,):
+for module in (basics, text, graphs, places, learning):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

@@ -2,14 +2,55 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lodestone.operators import text as T
+from lodestone.plans.inputs import bodies, table
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+')"
 
 
 def word_counts(spark, sf_dir):
-    return T.word_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return T.word_counts(table(spark, sf_dir, "documents"))
+
+
+def word_counts_pages(spark, sf_dir):
+    return T.word_counts(table(spark, sf_dir, "pages"), "html")
+
+
+def inverted_index(spark, sf_dir):
+    return T.inverted_index(table(spark, sf_dir, "documents"))
+
+
+def _digest(name: str, n: str):
+    return F.md5(F.array_join(F.transform(name, lambda x: x.cast("string")), " ").cast("binary")).alias(n)
+
+
+def suffix_array(spark, sf_dir):
+    """The digest of each document's suffix array."""
+    return T.suffix_arrays(bodies(spark, sf_dir)).select("doc_id", F.size("sa").cast("long").alias("n"), _digest("sa", "sa_md5"))
+
+
+def lcp_array(spark, sf_dir):
+    """The sum, the largest entry and the digest of each document's LCP array."""
+    return T.lcp_arrays(bodies(spark, sf_dir)).select("doc_id", F.aggregate("lcp", F.lit(0).cast("long"), lambda s, x: s + x).alias("lcp_sum"), F.coalesce(F.array_max("lcp"), F.lit(0)).alias("lcp_max"), _digest("lcp", "lcp_md5"))
+
+
+def longest_repeated_substring(spark, sf_dir):
+    return T.longest_repeats(bodies(spark, sf_dir))
+
+
+def bw_round_trip(spark, sf_dir):
+    """Each document's bytes after the transform and back, as a digest, and the length of the transform."""
+    codes = T.bw_encode(bodies(spark, sf_dir))
+    back = T.bw_decode(codes)
+    return codes.select("doc_id", F.octet_length("code").cast("long").alias("code_bytes")).join(back.select("doc_id", F.sha2("body", 256).alias("sha")), "doc_id")
 
 
-QUERIES = {"word_counts": word_counts}
-ORACLES = {"word_counts": f"SELECT word, count(*) AS cnt FROM (SELECT unnest({_WORDS}) AS word FROM documents) GROUP BY word"}
+QUERIES = {f.__name__: f for f in (word_counts, word_counts_pages, inverted_index, suffix_array, lcp_array, longest_repeated_substring, bw_round_trip)}
+ORACLES = {
+    "word_counts": f"SELECT word, count(*) AS cnt FROM (SELECT unnest({_WORDS}) AS word FROM documents) GROUP BY word",
+    "word_counts_pages": f"SELECT word, count(*) AS cnt FROM (SELECT unnest({_WORDS.replace('text', 'html')}) AS word FROM pages) GROUP BY word",
+    "inverted_index": f"SELECT word, count(*) AS n_docs, word || ' ' || string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY doc_id) AS line FROM (SELECT DISTINCT unnest({_WORDS}) AS word, doc_id FROM documents) GROUP BY word",
+    "bw_round_trip": "SELECT doc_id, CAST(strlen(text) AS BIGINT) + 1 AS code_bytes, sha256(text) AS sha FROM documents",
+}
