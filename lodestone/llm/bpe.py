@@ -27,12 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Recent, gather, read, slices, strings, utf8
+from lodestone.llm.common import Recent, gather, lean, read, slices, strings, utf8
 
 #: Characters with Unicode's White_Space property, for engines whose \s is ASCII alone.
 SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Words kept by a worker; ids are kept as bytes, about 200 bytes a word in all.
-KEPT_BYTES, KEPT_WORDS = 64, 1 << 17
+KEPT_BYTES, KEPT_WORDS = 64, 1 << 16
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -166,7 +166,7 @@ def encode_texts(documents: DataFrame, ranks: str, pattern: str, id_col: str = "
                 yield pa.RecordBatch.from_arrays([rows.column(0), blob.cast(pa.binary())], names=[id_col, "ids"])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
+    return documents.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), f"`{id_col}` {kind}, ids binary")
 
 
 def decode_ids(encoded: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -181,12 +181,27 @@ def decode_ids(encoded: DataFrame, ranks: str, pattern: str, id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], names=[id_col, "ids", "decoded"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded binary")
+    return encoded.select(id_col, "ids").mapInArrow(lean(run), f"`{id_col}` {kind}, ids binary, decoded binary")
 
 
 def bpe_digest(documents: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    both = decode_ids(encode_texts(documents, ranks, pattern), ranks, pattern)
-    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256: each text is encoded, its ids are decoded, and both are digested in one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, "text"):
+                coder = bpe(ranks, pattern)
+                ids, counts = coder(rows.column("text"))
+                ends = np.cumsum(counts)
+                out = []
+                for a, z in zip((ends - counts).tolist(), ends.tolist()):
+                    own = ids[a:z].astype("<u4")
+                    out.append((z - a, hashlib.sha256(own.tobytes()).hexdigest(), hashlib.sha256(coder.decode(own.tolist())).hexdigest()))
+                n, x, y = zip(*out)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(x), pa.array(y)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

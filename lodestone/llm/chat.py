@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import read
+from lodestone.llm.common import lean, read
 
 NAMES = {"system": "System", "user": "User", "assistant": "Assistant"}
 ROLES = {v: k for k, v in NAMES.items()}
@@ -126,8 +126,8 @@ def format_chats(turns: DataFrame, chunk_chars: int = 1 << 20) -> DataFrame:
     together, sorted, and streamed into chunks of about chunk_chars, so a conversation of any length needs
     the memory of one chunk; most have one. The chunks of a conversation follow each other in a partition.
     """
-    rendered = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).mapInArrow(_render_rows, "conv_id long, turn long, role string, rendered string")
-    return rendered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "rendered").mapInArrow(_assembler(chunk_chars), FORMATTED)
+    rendered = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_render_rows), "conv_id long, turn long, role string, rendered string")
+    return rendered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "rendered").mapInArrow(lean(_assembler(chunk_chars)), FORMATTED)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -169,7 +169,7 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def chat_digest(formatted: DataFrame) -> DataFrame:
     """Counts and digests read back from format_chats' output, whose chunk order it relies on."""
-    return formatted.mapInArrow(_digest_rows, DIGEST)
+    return formatted.mapInArrow(lean(_digest_rows), DIGEST)
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

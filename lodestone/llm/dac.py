@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import gather, new_path, read, slices, strings, utf8
+from lodestone.llm.common import gather, lean, new_path, read, slices, strings, utf8
 
 BLOCK = 512
 #: Blanks that part words for certain under the tokenizer's normaliser, all written as a space.
@@ -204,7 +204,7 @@ def _writer(tokenizer: str, end_id: int, segment_tokens: int):
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int, segment_tokens: int = 1 << 18) -> None:
     """Encode whole texts and write them to path in ascending doc_id order."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_writer(tokenizer, end_id, segment_tokens), SEGMENT).write.parquet(path)
+    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lean(_writer(tokenizer, end_id, segment_tokens)), SEGMENT).write.parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +227,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     segments = spark.read.parquet(path)
     parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     bases = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    rows = segments.select("part", "first", "doc_ids", "doc_ends", "chunks", "more").mapInArrow(_documents, "part int, doc_id long, local long, n_tokens long, ids_crc32 long")
+    rows = segments.select("part", "first", "doc_ids", "doc_ends", "chunks", "more").mapInArrow(lean(_documents), "part int, doc_id long, local long, n_tokens long, ids_crc32 long")
     return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import read, slices, strings, utf8
+from lodestone.llm.common import lean, read, slices, strings, utf8
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A-Z to a-z; bytes that no word holds to a space.
@@ -210,7 +210,7 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> D
                 sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in named]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in named], pa.int64()), pa.array(sha, pa.string()), pa.array(n_hit > 0)], names=[x.split()[0] for x in REPORT.split(", ")])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, REPORT)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), REPORT)
 
 
 def strip_text(text: str, blocks: list[Benchmark], max_coverage: float) -> str | None:
@@ -270,7 +270,7 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = 10, m
                 keep[[i for i, t in new.items() if t is None]] = False
                 yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names).filter(pa.array(keep))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

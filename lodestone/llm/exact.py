@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import read, slices, utf8
+from lodestone.llm.common import lean, read, slices, utf8
 
 
 class Node:
@@ -161,8 +161,8 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def owners(documents: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
     """sha (of the normalised text), keep_id, group_size: one row for each distinct text."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    local = docs.mapInArrow(_local(max_bytes), LOCAL)
-    return local.repartition("length", "hash").sortWithinPartitions("length", "hash").mapInArrow(_owners, "sha binary, keep_id long, group_size long")
+    local = docs.mapInArrow(lean(_local(max_bytes)), LOCAL)
+    return local.repartition("length", "hash").sortWithinPartitions("length", "hash").mapInArrow(lean(_owners), "sha binary, keep_id long, group_size long")
 
 
 def text_keys(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -180,7 +180,7 @@ def text_keys(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), sha], names=[*keep, "sha"])
 
     fields = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{fields}, sha binary")
+    return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lean(run), f"{fields}, sha binary")
 
 
 def exact_groups(documents: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import read, slices, texts_of
+from lodestone.llm.common import lean, read, slices, texts_of
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -306,7 +306,7 @@ def extract_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([render_html(x, pad_limit) for x in texts_of(rows.column("html"))], pa.string())], names=[id_col, "text"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(id_col, F.col(html_col).cast("string").alias("html")).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return pages.select(id_col, F.col(html_col).cast("string").alias("html")).mapInArrow(lean(run), f"`{id_col}` {kind}, text string")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,9 @@ signatures agree in a component with a probability equal to the weighted Jaccard
 
 Texts with equal multisets are one node. Nodes are banded (24 bands of 5 components: a pair at similarity
 0.8 is missed with probability 7e-5). In a bucket of few nodes all pairs are candidates; in a larger one
-each node is paired with a hub, the node whose bands are the most crowded, and then, as long as the bucket
-is in several classes, the nodes outside the hub's class are paired with further hubs; the pairs left
-between classes follow in full, so that no link is lost. Candidates are verified by their multisets' overlap.
+each node is paired with a hub, the node whose bands are the most crowded. Candidates are verified by their
+multisets' overlap. Where a larger bucket is then still in several classes, its nodes are compared in full as
+matrix products of bounded blocks, so no link is lost and no list of pairs is made.
 
 Defined results: a null text is empty; texts without words are copies if they are equal; a null id counts as
 no id (its text still links by equal multisets); class_id is the least id of the class; of repeated ids all
@@ -29,12 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, mix64, read, slices, strings, utf8
+from lodestone.llm.common import cut, lean, mix64, read, slices, strings, utf8
 from lodestone.llm.decon import TABLE
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 FEW = 8
-HUB_ROUNDS = 4
+BLOCK_WORDS, BLOCK_NODES = 1 << 18, 1 << 10
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,13 +135,13 @@ def _sketcher(bands: int, rows: int):
                 size = np.where(words > 0, bands, 0)
                 flat = keys[words > 0].ravel().view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.binary()), lists], names=["doc_id", "bag", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.binary()), pa.array(words.astype(np.int64)), lists], names=["doc_id", "bag", "words", "bands"])
 
     return run
 
 
 def _verifier(threshold: float):
-    """Of rows (a, b, id_a, id_b, text_a, text_b): those whose texts have the bags a and b and are alike."""
+    """Of rows (a, b, bag_a, bag_b, text_a, text_b): those whose texts have these bags and are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +156,7 @@ def _verifier(threshold: float):
                 ends = np.searchsorted(doc, np.arange(k + 1))
                 index = coded.indices.to_numpy()
                 keep = np.zeros(n, bool)
-                for i, (a, b) in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist())):
+                for i, (a, b) in enumerate(zip(part.column("bag_a").to_pylist(), part.column("bag_b").to_pylist())):
                     x, y = int(index[i]), int(index[n + i])
                     if names[x] != a or names[y] != b:
                         continue
@@ -169,24 +169,130 @@ def _verifier(threshold: float):
     return run
 
 
-def verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The candidate pairs (a < b, bags) whose multisets overlap enough."""
-    ids = reps.select("bag", "rep")
-    named = pairs.join(ids.select(F.col("bag").alias("a"), F.col("rep").alias("id_a")), "a").join(ids.select(F.col("bag").alias("b"), F.col("rep").alias("id_b")), "b")
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The candidate pairs (a < b, nodes) whose multisets overlap enough. Only texts of these pairs are shuffled."""
+    ids = nodes.select("node", "bag", "rep")
+    a = ids.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"), F.col("rep").alias("id_a"))
+    b = ids.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"), F.col("rep").alias("id_b"))
+    named = pairs.join(a, "a").join(b, "b")
+    wanted = named.select(F.explode(F.array("id_a", "id_b")).alias("doc_id")).distinct()
+    texts = docs.join(wanted, "doc_id", "left_semi")
     both = named.join(texts.select(F.col("doc_id").alias("id_a"), F.col("text").alias("text_a")), "id_a").join(texts.select(F.col("doc_id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(threshold), "a binary, b binary").distinct()
+    return both.select("a", "b", "bag_a", "bag_b", "text_a", "text_b").mapInArrow(lean(_verifier(threshold)), "a long, b long").distinct()
+
+
+def _cell_pairs(nodes: np.ndarray, roots: np.ndarray, side: np.ndarray, texts: pa.Array, names: list[bytes], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes over the two sides of a cell (or within the first, if it is alone) whose texts are alike and whose roots differ."""
+    doc, shingle, weight, _ = bags(texts)
+    own = bag_names(doc, shingle, weight, len(texts))
+    good = np.array([x.tobytes() == y for x, y in zip(own, names)], bool)
+    # the k-th copy of a shingle is a symbol of its own, so that common symbols count the overlap
+    at = np.repeat(np.arange(len(doc)), weight)
+    copy = np.arange(len(at)) - np.repeat(np.cumsum(weight) - weight, weight)
+    with np.errstate(over="ignore"):
+        symbols = np.where(copy > 0, mix64(shingle[at] + copy.astype(np.uint64) * GOLDEN), shingle[at])
+    doc = doc[at]
+    total = np.bincount(doc, minlength=len(texts))
+    alone = not side.any()
+    rows = np.flatnonzero(good & (side == 0))
+    cols = rows if alone else np.flatnonzero(good & (side == 1))
+    place = np.full(len(texts), -1)
+    place[rows] = np.arange(len(rows))
+    if not alone:
+        place[cols] = np.arange(len(cols))
+    _, code, times = np.unique(symbols, return_inverse=True, return_counts=True)
+    use = good[doc] & (times[code] > 1)
+    if not alone:
+        seen = np.zeros((2, len(times)), bool)
+        seen[side[doc[use]], code[use]] = True
+        use &= seen.all(0)[code]
+    _, code = np.unique(code[use], return_inverse=True)
+    doc = doc[use]
+    order = np.argsort(code, kind="stable")
+    code, doc = code[order], doc[order]
+    common = np.zeros((len(rows), len(cols)), np.float32)
+    width = int(code[-1]) + 1 if len(code) else 0
+    for a in range(0, width, 2048):
+        x, z = np.searchsorted(code, [a, a + 2048])
+        d, c = doc[x:z], code[x:z] - a
+        left = np.zeros((len(rows), 2048), np.float32)
+        on = side[d] == 0
+        left[place[d[on]], c[on]] = 1
+        if alone:
+            common += left @ left.T
+        else:
+            right = np.zeros((len(cols), 2048), np.float32)
+            right[place[d[~on]], c[~on]] = 1
+            common += left @ right.T
+    alike = common >= threshold * (total[rows][:, None] + total[cols][None, :] - common)
+    alike &= roots[rows][:, None] != roots[cols][None, :]
+    i, j = np.nonzero(alike)
+    return nodes[rows][i], nodes[cols][j]
+
+
+def _cells(threshold: float):
+    """Of rows sorted by cell: the links of each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def answer() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            column = lambda c: t.column(c).to_numpy(zero_copy_only=False)
+            a, b = _cell_pairs(column("node"), column("root"), column("side"), t.column("text"), t.column("bag").to_pylist(), threshold)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for batch in batches:
+            cells = batch.column("cell").to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else []
+            for x, z in zip(starts, [*starts[1:], len(cells)]):
+                if held and cells[x] != now:
+                    yield answer()
+                    held = []
+                now = cells[x]
+                held.append(batch.slice(int(x), int(z - x)))
+        if held:
+            yield answer()
+
+    return run
+
+
+def compare_blocks(left: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between different roots of (key, node, root) rows, by comparing nodes that buckets connect.
+
+    Buckets that share nodes make a group. In a group, nodes outside its largest class are cut into blocks of
+    about BLOCK_WORDS words and BLOCK_NODES nodes, and so are those inside; outer blocks meet all blocks, inner
+    ones only outer ones. A cell of two blocks is one task's matrix product; no pair is a row unless it links.
+    """
+    hubs = left.groupBy("key").agg(F.min("node").alias("low"))
+    linked = components(left.join(hubs, "key").select(F.col("node").alias("a"), F.col("low").alias("b")))
+    placed = cut(left.select("node", "root").distinct().join(linked.select("node", F.col("root").alias("g")), "node").join(nodes.select("node", "bag", "rep", "words"), "node"))
+    classes = placed.groupBy("g", "root").agg(F.count("*").alias("c"))
+    main = classes.groupBy("g").agg(F.max(F.struct("c", "root")).alias("m")).select("g", F.col("m.root").alias("main"))
+    marked = placed.join(main, "g").withColumn("outer", F.col("root") != F.col("main"))
+    blocks = lambda flag: F.ceil(F.greatest(F.sum(F.when(flag, F.col("words")).otherwise(0)) / BLOCK_WORDS, F.count_if(flag) / BLOCK_NODES)).cast("int")
+    sizes = marked.groupBy("g").agg(blocks(F.col("outer")).alias("no"), blocks(~F.col("outer")).alias("ni"))
+    dealt = marked.join(sizes, "g").withColumn("own", F.when(F.col("outer"), F.pmod(F.xxhash64("node"), F.col("no"))).otherwise(F.col("no") + F.pmod(F.xxhash64("node"), F.col("ni"))).cast("int"))
+    others = F.when(F.col("outer"), F.sequence(F.lit(0), F.col("no") + F.col("ni") - 1)).otherwise(F.sequence(F.lit(0), F.col("no") - 1))
+    spread = dealt.withColumn("other", F.explode(others))
+    cell = F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other"))
+    side = (F.col("own") > F.col("other")).cast("int")
+    texts = docs.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    rows = spread.select(cell.alias("cell"), side.alias("side"), "node", "root", "bag", "rep").join(texts, "rep")
+    return rows.select("cell", "side", "node", "root", "bag", "text").repartition("cell").sortWithinPartitions("cell").mapInArrow(lean(_cells(threshold)), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (the least node) for the undirected edges (a, b), by alternating large and small stars."""
+    """node and root (the least node) for the undirected edges (a, b) of whole numbers, by alternating large and small stars."""
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     state = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        now = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = now.groupBy("u").agg(F.min("v").alias("m"))
-        star = now.join(low, "u")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        star = large.join(low, "u")
         now = cut(star.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if new == state:
@@ -195,55 +301,46 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
+def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """roots (node, root) after more edges (a, b): only the roots that the edges name are joined anew."""
+    ends = edges.select("a", "b")
+    for x in ("a", "b"):
+        named = roots.select(F.col("node").alias(x), F.col("root").alias(f"__{x}"))
+        ends = ends.join(named, x, "left").withColumn(f"__{x}", F.coalesce(f"__{x}", x))
+    lifted = cut(components(ends.select(F.col("__a").alias("a"), F.col("__b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("__new")))
+    moved = roots.join(lifted, "root", "left").select("node", F.coalesce("__new", "root").alias("root"))
+    fresh = lifted.select(F.col("root").alias("node"), F.col("__new").alias("root")).join(roots.select("node"), "node", "left_anti")
+    return cut(moved.union(fresh))
+
+
 def near_classes(documents: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row a document: doc_id, class_id, class_size, kept."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = cut(docs.mapInArrow(_sketcher(bands, rows), "doc_id long, bag binary, bands array<long>"))
-    reps = cut(sketches.groupBy("bag").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")))
-    members = reps.where("rep is not null").select("bag", F.explode("bands").alias("key"))
+    sketches = cut(docs.mapInArrow(lean(_sketcher(bands, rows)), "doc_id long, bag binary, words long, bands array<long>"))
+    nodes = cut(sketches.groupBy("bag").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.max("words").alias("words"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    members = nodes.where("rep is not null").select("node", F.explode("bands").alias("key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     crowded = cut(members.join(sizes, "key"))
-    wanted = crowded.select("bag").distinct().join(reps, "bag").select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi")
 
     few = crowded.where(F.col("size") <= FEW)
-    other = few.select("key", F.col("bag").alias("b"))
-    pairs = few.select("key", F.col("bag").alias("a")).join(other, "key").where("a < b").select("a", "b")
+    other = few.select("key", F.col("node").alias("b"))
+    pairs = few.select("key", F.col("node").alias("a")).join(other, "key").where("a < b").select("a", "b")
     large = crowded.where(F.col("size") > FEW)
-    crowd = large.groupBy("bag").agg(F.sum("size").alias("crowd"))
-    large = cut(large.join(crowd, "bag").select("key", "bag", "crowd"))
-    hubs = large.groupBy("key").agg(F.max_by("bag", F.struct("crowd", "bag")).alias("hub"))
-    starred = large.join(hubs, "key").where("bag != hub").select(F.least("bag", "hub").alias("a"), F.greatest("bag", "hub").alias("b"))
+    crowd = large.groupBy("node").agg(F.sum("size").alias("crowd"))
+    large = cut(large.join(crowd, "node").select("key", "node", "crowd"))
+    hubs = large.groupBy("key").agg(F.max(F.struct("crowd", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
+    starred = large.join(hubs, "key").where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     tried = cut(pairs.union(starred).distinct())
-    edges = cut(verify(tried, reps, texts, threshold))
+    roots = cut(components(cut(verify(tried, nodes, docs, threshold))))
 
-    for turn in range(HUB_ROUNDS + 1):
-        roots = components(edges)
-        if not large.take(1):
-            break
-        placed = large.join(roots, F.col("bag") == F.col("node"), "left").select("key", "bag", "crowd", F.coalesce("root", "bag").alias("root"))
-        split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-        left = cut(placed.join(split, "key"))
-        if not left.take(1):
-            break
-        if turn < HUB_ROUNDS:  # another hub of each bucket: a seat drawn by turn and crowd
-            hubs = left.groupBy("key").agg(F.max_by(F.struct("bag", "root"), F.struct(F.xxhash64("bag", F.lit(turn)) % 8, "crowd", "bag")).alias("hub"))
-            fresh = left.join(hubs, "key").where(F.col("root") != F.col("hub.root")).select(F.least("bag", "hub.bag").alias("a"), F.greatest("bag", "hub.bag").alias("b"))
-        else:  # all pairs that are still between classes
-            other = left.select("key", F.col("bag").alias("b"), F.col("root").alias("other"))
-            fresh = left.select("key", F.col("bag").alias("a"), "root").join(other, "key").where("a < b and root != other").select("a", "b")
-        fresh = cut(fresh.distinct().join(tried, ["a", "b"], "left_anti"))
-        if not fresh.take(1):
-            if turn < HUB_ROUNDS:
-                continue
-            break
-        tried = tried.union(fresh)
-        found = cut(verify(fresh, reps, texts, threshold))
-        if turn == HUB_ROUNDS:
-            roots = components(edges.union(found))
-        edges = edges.union(found)
+    # buckets of one class are done with; nodes of the others are compared in full, block by block
+    placed = large.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+    left = cut(placed.join(split, "key"))
+    if not left.isEmpty():
+        roots = merged(roots, cut(compare_blocks(left, nodes, docs, threshold)))
 
-    labelled = reps.join(roots, F.col("bag") == F.col("node"), "left").select("bag", "rep", "n", F.coalesce("root", "bag").alias("root"))
+    labelled = nodes.join(roots, "node", "left").select("bag", "rep", "n", F.coalesce("root", "node").alias("root"))
     classes = labelled.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
     names = labelled.join(classes, "root").select("bag", "class_id", "class_size")
     counted = sketches.groupBy("doc_id", "bag").agg(F.count("*").alias("copies"))

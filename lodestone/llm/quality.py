@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import mix64, read, slices, utf8
+from lodestone.llm.common import lean, mix64, read, slices, utf8
 
 LOWER, UPPER, DIGIT, SPACE, LINE, STOP, COMMA, SHOUT, BAR, SYMBOL, OTHER, HIGH = range(12)
 CLASSES = np.array([LOWER if 97 <= c <= 122 else UPPER if 65 <= c <= 90 else DIGIT if 48 <= c <= 57 else LINE if c in b"\n\r" else SPACE if c in b" \t\x0b\x0c" else STOP if c in b".?" else COMMA if c in b",;:" else SHOUT if c in b"!" else BAR if c in b"|" else SYMBOL if c in b"$%&*#" else HIGH if c >= 128 else OTHER for c in range(256)], np.uint8)
@@ -137,8 +137,8 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", shrinka
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     train = docs.where(F.coalesce(remainder(F.col("doc_id")) != 1, F.lit(False)))
     marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    rows = train.mapInArrow(_feature_rows, "doc_id long, x array<double>").join(marks.where(remainder(F.col("doc_id")) != 1), "doc_id")
-    sums = rows.select("y", "x").mapInArrow(_moment_rows, "y int, at int, v double").groupBy("y", "at").agg(F.sum("v").alias("v")).collect()
+    rows = train.mapInArrow(lean(_feature_rows), "doc_id long, x array<double>").join(marks.where(remainder(F.col("doc_id")) != 1), "doc_id")
+    sums = rows.select("y", "x").mapInArrow(lean(_moment_rows), "y int, at int, v double").groupBy("y", "at").agg(F.sum("v").alias("v")).collect()
     if not sums:
         return Discriminant(None)
     moments = np.zeros((2, 1 + FEATURES + FEATURES**2))
@@ -157,7 +157,7 @@ def score_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = docs.mapInArrow(run, "doc_id long, score double, predicted int")
+    scored = docs.mapInArrow(lean(run), "doc_id long, score double, predicted int")
     return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
@@ -169,7 +169,7 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(model.value.score(_features_of(b)) >= 0.5))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)
 
 
 def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,11 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Recent, read, slices, strings, utf8
+from lodestone.llm.common import Recent, lean, read, slices, strings, utf8
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-KEPT_CHARS, KEPT_WORDS = 64, 1 << 17
+KEPT_CHARS, KEPT_WORDS = 64, 1 << 16
 
 
 def load_pieces(path: str) -> list[tuple[str, float]]:
@@ -109,7 +109,7 @@ def count_tokens(documents: DataFrame, model: str) -> DataFrame:
                 counts, scores = unigram(model)(rows.column("text"))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(counts), pa.array(scores)], names=["doc_id", "n_tokens", "score"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, score double")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, n_tokens long, score double")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
