@@ -8,8 +8,10 @@ log2 of the number of columns, the label's included.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,13 +40,34 @@ def split_cost(table: np.ndarray, discrete: bool) -> tuple[float, int]:
     return float(costs[at]), at + 1
 
 
-def _best_of(pdf: pd.DataFrame, labels: int, widths: dict[int, int], discrete: dict[int, bool]) -> pd.DataFrame:
-    feat = int(pdf["feat"].iloc[0])
-    table = np.zeros((max(widths[feat], int(pdf["val"].max()) + 1), labels))
-    np.add.at(table, (pdf["val"].to_numpy(), pdf["label"].to_numpy()), pdf["n"].to_numpy())
-    cost, at = split_cost(table, discrete[feat])
-    own = table.sum(0)
-    return pd.DataFrame([(int(pdf["node"].iloc[0]), feat, cost, at, int(own.sum()), float(bits(own)), int(own.argmax()), bool((own > 0).sum() < 2))], columns=["node", "feat", "cost", "cut", "rows", "bits", "majority", "pure"])
+COSTS = "node long, feat int, cost double, cut int, rows long, bits double, majority int, pure boolean"
+
+
+def _costs(labels: int, widths: dict[int, int], discrete: dict[int, bool]):
+    """Of counts (node, feat, val, label, n) sorted by node and feature: the best split of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, table, out = None, None, []
+
+        def close() -> None:
+            own = table.sum(0)
+            cost, at = split_cost(table, discrete[now[1]])
+            out.append((*now, cost, at, int(own.sum()), float(bits(own)), int(own.argmax()), bool((own > 0).sum() < 2)))
+
+        for b in batches:
+            for node, feat, val, label, n in zip(*(b.column(c).to_pylist() for c in ("node", "feat", "val", "label", "n"))):
+                if now != (node, feat):
+                    if now is not None:
+                        close()
+                    now, table = (node, feat), np.zeros((widths[feat], labels))
+                table[val, label] += n
+        if now is not None:
+            close()
+        kinds = (pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.bool_())
+        columns = list(zip(*out)) if out else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in COSTS.split(", ")])
+
+    return run
 
 
 def train_tree(train: DataFrame, types: DataFrame, max_depth: int = 64) -> DataFrame:
@@ -61,10 +84,9 @@ def train_tree(train: DataFrame, types: DataFrame, max_depth: int = 64) -> DataF
     rows = cut(train.select("row", "feat", F.col("val").cast("int").alias("val"), F.col("label").cast("int").alias("label")).withColumn("node", F.lit(1).cast("long")))
     edges = spark.createDataFrame([(1, None, None)], "node long, parent long, branch int")
     levels = []
-    best_kind = "node long, feat int, cost double, cut int, rows long, bits double, majority int, pure boolean"
     for depth in range(max_depth + 1):
         counts = rows.groupBy("node", "feat", "val", "label").agg(F.count("*").alias("n"))
-        costs = counts.groupBy("node", "feat").applyInPandas(lambda pdf: _best_of(pdf, labels, widths, kinds), best_kind)
+        costs = counts.repartition("node", "feat").sortWithinPartitions("node", "feat").mapInArrow(_costs(labels, widths, kinds), COSTS)
         picked = costs.groupBy("node").agg(F.min_by(F.struct("feat", "cost", "cut", "rows", "bits", "majority", "pure"), F.struct(F.col("cost"), -F.col("feat"))).alias("b")).select("node", "b.*")
         is_leaf = (F.col("rows") < 2) | F.col("pure") | (F.col("bits") - F.col("cost") < threshold) | F.lit(depth == max_depth)
         level = cut(picked.withColumn("is_leaf", is_leaf).join(edges, "node"))

@@ -95,9 +95,10 @@ def knn(points: DataFrame, k: int, axes: Sequence[str] = ("x", "y"), max_levels:
         found.append(done)
         left = (pts if open_ids is None else open_ids).select("id").join(done.select(F.col("qid").alias("id")), "id", "left_anti")
         open_ids = cut(left)
-        if open_ids.isEmpty():
+        rest = open_ids.count()
+        if not rest:
             break
-        side *= 2
+        side *= 2 if rest > n / 64 else 4  # a few stragglers: fewer rounds are cheaper than tighter cells
     else:
         q = pts.join(open_ids, "id", "left_semi").select(F.col("id").alias("qid"), *(F.col(a).alias(f"q{a}") for a in axes))
         d = squared([F.col(a) for a in axes], [F.col(f"q{a}") for a in axes])
@@ -281,7 +282,7 @@ def ray_cast(points: DataFrame, triangles: DataFrame, rays: DataFrame, grid: int
     ranges = [F.sequence(cell(F.least(*(F.col(f"{n}{x}") for n in "abc")) - side * 1e-6, side, low[x]), cell(F.greatest(*(F.col(f"{n}{x}") for n in "abc")) + side * 1e-6, side, low[x])) for x in AXES]
     tri = corners
     for x, r in zip(AXES, ranges):
-        tri = tri.withColumn(f"c{x}", F.explode(r))
+        tri = tri.withColumn(f"g{x}", F.explode(r))
     d = {x: F.col(f"d{x}") for x in AXES}
     largest = F.greatest(*(F.abs(d[x]) for x in AXES))
     main = F.when(F.abs(d["x"]) == largest, 0).when(F.abs(d["y"]) == largest, 1).otherwise(2)
@@ -290,16 +291,17 @@ def ray_cast(points: DataFrame, triangles: DataFrame, rays: DataFrame, grid: int
     r = rays.where(largest > 0).withColumn("layer", F.explode(F.sequence(F.lit(-1), F.lit(m + 1))))
     edge = start + F.col("layer") * F.lit(side)
     t1, t2 = (edge - F.lit(side * 1e-3) - pick("o")) / pick("d"), (edge + F.lit(side * (1 + 1e-3)) - pick("o")) / pick("d")
-    r = r.withColumn("t1", F.greatest(F.lit(0.0), F.least(t1, t2))).withColumn("t2", F.greatest(t1, t2)).where("t2 >= 0")
+    r = cut(r.withColumn("t1", F.greatest(F.lit(0.0), F.least(t1, t2))).withColumn("t2", F.greatest(t1, t2)).where("t2 >= 0"))
     for x in AXES:
         ends = [F.col(f"o{x}") + F.col(t) * d[x] for t in ("t1", "t2")]
         own = {"x": 0, "y": 1, "z": 2}[x]
         inside = [cell(F.least(*ends) - side * 1e-3, side, low[x]), cell(F.greatest(*ends) + side * 1e-3, side, low[x])]
         first, last = F.greatest(inside[0], F.lit(-1)), F.least(inside[1], F.lit(m + 1))
-        r = r.withColumn(f"c{x}", F.when(main == own, F.array(F.col("layer").cast("long"))).when(first <= last, F.sequence(first.cast("long"), last.cast("long"))))
+        r = r.withColumn(f"g{x}", F.when(main == own, F.array(F.col("layer").cast("long"))).when(first <= last, F.sequence(first.cast("long"), last.cast("long"))))
+    r = cut(r.select("rid", *(f"{k}{x}" for k in "od" for x in AXES), "gx", "gy", "gz"))  # too large an expression for one compiled stage with what follows
     for x in AXES:
-        r = r.withColumn(f"c{x}", F.explode(f"c{x}"))
-    tests = r.select("rid", *(f"{k}{x}" for k in "od" for x in AXES), "cx", "cy", "cz").join(tri, ["cx", "cy", "cz"])
+        r = r.withColumn(f"g{x}", F.explode(f"g{x}"))
+    tests = r.select("rid", *(f"{k}{x}" for k in "od" for x in AXES), "gx", "gy", "gz").join(tri, ["gx", "gy", "gz"])
     t = hit_parameter([F.col(f"o{x}") for x in AXES], [d[x] for x in AXES], *([F.col(f"{n}{x}") for x in AXES] for n in "abc"))
     hits = tests.withColumn("t", t).where("t is not null").groupBy("rid").agg(F.min(F.struct("t", "tid")).alias("h"))
     return rays.select("rid").join(hits, "rid", "left").select("rid", F.coalesce("h.tid", F.lit(-1)).cast("long").alias("tid"))

@@ -27,6 +27,7 @@ class Triangulation:
         self.near: list[list[int]] = []  # neighbour across from each corner
         self.alive: list[bool] = []
         self.last = 0
+        self.rim: dict[tuple[int, int], int] = {}  # outer edges and their triangles
 
     def boundary(self, count: int = 10) -> None:
         """Far points around the box, and a fan over them to start from."""
@@ -42,7 +43,8 @@ class Triangulation:
             self.corners.append([n, n + i, n + i + 1])
             self.near.append([-1, k + 1 if i < count - 2 else -1, k - 1 if i > 1 else -1])
             self.alive.append(True)
-        self.first_boundary = n
+            for a, b in ((n + i, n + i + 1), *(((n, n + i),) if i == 1 else ()), *(((n, n + i + 1),) if i == count - 2 else ())):
+                self.rim[a, b] = k
 
     def orient(self, a: int, b: int, p: tuple[float, float]) -> float:
         return (self.x[b] - self.x[a]) * (p[1] - self.y[a]) - (self.y[b] - self.y[a]) * (p[0] - self.x[a])
@@ -67,10 +69,10 @@ class Triangulation:
                 return t
             steps += 1
 
-    def insert(self, v: int) -> bool:
-        """Connect vertex v; False if it lies outside or on a vertex that is there."""
+    def insert(self, v: int, within: int = -1, edge: tuple[int, int] | None = None) -> bool:
+        """Connect vertex v; False if it lies outside or on a vertex that is there. On a boundary edge of a triangle, both are given."""
         p = (self.x[v], self.y[v])
-        start = self.locate(p)
+        start = within if edge else self.locate(p)
         if start < 0 or any((self.x[c], self.y[c]) == p for c in self.corners[start]):
             return False
         cavity, stack, rim = {start}, [start], []
@@ -90,6 +92,8 @@ class Triangulation:
                     s = self.near[t][k]
                     if s not in cavity:
                         a, b = self.corners[t][(k + 1) % 3], self.corners[t][(k + 2) % 3]
+                        if edge and {a, b} == set(edge):
+                            continue
                         if self.orient(a, b, p) <= 0 and s >= 0:
                             cavity.add(s)
                             grown = True
@@ -110,15 +114,31 @@ class Triangulation:
             self.alive.append(True)
             if s >= 0:
                 self.near[s][self.near[s].index(old)] = k
+            else:
+                self.rim[min(a, b), max(a, b)] = k
             starts[a] = k
             fresh.append((b, k))
         for b, k in fresh:
-            other = starts[b]
-            self.near[k][0] = other
-            self.near[other][1] = k
+            if (other := starts.get(b)) is not None:
+                self.near[k][0] = other
+                self.near[other][1] = k
+        if edge:  # its halves are outer edges now
+            del self.rim[min(edge), max(edge)]
+            for _, k in fresh:
+                a, b, _ = self.corners[k]
+                for c, i in ((b, 0), (a, 1)):
+                    if self.near[k][i] < 0:
+                        self.rim[min(c, v), max(c, v)] = k
         self.last = fresh[0][1]
         return True
 
+    def encroached(self, p: tuple[float, float]) -> tuple[int, int] | None:
+        """An outer edge that sees p at a right angle or more."""
+        for a, b in self.rim:
+            if (self.x[a] - p[0]) * (self.x[b] - p[0]) + (self.y[a] - p[1]) * (self.y[b] - p[1]) <= 0:
+                return a, b
+        return None
+
     def triangles(self) -> np.ndarray:
         return np.array([c for c, a in zip(self.corners, self.alive) if a], np.int64).reshape(-1, 3)
 
@@ -204,19 +224,22 @@ def _refine(pdf: pd.DataFrame, angle: float, budget: int) -> pd.DataFrame:
             continue
         if len(t.x) >= limit:
             raise ValueError(f"more than {budget} times the input's points are needed")
+        if abs(t.orient(*t.corners[k][:2], p[2])) < 1e-300:
+            continue
         x, y = circumcenter(*p[0], *p[1], *p[2])
+        within, edge = k, t.encroached((x, y))
         t.last = k
-        if t.locate((x, y)) < 0:  # beyond the boundary: halve the longest boundary edge of the triangle, if it has one
-            edges = [(math.dist(p[(i + 1) % 3], p[(i + 2) % 3]), i) for i in range(3) if t.near[k][i] < 0]
-            if not edges:
-                continue
-            i = max(edges)[1]
-            x, y = (p[(i + 1) % 3][0] + p[(i + 2) % 3][0]) / 2, (p[(i + 1) % 3][1] + p[(i + 2) % 3][1]) / 2
+        if edge is None and t.locate((x, y)) < 0:
+            continue
+        if edge:  # a point there would be too near the boundary: the edge is halved instead
+            within = t.rim[edge]
+            x, y = (t.x[edge[0]] + t.x[edge[1]]) / 2, (t.y[edge[0]] + t.y[edge[1]]) / 2
+            queue.insert(0, k)
         t.x.append(x)
         t.y.append(y)
-        t.last = k
+        t.last = within
         before = len(t.corners)
-        if not t.insert(len(t.x) - 1):
+        if not t.insert(len(t.x) - 1, within, edge):
             t.x.pop()
             t.y.pop()
             continue

@@ -220,7 +220,6 @@ def nn_descent(vectors: DataFrame, k: int = 10, trees: int = 3, leaf: int = 64,
     n = vectors.count()
     for _ in range(rounds):
         both = lists.select(F.col("qid").alias("a"), F.col("nid").alias("b")).union(lists.select(F.col("nid").alias("a"), F.col("qid").alias("b"))).distinct()
-        # a vector that many lists name offers its k + k nearest hashes only once per pair; pairs are distinct
         offers = both.select(F.col("a").alias("via"), F.col("b").alias("qid")).join(both.select(F.col("a").alias("via"), F.col("b").alias("nid")), "via").where("qid != nid").select("qid", "nid").distinct()
         fresh = offers.join(lists.select("qid", "nid"), ["qid", "nid"], "left_anti")
         best = _first(with_distance(fresh, vectors, vectors, metric).union(lists.select("qid", "nid", "dist")), k)
@@ -365,9 +364,9 @@ def _load(pdf: pd.DataFrame, metric: str) -> tuple[Graph, np.ndarray]:
 
 def _searched(index: DataFrame, queries: DataFrame, answer, schema: str, metric: str, parts: int) -> DataFrame:
     """answer(graph, ids, qid, query) for every query in every shard; queries are dealt into parts, each with the shard's graph."""
-    shards = index.select("shard").distinct()
-    q = queries.select(F.col("id").cast("long").alias("qid"), F.col("vec").cast("array<double>").alias("q")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    asked = q.crossJoin(F.broadcast(shards)) if False else q.withColumn("__one", F.lit(1)).join(shards.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    shards = index.select((F.col("shard") + F.lit(0)).alias("shard")).distinct()  # a column of its own: both sides come from the index
+    q = queries.select(F.col("id").cast("long").alias("qid"), F.col("vec").cast("array<double>").alias("q")).withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int"))
+    asked = q.withColumn("__one", F.lit(1)).join(shards.withColumn("__one", F.lit(1)), "__one").drop("__one")  # every query asks every shard
     held = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def run(key, graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:

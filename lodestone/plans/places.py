@@ -80,7 +80,7 @@ def _knn(points: str, distance: str, digits: int) -> str:
 _D2 = "((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))"
 _D3 = "((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z))"
 _COUNTS = f"SELECT qid, count(p.id) AS cnt FROM {RECTANGLES_SQL} LEFT JOIN {FLAT_SQL} p ON p.x BETWEEN x1 AND x2 AND p.y BETWEEN y1 AND y2 GROUP BY qid"
-_TRI = "(SELECT vec_id AS tid, " + ", ".join(f"CAST(embedding[{3 * k + i + 1}] AS DOUBLE) AS {n}{c}" for k, n in enumerate("abc") for i, c in enumerate("xyz")) + " FROM embeddings)"
+_TRI = "(SELECT vec_id AS tid, " + ", ".join(f"CAST(embedding[{3 * k + i + 1}] AS DOUBLE) AS p{n}{c}" for k, n in enumerate("abc") for i, c in enumerate("xyz")) + " FROM embeddings)"
 _RAY = "(SELECT vec_id AS rid, " + ", ".join(f"CAST(embedding[{10 + i}] AS DOUBLE) AS {n}" for i, n in enumerate(("ox", "oy", "oz", "dx", "dy", "dz"))) + " FROM embeddings)"
 
 ORACLES = {
@@ -91,8 +91,8 @@ ORACLES = {
     "range_count": _COUNTS,
     "range_count_strips": _COUNTS,
     "range_total": f"SELECT CAST(sum(cnt) AS BIGINT) AS total FROM ({_COUNTS})",
-    "ray_cast": f"""WITH e AS (SELECT *, bx - ax AS e1x, by_ - ay AS e1y, bz - az AS e1z, cx - ax AS e2x, cy - ay AS e2y, cz - az AS e2z, ox - ax AS tx, oy - ay AS ty, oz - az AS tz
-            FROM {_RAY} r CROSS JOIN (SELECT * RENAME (by AS by_) FROM {_TRI.replace(' AS by,', ' AS "by",')}) t),
+    "ray_cast": f"""WITH e AS (SELECT *, pbx - pax AS e1x, pby - pay AS e1y, pbz - paz AS e1z, pcx - pax AS e2x, pcy - pay AS e2y, pcz - paz AS e2z, ox - pax AS tx, oy - pay AS ty, oz - paz AS tz
+            FROM {_RAY} r CROSS JOIN {_TRI} t),
         p AS (SELECT *, dy * e2z - dz * e2y AS px, dz * e2x - dx * e2z AS py, dx * e2y - dy * e2x AS pz, ty * e1z - tz * e1y AS qx, tz * e1x - tx * e1z AS qy, tx * e1y - ty * e1x AS qz FROM e),
         h AS (SELECT rid, tid, e1x * px + e1y * py + e1z * pz AS det, tx * px + ty * py + tz * pz AS u, dx * qx + dy * qy + dz * qz AS v, e2x * qx + e2y * qy + e2z * qz AS t FROM p),
         g AS (SELECT rid, arg_min(tid, (t / det, tid)) AS tid FROM h WHERE abs(det) > 1e-8 AND u / det BETWEEN 0 AND 1 AND v / det >= 0 AND u / det + v / det <= 1 AND t / det > 0 GROUP BY rid)
