@@ -143,7 +143,7 @@ def test_graphs_equal_the_sequential_programs(spark, seed):
 # ---- geometry ----
 
 def test_hull_drops_points_on_edges(spark):
-    points = spark.createDataFrame(list(enumerate([(0, 0), (2, 0), (2, 2), (0, 2), (1, 1), (1, 0)])), "id long, p struct<x:double,y:double>").select("id", "p.*")
+    points = spark.createDataFrame(list(enumerate([(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (1.0, 1.0), (1.0, 0.0)])), "id long, p struct<x:double,y:double>").select("id", "p.*")
     assert rows(geometry.convex_hull(points)) == [(0, 0), (1, 3), (2, 2), (3, 1)]
 
 
