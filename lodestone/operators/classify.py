@@ -8,9 +8,11 @@ log2 of the number of columns, the label's included.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,11 +72,39 @@ def _costs(labels: int, widths: dict[int, int], discrete: dict[int, bool]):
     return run
 
 
-def train_tree(train: DataFrame, types: DataFrame, max_depth: int = 64) -> DataFrame:
-    """The tree's nodes, from (row, feat, val, label) and (feat, discrete).
+def child_of(node: int, branch: int) -> int:
+    """A number for a node's child within a subtree: a hash of its way there."""
+    return int.from_bytes(hashlib.blake2b(f"{node}:{branch}".encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def grow_subtree(node: int, parent: int | None, branch: int | None, x: np.ndarray, y: np.ndarray, widths: list[int], discrete: list[bool], labels: int, depth: int) -> list[tuple]:
+    """All nodes below (and with) one whose rows are at hand: x is rows by features."""
+    threshold, out = float(np.log2(len(widths) + 1)), []
+    stack = [(node, parent, branch, np.arange(len(y)), depth)]
+    while stack:
+        node, parent, branch, rows, left = stack.pop()
+        own = np.bincount(y[rows], minlength=labels).astype(float)
+        best = (float("inf"), 0, 0)
+        for f in range(len(widths)):
+            table = np.bincount(x[rows, f] * labels + y[rows], minlength=widths[f] * labels).reshape(widths[f], labels).astype(float)
+            cost, at = split_cost(table, discrete[f])
+            if cost <= best[0]:  # the last of equal features
+                best = (cost, f, at)
+        cost, f, at = best
+        leaf = len(rows) < 2 or (own > 0).sum() < 2 or float(bits(own)) - cost < threshold or left <= 0
+        out.append((node, parent, branch, f, discrete[f], at, int(own.argmax()), leaf))
+        if not leaf:
+            way = x[rows, f] if discrete[f] else (x[rows, f] >= at).astype(int)
+            stack += [(child_of(node, int(w)), node, int(w), rows[way == w], left - 1) for w in np.unique(way)]
+    return out
+
+
+def train_tree(train: DataFrame, types: DataFrame, max_depth: int = 64, task_cells: int = 4_000_000) -> DataFrame:
+    """The tree's nodes, from (row, feat, val, label) and (feat, discrete); every row has every feature, numbered from 0.
 
     Of equally good features the one with the highest number is taken. Which children a node has follows
-    from the values seen: one for each value of a discrete feature, two of a continuous one.
+    from the values seen: one for each value of a discrete feature, two of a continuous one. Nodes of more than
+    task_cells values are split level by level from counts; the subtree of a smaller one is grown in one task.
     """
     spark = train.sparkSession
     kinds = {r["feat"]: bool(r["discrete"]) for r in types.collect()}  # one row a feature
@@ -83,8 +113,27 @@ def train_tree(train: DataFrame, types: DataFrame, max_depth: int = 64) -> DataF
     threshold = float(np.log2(len(kinds) + 1))
     rows = cut(train.select("row", "feat", F.col("val").cast("int").alias("val"), F.col("label").cast("int").alias("label")).withColumn("node", F.lit(1).cast("long")))
     edges = spark.createDataFrame([(1, None, None)], "node long, parent long, branch int")
-    levels = []
+    levels, order = [], sorted(kinds)
+    if order != list(range(len(order))):
+        raise ValueError("features must be numbered from 0 without gaps")
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["row", "feat"])
+        top = pdf.iloc[0]
+        x = pdf["val"].to_numpy().reshape(-1, len(order))
+        y = pdf["label"].to_numpy().reshape(-1, len(order))[:, 0]
+        whole = lambda v: None if pd.isna(v) else int(v)
+        nodes = grow_subtree(int(top["node"]), whole(top["parent"]), whole(top["branch"]), x, y, [widths[f] for f in order], [kinds[f] for f in order], labels, max_depth - int(top["depth"]))
+        return pd.DataFrame(nodes, columns=[c.split()[0] for c in MODEL.split(", ")]).astype({"parent": "Int64", "branch": "Int32"})
+
     for depth in range(max_depth + 1):
+        sizes = rows.groupBy("node").agg(F.count("*").alias("cells"))
+        sized = rows.join(sizes, "node")
+        small = sized.where(F.col("cells") <= task_cells).drop("cells").join(edges, "node").withColumn("depth", F.lit(depth))
+        levels.append(cut(small.groupBy("node").applyInPandas(finish, MODEL)))
+        rows = cut(sized.where(F.col("cells") > task_cells).drop("cells"))
+        if rows.isEmpty():
+            break
         counts = rows.groupBy("node", "feat", "val", "label").agg(F.count("*").alias("n"))
         costs = counts.repartition("node", "feat").sortWithinPartitions("node", "feat").mapInArrow(_costs(labels, widths, kinds), COSTS)
         picked = costs.groupBy("node").agg(F.min_by(F.struct("feat", "cost", "cut", "rows", "bits", "majority", "pure"), F.struct(F.col("cost"), -F.col("feat"))).alias("b")).select("node", "b.*")

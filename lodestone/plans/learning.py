@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestone.operators import classify as C
@@ -50,7 +52,7 @@ def hcnng_recall(spark, sf_dir):
 
 def nn_descent_recall(spark, sf_dir):
     def search(v):
-        lists = V.nn_descent(v, K)
+        lists = V.nn_descent(v, 2 * K, trees=4, delta=0.001)
         own = v.select(F.col("id").alias("qid"), F.col("id").alias("nid"), F.lit(0.0).alias("dist"))
         return V.unite_lists(own, lists.withColumnRenamed("id", "qid"), K)
 
@@ -95,10 +97,9 @@ def stream_state(spark, sf_dir):
 
     ensure_checkpoint_dir(spark)
     events = table(spark, sf_dir, "events")
-    import uuid
-
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
-    state = X.run_stream(spark, f"{sf_dir}/events.parquet", events.schema, path)
+    events.repartitionByRange(4, "event_id").write.parquet(f"{path}/in")  # a stream reads a folder, a file at a time
+    state = X.run_stream(spark, f"{path}/in", events.schema, path)
     return state.at().select("id")
 
 

@@ -17,38 +17,50 @@ from lodestone.operators.primitives import ensure_checkpoint_dir
 
 
 class VersionedPoints:
-    """Versions of a point table (id, x, y) in a shared folder."""
+    """Versions of a point table (id, x, y) in a shared folder.
+
+    A version also holds the number of each id's last operation, and deleted ids, so operations that arrive
+    late or out of order leave the state that their numbers' order gives.
+    """
 
     def __init__(self, spark: SparkSession, path: str, points: DataFrame | None = None) -> None:
         self.spark, self.path, self.version = spark, path.rstrip("/"), -1
-        empty = spark.createDataFrame([], "id long, x double, y double")
-        (points if points is not None else empty).select("id", "x", "y").write.mode("overwrite").parquet(f"{self.path}/v=-1")
+        start = points if points is not None else spark.createDataFrame([], "id long, x double, y double")
+        start.select("id", "x", "y", F.lit(-1).cast("long").alias("seq"), F.lit(True).alias("alive")).write.mode("overwrite").parquet(f"{self.path}/v=-1")
 
-    def at(self, version: int | None = None) -> DataFrame:
+    def whole(self, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v={self.version if version is None else version}")
 
+    def at(self, version: int | None = None) -> DataFrame:
+        """The points of a version, the last one if none is given."""
+        return self.whole(version).where("alive").select("id", "x", "y")
+
     def apply(self, operations: DataFrame, batch: int) -> None:
-        """One batch of (seq, op, id, x, y): of the operations on an id the last one counts."""
-        now = self.at()
-        last = operations.where("op in ('insert', 'delete')").groupBy("id").agg(F.max_by(F.struct("op", "x", "y"), "seq").alias("o")).select("id", "o.*")
-        kept = now.join(last.where("op = 'delete'").select("id"), "id", "left_anti")
-        new = last.where("op = 'insert'").select("id", "x", "y").join(now.select("id"), "id", "left_anti")
-        kept.select("id", "x", "y").unionByName(new).write.mode("overwrite").parquet(f"{self.path}/v={batch}")
+        """One batch of (seq, op, id, x, y): of the operations on an id the one with the largest number counts."""
+        last = operations.where("op in ('insert', 'delete')").groupBy("id").agg(F.max(F.struct(F.col("seq").cast("long").alias("seq"), "op", "x", "y")).alias("n"))
+        both = self.whole().withColumnRenamed("seq", "s").join(last, "id", "full")
+        newer = F.col("n").isNotNull() & (F.col("s").isNull() | (F.col("n.seq") > F.col("s")))
+        stays = ~newer | (F.coalesce("alive", F.lit(False)) & (F.col("n.op") == "insert"))  # an insert of what is there changes no place
+        pick = lambda c: F.when(stays, F.col(c)).otherwise(F.col(f"n.{c}")).alias(c)
+        state = both.select("id", pick("x"), pick("y"), F.when(newer, F.col("n.seq")).otherwise(F.col("s")).alias("seq"), F.when(newer, F.col("n.op") == "insert").otherwise(F.col("alive")).alias("alive"))
+        state.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
         self.version = batch
 
-    def insert(self, points: DataFrame) -> DataFrame:
-        """(id, inserted): false where the id was there."""
+    def _direct(self, rows: DataFrame, op: str) -> DataFrame:
+        seq = (self.whole().agg(F.max("seq")).first()[0] or 0) + 1
         there = self.at().select("id", F.lit(True).alias("there"))
-        answer = points.select("id").distinct().join(there, "id", "left").select("id", F.col("there").isNull().alias("inserted"))
-        self.apply(points.select(F.lit(0).alias("seq"), F.lit("insert").alias("op"), "id", "x", "y"), self.version + 1)
+        answer = rows.select("id").distinct().join(there, "id", "left").select("id", F.coalesce("there", F.lit(False)).alias("there"))
+        self.apply(rows.select(F.lit(seq).alias("seq"), F.lit(op).alias("op"), "id", "x", "y"), self.version + 1)
         return answer
 
+    def insert(self, points: DataFrame) -> DataFrame:
+        """(id, inserted): false where the id was there."""
+        return self._direct(points, "insert").select("id", (~F.col("there")).alias("inserted"))
+
     def delete(self, ids: DataFrame) -> DataFrame:
         """(id, deleted): false where the id was not there."""
-        there = self.at().select("id", F.lit(True).alias("there"))
-        answer = ids.select("id").distinct().join(there, "id", "left").select("id", F.col("there").isNotNull().alias("deleted"))
-        self.apply(ids.select(F.lit(0).alias("seq"), F.lit("delete").alias("op"), "id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), self.version + 1)
-        return answer
+        rows = ids.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+        return self._direct(rows, "delete").select("id", F.col("there").alias("deleted"))
 
     def knn(self, k: int, version: int | None = None) -> DataFrame:
         return geometry.knn(self.at(version), k)

@@ -216,10 +216,11 @@ def test_tree_separates(spark):
     data = [(r, f, (r % 8 if f == 0 else (r * 7) % 5), int(r % 8 >= 3)) for r in range(160) for f in (0, 1)]
     train = spark.createDataFrame(data, "row long, feat int, val int, label int")
     types = spark.createDataFrame([(0, False), (1, True)], "feat int, discrete boolean")
-    model = classify.train_tree(train, types)
-    top = model.where("parent is null").first()
-    assert (top["feat"], top["cut"]) == (0, 3)
-    assert classify.accuracy(classify.predict(model, train.drop("label")), train.where("feat = 0")).first()[0] == 1.0
+    for cells in (1 << 20, 100):
+        model = classify.train_tree(train, types, task_cells=cells)
+        top = model.where("parent is null").first()
+        assert (top["feat"], top["cut"]) == (0, 3)
+        assert classify.accuracy(classify.predict(model, train.drop("label")), train.where("feat = 0")).first()[0] == 1.0
 
 
 # ---- streams ----
