@@ -8,6 +8,7 @@ within each partition, and the partitions' sizes summed up.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,9 +27,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: written to the checkpoint folder, so that rounds don't pile up plans."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df with its lineage cut: written as a table in the checkpoint folder and read again.
+
+    A checkpointed DataFrame still carries the orders and equalities that its plan had; over many rounds of joins
+    on renamed columns they double each time, and planning takes longer than the work. A table has none.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def parts_before(rows: DataFrame, part: str, *values: Column) -> DataFrame:
