@@ -32,7 +32,9 @@ from lodestone.llm.common import Recent, gather, lean, read, slices, strings, ut
 #: Characters with Unicode's White_Space property, for engines whose \s is ASCII alone.
 SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Words kept by a worker; ids are kept as bytes, about 200 bytes a word in all.
-KEPT_BYTES, KEPT_WORDS = 64, 1 << 16
+KEPT_BYTES, KEPT_WORDS = 64, 1 << 18
+#: A letter and the ASCII punctuation behind it.
+EDGE = r"(\p{L})([!-&(-/:-@\[-`{-~])"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -96,42 +98,40 @@ class Bpe:
         self.ranks = load_ranks(path)
         self.pieces = {v: k for k, v in self.ranks.items()}
         self.words = regex.compile(pattern).findall
-        self.known, self.chunks = Recent(KEPT_WORDS), Recent(KEPT_WORDS)
+        self.known = Recent(KEPT_WORDS)
 
     def word(self, word: str) -> bytes:
         """Little-endian ids of one word."""
-        if (ids := self.known.get(word)) is None:
-            folded = fold_merges(raw := word.encode(), self.ranks)
-            ids = struct.pack(f"<{len(folded)}I", *folded)
-            if len(raw) <= KEPT_BYTES:
-                self.known.put(word, ids)
-        return ids
+        folded = fold_merges(word.encode(), self.ranks)
+        return struct.pack(f"<{len(folded)}I", *folded)
 
     def chunk(self, text: str) -> bytes:
+        """Ids of a text; letters alone, a space before them or not, are one word."""
+        if text.isalpha() or text[:1] == " " and text[1:].isalpha():
+            return self.word(text)
         return b"".join(map(self.word, self.words(text)))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text.
 
-        A text is cut before each space: the pattern takes a blank only at the start of a match, so a match
-        never goes from a word over a space. Texts with a space inside a longer run of blanks, of which the
-        pattern sees the end, go through whole.
+        A text is cut before each space, since the pattern takes a blank only at the start of a match, and
+        between a letter and ASCII punctuation but the apostrophe, where matches part too; each distinct piece
+        is folded once. Texts with a space inside a longer run of blanks, of which the pattern sees the end, or
+        with zero bytes go through whole.
         """
         off, data = utf8(texts)
         whole = strings(off, data.tobytes())
-        odd = pc.match_substring_regex(whole, rf"[{SPACES}] (?:[{SPACES}]|\z)|\A (?:[{SPACES}]|\z)").to_numpy(zero_copy_only=False)
-        parts = pc.split_pattern(pc.if_else(odd, pa.scalar("", pa.large_string()), whole), " ")
+        odd = pc.match_substring_regex(whole, rf"[{SPACES}] (?:[{SPACES}]|\z)|\A (?:[{SPACES}]|\z)|\x00").to_numpy(zero_copy_only=False)
+        marked = pc.replace_substring(pc.if_else(odd, pa.scalar("", pa.large_string()), whole), " ", "\0 ")
+        parts = pc.split_pattern(pc.replace_substring_regex(marked, EDGE, "\\1\0\\2"), "\0")
         bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
-        pieces = parts.flatten()
-        lead = np.ones(len(pieces), bool)
-        lead[bounds[:-1][np.diff(bounds) > 0]] = False  # the first piece of a text has no space before it
-        words = pc.dictionary_encode(pc.binary_join_element_wise(pc.if_else(pa.array(lead), pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())), pieces, pa.scalar("", pa.large_string())))
+        words = parts.flatten().dictionary_encode()
         ids = []
         for x in words.dictionary.to_pylist():
-            if (known := self.chunks.get(x)) is None:
+            if (known := self.known.get(x)) is None:
                 known = self.chunk(x)
                 if len(x) <= KEPT_BYTES:
-                    self.chunks.put(x, known)
+                    self.known.put(x, known)
             ids.append(known)
         lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")
@@ -159,7 +159,7 @@ def encode_texts(documents: DataFrame, ranks: str, pattern: str, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", 2 << 20):
                 ids, counts = bpe(ranks, pattern)(rows.column("text"))
                 off = np.r_[0, np.cumsum(counts)].astype(np.int64) * 4
                 blob = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(off), pa.py_buffer(ids.astype("<u4").tobytes())])
@@ -189,7 +189,7 @@ def bpe_digest(documents: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", 2 << 20):
                 coder = bpe(ranks, pattern)
                 ids, counts = coder(rows.column("text"))
                 ends = np.cumsum(counts)

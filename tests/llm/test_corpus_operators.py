@@ -14,7 +14,7 @@ P = pytest.importorskip("public_tokenizers")
 
 from lodestone.llm import bpe, chat, common, dac, decon, exact, html, near, quality, shard, unigram  # noqa: E402
 
-HARD = ["", " ", "  ", "a  b", " a", "a ", "a   b\n\n  c \n d", "x\xa0y   z", "\x1c a\x1c b", "don't I'LL 12345 ½ ²", "é" * 200, "a" * 3000, "<|endoftext|>hi <|ENDOFTEXT|>", "ß ǅ İ Σς ΣΑΣ", "日本語 テスト", "J̌ ǰ Å Å", None, "\x0b\x0c \x85 q", "🙂👍🏽 ok", "0 a0 0.0", "it's,fine.now", "…. a…b"]
+HARD = ["", " ", "  ", "a  b", " a", "a ", "a   b\n\n  c \n d", "x\xa0y   z", "\x1c a\x1c b", "don't I'LL 12345 ½ ²", "é" * 200, "a" * 3000, "<|endoftext|>hi <|ENDOFTEXT|>", "ß ǅ İ Σς ΣΑΣ", "日本語 テスト", "J̌ ǰ Å Å", None, "\x0b\x0c \x85 q", "🙂👍🏽 ok", "0 a0 0.0", "it's,fine.now", "…. a…b", "a\0b, c\0"]
 
 
 def texts(seed=1, n=1500):
