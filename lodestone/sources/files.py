@@ -20,8 +20,9 @@ from lodestone.operators.primitives import cut, with_position
 SEQUENCES = {"sequenceInt": "int", "sequenceDouble": "double", "sequenceChar": "string", "sequenceString": "string", "sequenceIntPair": "int_pair", "sequenceDoublePair": "double_pair", "sequenceStringIntPair": "string_int_pair"}
 HEADERS = {"int": "sequenceInt", "double": "sequenceDouble", "string": "sequenceChar", "int_pair": "sequenceIntPair", "double_pair": "sequenceDoublePair", "string_int_pair": "sequenceStringIntPair"}
 EDGES, WEIGHTED_EDGES, ADJACENCY, WEIGHTED_ADJACENCY = "EdgeArray", "WeightedEdgeArray", "AdjacencyGraph", "WeightedAdjacencyGraph"
-POINTS = {2: "pbbs_sequencePoint2d", 3: "pbbs_sequencePoint3d"}
-TRIANGLES = "pbbs_triangles"
+#: Geometry headers may have a tool's prefix and an underscore before them; readers take any, writers the one given.
+POINTS = {2: "sequencePoint2d", 3: "sequencePoint3d"}
+TRIANGLES = "triangles"
 BLANKS = r"[ \t\r\n\x00]+"
 
 
@@ -45,7 +46,7 @@ def tokens(spark: SparkSession, path: str) -> DataFrame:
 def _body(spark: SparkSession, path: str, headers: set[str]) -> tuple[str, DataFrame]:
     all_tokens = cut(tokens(spark, path))
     head = all_tokens.where("i = 0").first()
-    if head is None or head["token"] not in headers:
+    if head is None or (head["token"] not in headers and head["token"].rpartition("_")[2] not in headers & {*POINTS.values(), TRIANGLES}):
         raise FormatError(f"{path} begins with {head['token'] if head else 'nothing'}, not one of {sorted(headers)}")
     return head["token"], all_tokens.where("i > 0").select((F.col("i") - 1).alias("i"), "token")
 
@@ -162,14 +163,14 @@ def write_adjacency(edges: DataFrame, n: int, path: str, files: int = 0) -> None
     write_lines(out, "o", F.col("line"), path, [WEIGHTED_ADJACENCY if weighted else ADJACENCY, str(n), str(m)], files)
 
 
-def write_points(points: DataFrame, path: str, dimensions: int = 2, files: int = 0) -> None:
-    write_lines(points, "id", F.concat_ws(" ", *(number(F.col(a)) for a in "xyz"[:dimensions])), path, [POINTS[dimensions]], files)
+def write_points(points: DataFrame, path: str, dimensions: int = 2, files: int = 0, prefix: str = "") -> None:
+    write_lines(points, "id", F.concat_ws(" ", *(number(F.col(a)) for a in "xyz"[:dimensions])), path, [prefix + POINTS[dimensions]], files)
 
 
-def write_triangles(points: DataFrame, triangles: DataFrame, path: str, base: int = 0, files: int = 0) -> None:
+def write_triangles(points: DataFrame, triangles: DataFrame, path: str, base: int = 0, files: int = 0, prefix: str = "") -> None:
     n, m = points.count(), triangles.count()
     rows = points.select("id", F.concat_ws(" ", *(number(F.col(a)) for a in "xyz")).alias("line")).union(triangles.select((F.col("tid") + n).alias("id"), F.concat_ws(" ", *((F.col(c) + base).cast("string") for c in "abc")).alias("line")))
-    write_lines(rows, "id", F.col("line"), path, [TRIANGLES, str(n), str(m)], files)
+    write_lines(rows, "id", F.col("line"), path, [prefix + TRIANGLES, str(n), str(m)], files)
 
 
 def write_word_counts(counts: DataFrame, path: str) -> None:

@@ -44,7 +44,7 @@ def test_shapes(spark, tmp_path):
     p, t = files.read_triangles(spark, str(tmp_path / "t"), base=1)
     assert rows(t.select("tid", "a", "b", "c")) == rows(triangles) and p.count() == 9
     flat = gen.points_in_cube(spark, 5)
-    files.write_points(flat, str(tmp_path / "p"), files=1)
+    files.write_points(flat, str(tmp_path / "p"), files=1, prefix="tool_")
     assert [r[0] for r in rows(files.read_points(spark, str(tmp_path / "p")))] == [0, 1, 2, 3, 4]
 
 
