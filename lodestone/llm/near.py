@@ -12,10 +12,12 @@ each node is paired with a hub, the node whose bands are the most crowded. Candi
 multisets' overlap. Where a larger bucket is then still in several classes, its nodes are compared in full as
 matrix products of bounded blocks, so no link is lost and no list of pairs is made.
 
+Rows are told apart by a key, a hash of id and text, so neither null nor a repeated id stands for other texts.
+
 Defined results: a null text is empty; texts without words are copies if they are equal; a null id counts as
-no id (its text still links by equal multisets); class_id is the least id of the class; of repeated ids all
-rows are returned, one of them kept; an empty table gives no rows; texts of any length are hashed whole;
-other columns are kept by drop_near and ignored else.
+no id, but its text is compared like all others; class_id is the least id of the class, null if it has none; a
+class keeps one row, of the least id and (of repeated or null ids) the least key; an empty table gives no rows;
+texts of any length are hashed whole; other columns are kept by drop_near and ignored else.
 """
 
 from __future__ import annotations
@@ -135,7 +137,7 @@ def _sketcher(bands: int, rows: int):
                 size = np.where(words > 0, bands, 0)
                 flat = keys[words > 0].ravel().view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.binary()), pa.array(words.astype(np.int64)), lists], names=["doc_id", "bag", "words", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(names, pa.binary()), pa.array(words.astype(np.int64)), lists], names=["doc_id", "key", "bag", "words", "bands"])
 
     return run
 
@@ -171,13 +173,13 @@ def _verifier(threshold: float):
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The candidate pairs (a < b, nodes) whose multisets overlap enough. Only texts of these pairs are shuffled."""
-    ids = nodes.select("node", "bag", "rep")
-    a = ids.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"), F.col("rep").alias("id_a"))
-    b = ids.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"), F.col("rep").alias("id_b"))
+    ids = nodes.select("node", "bag", F.col("rep.key").alias("key"))
+    a = ids.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"), F.col("key").alias("key_a"))
+    b = ids.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"), F.col("key").alias("key_b"))
     named = pairs.join(a, "a").join(b, "b")
-    wanted = named.select(F.explode(F.array("id_a", "id_b")).alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi")
-    both = named.join(texts.select(F.col("doc_id").alias("id_a"), F.col("text").alias("text_a")), "id_a").join(texts.select(F.col("doc_id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
+    wanted = named.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
+    texts = docs.join(wanted, "key", "left_semi")
+    both = named.join(texts.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a").join(texts.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
     return both.select("a", "b", "bag_a", "bag_b", "text_a", "text_b").mapInArrow(lean(_verifier(threshold)), "a long, b long").distinct()
 
 
@@ -259,15 +261,15 @@ def _cells(threshold: float):
 
 
 def compare_blocks(left: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between different roots of (key, node, root) rows, by comparing nodes that buckets connect.
+    """Links (a, b) between different roots of (band, node, root) rows, by comparing nodes that buckets connect.
 
     Buckets that share nodes make a group. In a group, nodes outside its largest class are cut into blocks of
     about BLOCK_WORDS words and BLOCK_NODES nodes, and so are those inside; outer blocks meet all blocks, inner
     ones only outer ones. A cell of two blocks is one task's matrix product; no pair is a row unless it links.
     """
-    hubs = left.groupBy("key").agg(F.min("node").alias("low"))
-    linked = components(left.join(hubs, "key").select(F.col("node").alias("a"), F.col("low").alias("b")))
-    placed = cut(left.select("node", "root").distinct().join(linked.select("node", F.col("root").alias("g")), "node").join(nodes.select("node", "bag", "rep", "words"), "node"))
+    hubs = left.groupBy("band").agg(F.min("node").alias("low"))
+    linked = components(left.join(hubs, "band").select(F.col("node").alias("a"), F.col("low").alias("b")))
+    placed = cut(left.select("node", "root").distinct().join(linked.select("node", F.col("root").alias("g")), "node").join(nodes.select("node", "bag", F.col("rep.key").alias("key"), "words"), "node"))
     classes = placed.groupBy("g", "root").agg(F.count("*").alias("c"))
     main = classes.groupBy("g").agg(F.max(F.struct("c", "root")).alias("m")).select("g", F.col("m.root").alias("main"))
     marked = placed.join(main, "g").withColumn("outer", F.col("root") != F.col("main"))
@@ -278,8 +280,8 @@ def compare_blocks(left: DataFrame, nodes: DataFrame, docs: DataFrame, threshold
     spread = dealt.withColumn("other", F.explode(others))
     cell = F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other"))
     side = (F.col("own") > F.col("other")).cast("int")
-    texts = docs.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    rows = spread.select(cell.alias("cell"), side.alias("side"), "node", "root", "bag", "rep").join(texts, "rep")
+    texts = docs.join(placed.select("key").distinct(), "key", "left_semi").select("key", "text")
+    rows = spread.select(cell.alias("cell"), side.alias("side"), "node", "root", "bag", "key").join(texts, "key")
     return rows.select("cell", "side", "node", "root", "bag", "text").repartition("cell").sortWithinPartitions("cell").mapInArrow(lean(_cells(threshold)), "a long, b long").distinct()
 
 
@@ -313,49 +315,66 @@ def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(moved.union(fresh))
 
 
-def near_classes(documents: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row a document: doc_id, class_id, class_size, kept."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = cut(docs.mapInArrow(lean(_sketcher(bands, rows)), "doc_id long, bag binary, words long, bands array<long>"))
-    nodes = cut(sketches.groupBy("bag").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.max("words").alias("words"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
-    members = nodes.where("rep is not null").select("node", F.explode("bands").alias("key"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    crowded = cut(members.join(sizes, "key"))
+def row_key(doc_id, text):
+    """A hash that names a row by its id and text; a null text is empty."""
+    return F.xxhash64(doc_id.cast("long"), F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _classes(documents: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row for each distinct id and text: doc_id, key, copies, class_id, class_size, chosen."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(F.col("doc_id"), F.col("text")).alias("key"))
+    sketches = cut(docs.mapInArrow(lean(_sketcher(bands, rows)), "doc_id long, key long, bag binary, words long, bands array<long>"))
+    if not sketches.groupBy("key").count().where("count > 1").isEmpty():
+        docs = docs.distinct()  # else each copy of a row would meet all the pairs its text is in
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    nodes = cut(sketches.groupBy("bag").agg(first.alias("rep"), F.count("*").alias("n"), F.max("words").alias("words"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    members = nodes.select("node", F.explode("bands").alias("band"))
+    sizes = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    crowded = cut(members.join(sizes, "band"))
 
     few = crowded.where(F.col("size") <= FEW)
-    other = few.select("key", F.col("node").alias("b"))
-    pairs = few.select("key", F.col("node").alias("a")).join(other, "key").where("a < b").select("a", "b")
+    other = few.select("band", F.col("node").alias("b"))
+    pairs = few.select("band", F.col("node").alias("a")).join(other, "band").where("a < b").select("a", "b")
     large = crowded.where(F.col("size") > FEW)
     crowd = large.groupBy("node").agg(F.sum("size").alias("crowd"))
-    large = cut(large.join(crowd, "node").select("key", "node", "crowd"))
-    hubs = large.groupBy("key").agg(F.max(F.struct("crowd", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
-    starred = large.join(hubs, "key").where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    large = cut(large.join(crowd, "node").select("band", "node", "crowd"))
+    hubs = large.groupBy("band").agg(F.max(F.struct("crowd", "node")).alias("h")).select("band", F.col("h.node").alias("hub"))
+    starred = large.join(hubs, "band").where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     tried = cut(pairs.union(starred).distinct())
     roots = cut(components(cut(verify(tried, nodes, docs, threshold))))
 
     # buckets of one class are done with; nodes of the others are compared in full, block by block
-    placed = large.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    left = cut(placed.join(split, "key"))
+    placed = large.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
+    left = cut(placed.join(split, "band"))
     if not left.isEmpty():
         roots = merged(roots, cut(compare_blocks(left, nodes, docs, threshold)))
 
     labelled = nodes.join(roots, "node", "left").select("bag", "rep", "n", F.coalesce("root", "node").alias("root"))
-    classes = labelled.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
-    names = labelled.join(classes, "root").select("bag", "class_id", "class_size")
-    counted = sketches.groupBy("doc_id", "bag").agg(F.count("*").alias("copies"))
-    dealt = counted.join(names, "bag").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    kept = (F.col("copy") == 1) & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    return dealt.select("doc_id", "class_id", "class_size", kept.alias("kept"))
+    classes = labelled.groupBy("root").agg(F.min("rep").alias("best"), F.sum("n").alias("class_size"))
+    names = labelled.join(classes, "root").select("bag", "best", "class_size")
+    counted = sketches.groupBy("doc_id", "bag", "key").agg(F.count("*").alias("copies"))
+    chosen = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))
+    return counted.join(names, "bag").select("doc_id", "key", "copies", F.col("best.doc_id").alias("class_id"), "class_size", chosen.alias("chosen"))
+
+
+def near_classes(documents: DataFrame, **parameters) -> DataFrame:
+    """One row a document: doc_id, class_id, class_size, kept."""
+    dealt = _classes(documents, **parameters).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return dealt.select("doc_id", "class_id", "class_size", ((F.col("copy") == 1) & F.col("chosen")).alias("kept"))
 
 
 def drop_near(documents: DataFrame, **parameters) -> DataFrame:
     """documents with one row of each class, that of the least id."""
-    kept = near_classes(documents, **parameters).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    rows = documents.join(kept, documents["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    twice = rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
-    same = rows["doc_id"].eqNullSafe(F.col("__id"))
-    return rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+    kept = cut(_classes(documents, **parameters).where("chosen").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "copies"))
+    same = documents["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (row_key(documents["doc_id"], documents["text"]) == F.col("__key"))
+    repeated = kept.where("copies > 1")
+    if repeated.isEmpty():
+        return documents.join(kept, same, "left_semi")
+    # of rows with one id and text any is kept, as they are told apart by other columns at most
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    again = documents.join(repeated, same, "left_semi").withColumn("__text", text).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return documents.join(kept.where("copies = 1"), same, "left_semi").unionByName(again)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

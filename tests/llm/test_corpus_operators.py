@@ -119,6 +119,41 @@ def test_near_classes_match_brute_force(spark):
     near.FEW, near.BLOCK_WORDS, near.BLOCK_NODES = 8, 1 << 18, 1 << 10
 
 
+def test_drop_near_tells_rows_apart_by_text(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    long = lambda: [word() for _ in range(120)]
+    near_copy = lambda base: " ".join([*base[:-1], "zzzz"])
+    a, b, c, d, e, f, g = (long() for _ in range(7))
+    join = " ".join
+    rows = [
+        (None, join(a), "x"), (None, join(b), "x"), (None, near_copy(a), "x"),  # no id: two texts, one near copy
+        (7, join(c), "x"), (7, join(d), "x"), (7, near_copy(c), "x"),  # a repeated id: the same
+        (1, join(e), "x"), (9, near_copy(e), "x"), (9, join(f), "x"),  # 9 is dropped for one text, kept for the other
+        (None, near_copy(g), "x"), (4, join(g), "x"),  # a near copy without id falls to the one that has an id
+        (8, "lone text", "x"), (8, "lone text", "y"), (None, "no id", "x"), (None, "no id", "y"), (None, None, "x"), (None, "", "y"), (6, "one, two", "x"), (6, "One two", "x"),
+    ]
+    docs = frame(spark, rows, "doc_id long, text string, class_id string")
+    out = near.drop_near(docs)
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"] or "") for r in out.collect()]
+    either = lambda i, base: sum((i, t) in got for t in (join(base), near_copy(base)))
+    assert either(None, a) == 1 and either(7, c) == 1
+    assert sum(x in got for x in ((6, "one, two"), (6, "One two"))) == 1
+    sure = [(None, join(b)), (7, join(d)), (1, join(e)), (9, join(f)), (4, join(g)), (8, "lone text"), (None, "no id"), (None, "")]
+    assert all(got.count(x) == 1 for x in sure) and len(got) == len(sure) + 3
+    flags = near.near_classes(docs.select("doc_id", "text")).collect()
+    assert len(flags) == len(rows) and sum(r["kept"] for r in flags) == len(got)
+
+
+def test_near_hot_id_is_no_product_of_its_texts(spark):
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(40)]
+    rows = [(5 if i % 2 else None, " ".join([*b, *["end"] * k])) for i, b in enumerate(base) for k in range(4)] * 3
+    got = near.drop_near(frame(spark, rows)).collect()
+    assert sorted(r["text"].split()[0] for r in got) == sorted(b[0] for b in base)
+
+
 def test_bag_signatures_are_unbiased():
     rng = random.Random(2)
     base = [f"w{i}" for i in range(200)]
