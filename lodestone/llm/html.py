@@ -4,7 +4,9 @@ A tree builder reads tags with the implied ends and starts of HTML (an li ends a
 cell opens a row, void elements hold nothing), keeps the open elements on a stack, and renders as it goes:
 blocks part lines, headings and paragraphs stand apart, lists get marks and depth, cells of a table are
 padded to columns, preformatted text keeps its blanks. Everything visible is kept, menus and footers too;
-scripts, styles, heads, comments and whatever is hidden by attribute or inline style are not.
+scripts, styles, heads, comments and whatever is hidden by attribute or inline style are not. Formulas, texts of
+drawings, all choices of a form and open dialogs are kept; what a browser shows only in place of embedded media
+(in iframe, audio, video, canvas, and object with data) is not, nor are datalists and closed dialogs.
 
 Defined results: a null or empty page gives an empty text; tags that never end, stray ends, unknown elements
 and bare < are taken as browsers do, without error; nesting of any depth needs no recursion; columns are
@@ -27,9 +29,11 @@ from lodestone.llm.common import lean, read, slices, texts_of
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
-UNSEEN = frozenset("head script style title iframe noembed noframes noscript template datalist audio video canvas object svg math select option optgroup map dialog".split())
+UNSEEN = frozenset("head script style title iframe noembed noframes noscript template datalist audio video canvas".split())
+#: Parts of drawings and formulas that aren't drawn where they stand.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker annotation annotation-xml".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
-BLOCK = APART | frozenset("address article aside body center details dd dir div dt fieldset figcaption footer form header hgroup html legend li main menu nav search section summary caption".split())
+BLOCK = APART | frozenset("address article aside body center details dd dir div dt fieldset figcaption footer form header hgroup html legend li main menu nav search section summary caption dialog select option optgroup".split())
 ENDS_P = APART | frozenset("address article aside center details dir div dl fieldset figcaption footer form header hgroup main menu nav search section summary li dd dt".split())
 #: An opening tag ends the nearest open element named, unless one of the walls stands before it.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"}), "optgroup": ({"optgroup"}, {"select"})} | {x: ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}) for x in ("thead", "tbody", "tfoot", "colgroup")}
@@ -121,7 +125,7 @@ class Renderer:
     def __init__(self, pad_limit: int) -> None:
         self.pad_limit = pad_limit
         self.open: list[tuple[str, bool]] = []  # name, hidden by itself
-        self.hidden = self.kept = 0
+        self.hidden = self.kept = self.foreign = 0  # foreign: open svg and math
         self.flows = [Flow()]
         self.lists: list[list] = []  # name, number
         self.tables: list[dict] = []
@@ -154,6 +158,9 @@ class Renderer:
             self.start("tr", "")
         found = attributes(rest) if rest.strip(" /\t\r\n") else {}
         hides = name in UNSEEN or "hidden" in found or bool(HIDDEN_STYLE.search(found.get("style", ""))) or (name == "input" and found.get("type", "").lower() == "hidden")
+        hides = hides or (name == "dialog" and "open" not in found) or (name == "object" and "data" in found) or (self.foreign > 0 and name in UNDRAWN)
+        if (self.foreign or name in ("svg", "math")) and rest.endswith("/"):
+            return
         if name in VOID:
             if self.hidden or hides:
                 return
@@ -169,12 +176,16 @@ class Renderer:
             return
         self.open.append((name, hides))
         self.hidden += hides
+        self.foreign += name in ("svg", "math")
         if self.hidden:
             return
-        if name in BLOCK:
+        if name in BLOCK or (self.foreign and name == "text"):
             self.flow.line()
             if name in APART and not (self.lists and name in ("ul", "ol")):
                 self.flow.gap = True
+        if name == "optgroup" and found.get("label"):
+            self.flow.text(found["label"], False)
+            self.flow.line()
         if name == "pre":
             self.kept += 1
         elif name in ("ul", "ol", "menu", "dir"):
@@ -202,6 +213,7 @@ class Renderer:
             self.lists = []
 
     def finish(self, name: str, hides: bool) -> None:
+        self.foreign -= name in ("svg", "math")
         if self.hidden:
             self.hidden -= hides
             return
@@ -225,7 +237,7 @@ class Renderer:
             return
         elif name == "table" and self.tables:
             self.flow.extend(align(self.tables.pop()["rows"], self.pad_limit))
-        if name in BLOCK:
+        if name in BLOCK or (self.foreign and name == "text"):
             self.flow.line()
             if name in ("ul", "ol", "menu", "dir") and self.lists:
                 self.flow.indent = self.lists.pop()[2]

@@ -259,6 +259,21 @@ def test_html(page, want):
     assert html.render_html(page or "") == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> b", "a x=2 b"),
+        ("<svg><defs/><path d='M0'/><title>t</title><defs><text>no</text></defs><text>one</text><text>two</text></svg>z", "one\ntwo\nz"),
+        ("<select><option>a<option selected>b<optgroup label=G><option>c</select>d", "a\nb\nG\nc\nd"),
+        ("<map name=m>in a map</map>", "in a map"),
+        ("<object>fallback</object><object data=x>unseen</object>", "fallback"),
+        ("<dialog open>seen</dialog><dialog>closed</dialog>", "seen"),
+    ],
+)
+def test_html_keeps_what_browsers_show(page, want):
+    assert html.render_html(page) == want
+
+
 def test_html_keeps_all_words(spark):
     rows = [(1, "<p>a <b>b</b>c</p>"), (1, "<p>a <b>b</b>c</p>"), (2, None), (3, "plain")]
     got = html.extract_html(frame(spark, rows, "page_id long, html string")).collect()
