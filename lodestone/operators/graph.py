@@ -3,18 +3,18 @@
 Graphs are (src, dst) or (eid, u, v[, w]) tables; vertices without edges come in a table of their own. Every
 answer is the one of the sequential program: the largest parent, the least vertex, the least edge wins, so
 results don't depend on partitioning. Each round is a few joins and aggregates over what is still active, and
-is checkpointed.
+is checkpointed. Loops end when nothing is left to do, however deep the graph is.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.primitives import cut
 
-ROUND_LIMIT = 100_000
-
 
 def symmetrize(edges: DataFrame) -> DataFrame:
     """(src, dst) both ways, without loops and repeats."""
@@ -72,7 +72,7 @@ def bfs(edges: DataFrame, vertices: DataFrame, start: int) -> DataFrame:
     edges = edges.select("src", "dst").distinct().persist()
     level = cut(vertices.where(F.col("v") == start).select("v", F.lit(start).cast("long").alias("value")))
     visited, since = level, 0
-    for _ in range(ROUND_LIMIT):
+    while True:
         level = cut(edge_map(level, edges, visited))
         if level.isEmpty():
             break
@@ -89,7 +89,7 @@ def bfs_levels(edges: DataFrame, vertices: DataFrame, start: int) -> DataFrame:
     edges = edges.select("src", "dst").distinct().persist()
     level = cut(vertices.where(F.col("v") == start).select("v", F.lit(0).cast("long").alias("level")))
     visited, since = level, 0
-    for depth in range(1, ROUND_LIMIT):
+    for depth in count(1):
         level = cut(edge_map(level, edges, visited).select("v", F.lit(depth).cast("long").alias("level")))
         if level.isEmpty():
             break
@@ -106,7 +106,7 @@ def maximal_independent_set(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     open_edges = cut(symmetrize(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))))
     undecided = cut(vertices.select("v").distinct())
     parts = []
-    for _ in range(ROUND_LIMIT):
+    while True:
         chosen = undecided.join(open_edges.where("dst < src").select(F.col("src").alias("v")).distinct(), "v", "left_anti").select("v", F.lit(1).alias("flag"))
         chosen = cut(chosen)
         if chosen.isEmpty():
@@ -130,9 +130,9 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 def maximal_matching(edges: DataFrame) -> DataFrame:
     """(eid) of the greedy matching by edge id; loops are skipped."""
-    active = cut(edges.where("u != v").select("eid", "u", "v"))
+    active = cut(edges.where("u != v AND eid IS NOT NULL").select("eid", "u", "v"))
     parts = []
-    for _ in range(ROUND_LIMIT):
+    while True:
         if active.isEmpty():
             break
         best = active.select("eid", F.explode(F.array("u", "v")).alias("x")).groupBy("x").agg(F.min("eid").alias("best"))

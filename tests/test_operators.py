@@ -44,6 +44,19 @@ def test_positions_and_scans(spark):
     assert primitives.kth_smallest(df, "v", "idx", 9).first()["idx"] == want[9][1]
 
 
+# ---- rounds ----
+
+def test_graph_loops_have_no_round_limit(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROUND_LIMIT", 2, raising=False)
+    path = spark.createDataFrame([(i, i, i + 1) for i in range(7)], "eid long, u long, v long")
+    vertices = spark.range(8).withColumnRenamed("id", "v")
+    edges = graph.symmetrize(path)
+    assert rows(graph.bfs(edges, vertices, 0)) == [(i, max(0, i - 1)) for i in range(8)]
+    assert rows(graph.bfs_levels(edges, vertices, 0)) == [(i, i) for i in range(8)]
+    assert rows(graph.maximal_independent_set(edges, vertices)) == [(i, 1 + i % 2) for i in range(8)]
+    assert rows(graph.maximal_matching(path)) == [(0,), (2,), (4,), (6,)]
+
+
 # ---- text ----
 
 def test_words(spark):
