@@ -231,6 +231,30 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def token_at(spark: SparkSession, path: str, positions: list[int]) -> DataFrame:
+    """position and id of the file's ids at these positions, by rank queries; one outside the file gives no row.
+
+    Segments are found by their first positions, of which the driver reads one small row each; only codes of
+    segments that hold a position are read.
+    """
+    segments = spark.read.parquet(path)
+    rows = sorted(tuple(r) for r in segments.select("part", "segment", "n_tokens").collect())
+    stops = np.cumsum([r[2] for r in rows], dtype=np.int64)
+    total = int(stops[-1]) if len(rows) else 0
+    asked = np.array(sorted({p for p in positions if 0 <= p < total}), np.int64)
+    owner = np.searchsorted(stops, asked, side="right")
+    found = [(*rows[i][:2], int(stops[i]) - rows[i][2], asked[owner == i].tolist()) for i in np.unique(owner)]
+    wanted = spark.createDataFrame(found, "part int, segment int, start long, positions array<long>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                start, at, chunks, more, ranks = (b.column(c)[i].as_py() for c in ("start", "positions", "chunks", "more", "ranks"))
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([dac_get(chunks, more, ranks, p - start) for p in at], pa.int64())], names=["position", "id"])
+
+    return segments.join(F.broadcast(wanted), ["part", "segment"]).select("start", "positions", "chunks", "more", "ranks").mapInArrow(lean(run), "position long, id long")
+
+
 def op4_token_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

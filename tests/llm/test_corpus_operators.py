@@ -234,6 +234,19 @@ def test_token_file(spark):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_token_at_reads_a_written_file(spark):
+    import tokenizers
+
+    rows = [(i, f"{t or ''} word{i}") for i, t in enumerate(HARD)]
+    path = common.new_path(spark, "tokens-at")
+    dac.write_tokens(frame(spark, rows), path, P.path("word_bpe_49k.json"), 2, segment_tokens=50)
+    tok = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ids = [x for _, t in rows for x in [*tok.encode(t, add_special_tokens=False).ids, 2]]
+    got = dac.token_at(spark, path, [*range(len(ids)), -1, len(ids), 3]).collect()
+    assert sorted(tuple(r) for r in got) == list(enumerate(ids))
+    assert dac.token_at(spark, path, []).count() == 0
+
+
 # ---- 5 ----
 
 @pytest.mark.parametrize(
