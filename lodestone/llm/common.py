@@ -5,16 +5,17 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set (tests)."""
+    """The folder that driver and executors share; a folder of our own only on a local master where none is set (tests)."""
     sc = spark.sparkContext
     for conf in (sc.getConf().get("spark.checkpoint.dir", None), spark.conf.get("spark.checkpoint.dir", None)):
         if conf:
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="lodestone-")
     sc.setCheckpointDir(own)
     return own
@@ -38,6 +41,50 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table in the shared folder and read again, so that no plan, order or partitioning is carried along."""
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by stored() that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, df._stored_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder, whatever file system it is on."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def fresh(names: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted column names, made longer until none is one of names (nor of each other), in any case of letters."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w = f"{w}_"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, where it comes in fewer (a table of a few row groups); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
@@ -74,6 +121,22 @@ def lean(run: Callable) -> Callable:
     return wrapped
 
 
+def carried(df: DataFrame, run: Callable, *more: StructField) -> DataFrame:
+    """run over Arrow batches of df; its output has df's columns, whatever their names, and more behind them."""
+    names = [*df.columns, *(f.name for f in more)]
+    plain = [f"c{i}" for i in range(len(names))]
+
+    def named(batches: Iterator[pa.RecordBatch], to: list[str]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(b.columns, names=to[: b.num_columns])
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from named(run(named(batches, names)), plain)
+
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(plain, [*df.schema, *more])])
+    return df.toDF(*plain[: len(df.columns)]).mapInArrow(lean(wrapped), schema).toDF(*names)
+
+
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (int64) and bytes of a string column; null counts as empty."""
     if array.null_count:
