@@ -79,7 +79,8 @@ def render(role: str, text: str) -> str:
 def _render_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         roles, texts = ([x or "" for x in b.column(c).to_pylist()] for c in ("role", "text"))
-        yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), pa.array(roles, pa.string()), pa.array(map(render, roles, texts), pa.string())], names=["conv_id", "turn", "role", "rendered"])
+        lead = pa.array([len(header(r)) for r in roles], pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), pa.array(roles, pa.string()), pa.array(map(render, roles, texts), pa.string()), lead], names=["conv_id", "turn", "role", "rendered", "lead"])
 
 
 FORMATTED = "conv_id long, chunk long, formatted string, loss_starts array<long>, loss_ends array<long>"
@@ -125,9 +126,12 @@ def format_chats(turns: DataFrame, chunk_chars: int = 1 << 20) -> DataFrame:
     Rendering and the round trip run on each row where it lies. Then the rows of a conversation are brought
     together, sorted, and streamed into chunks of about chunk_chars, so a conversation of any length needs
     the memory of one chunk; most have one. The chunks of a conversation follow each other in a partition.
+    Ties of turn and role go by the text itself, which is unescaped for the sort where the rows have arrived.
     """
-    rendered = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_render_rows), "conv_id long, turn long, role string, rendered string")
-    return rendered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "rendered").mapInArrow(lean(_assembler(chunk_chars)), FORMATTED)
+    rendered = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_render_rows), "conv_id long, turn long, role string, rendered string, lead int")
+    body = F.col("rendered").substr(F.col("lead") + 1, F.length("rendered") - F.col("lead") - F.lit(len(END) + 1))
+    dealt = rendered.repartition("conv_id").withColumn("text", F.regexp_replace(body, r"(?s)\\(.)", "$1"))
+    return dealt.sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "rendered").mapInArrow(lean(_assembler(chunk_chars)), FORMATTED)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
