@@ -3,14 +3,16 @@
 A tree builder reads tags with the implied ends and starts of HTML (an li ends an li, a block ends a p, a
 cell opens a row, void elements hold nothing), keeps the open elements on a stack, and renders as it goes:
 blocks part lines, headings and paragraphs stand apart, lists get marks and depth, cells of a table are
-padded to columns, preformatted text keeps its blanks. Everything visible is kept, menus and footers too;
-scripts, styles, heads, comments and whatever is hidden by attribute or inline style are not. Formulas, texts of
+padded to columns, a cell over several rows keeps its column free below it, preformatted text keeps its blanks.
+Everything visible is kept, menus and footers too; scripts, styles, heads, comments and whatever is hidden by
+attribute or inline style are not; a visible element inside an invisible one (by visibility) is. Formulas, texts of
 drawings, all choices of a form and open dialogs are kept; what a browser shows only in place of embedded media
 (in iframe, audio, video, canvas, and object with data) is not, nor are datalists and closed dialogs.
 
 Defined results: a null or empty page gives an empty text; tags that never end, stray ends, unknown elements
-and bare < are taken as browsers do, without error; nesting of any depth needs no recursion; columns are
-padded to pad_limit characters at most, longer cells run over whole; repeated rows give repeated rows; an
+and bare < are taken as browsers do, without error; nesting of any depth needs no recursion and a fixed time a tag; lines
+are indented by INDENT characters at most; columns are padded to pad_limit characters at most, longer cells run
+over whole; repeated rows give repeated rows; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import lean, read, slices, texts_of
+from lodestone.llm.common import lean, read, slices, spread, texts_of
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,7 +40,10 @@ ENDS_P = APART | frozenset("address article aside center details dir div dl fiel
 #: An opening tag ends the nearest open element named, unless one of the walls stands before it.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"}), "optgroup": ({"optgroup"}, {"select"})} | {x: ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}) for x in ("thead", "tbody", "tfoot", "colgroup")}
 SCOPE = frozenset("table td th caption html body".split())
-HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+NOT_DISPLAYED = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
+#: Indents of deeply nested lists end here, or the text would grow with the square of the depth.
+INDENT = 80
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 TAG = re.compile(r"""<(?:!--(?P<note>)|(?P<slash>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>|[!?/][^>]*+>)""")
 BLANKS = re.compile(r"[ \t\r\n\f]+")
@@ -51,6 +56,7 @@ class Flow:
         self.lines: list[str] = []
         self.now: list[str] = []
         self.gap, self.mark, self.indent, self.blank, self.written = False, "", indent, False, False
+        self.dents: list[str] = []  # indents outside the open dd elements
 
     def text(self, data: str, kept: bool) -> None:
         if kept:
@@ -100,8 +106,28 @@ def attributes(rest: str) -> dict[str, str]:
     return found
 
 
-def align(rows: list[list[tuple[list[str], int]]], pad_limit: int) -> list[str]:
-    """Rows of (lines, columns taken) as lines of text with padded columns."""
+def placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[list[str], int]]]:
+    """Rows of (lines, columns taken), with an empty cell where one of an earlier row (lines, columns, rows taken) reaches down."""
+    below: dict[int, int] = {}  # column: rows that it is still taken for
+    out = []
+    for row in rows:
+        taken, cells, at = {c for c, n in below.items() if n > 0}, [], 0
+        below = {c: n - 1 for c, n in below.items() if n > 1}
+        for lines, span, down in row:
+            while at in taken:
+                cells.append(([], 1))
+                at += 1
+            cells.append((lines, span))
+            if down > 1:
+                below.update((c, down - 1) for c in range(at, at + span))
+            at += span
+        out.append(cells)
+    return out
+
+
+def align(spanned: list[list[tuple[list[str], int, int]]], pad_limit: int) -> list[str]:
+    """Rows of (lines, columns taken, rows taken) as lines of text with padded columns."""
+    rows = placed(spanned)
     widths: dict[int, int] = {}
     for row in rows:
         at = 0
@@ -124,8 +150,10 @@ def align(rows: list[list[tuple[list[str], int]]], pad_limit: int) -> list[str]:
 class Renderer:
     def __init__(self, pad_limit: int) -> None:
         self.pad_limit = pad_limit
-        self.open: list[tuple[str, bool]] = []  # name, hidden by itself
+        self.open: list[tuple[str, bool, bool]] = []  # name, hidden by itself, whether all was invisible before it
+        self.places: dict[str, list[int]] = {}  # where in open each name stands
         self.hidden = self.kept = self.foreign = 0  # foreign: open svg and math
+        self.veiled = False
         self.flows = [Flow()]
         self.lists: list[list] = []  # name, number
         self.tables: list[dict] = []
@@ -135,19 +163,20 @@ class Renderer:
         return self.flows[-1]
 
     def data(self, text: str) -> None:
-        if self.hidden or not text:
+        if self.hidden or self.veiled or not text:
             return
         if self.open and self.open[-1][0] in ("table", "tr", "tbody", "thead", "tfoot", "colgroup") and not text.strip():
             return
         self.flow.text(html.unescape(text), self.kept > 0)
 
+    def last(self, names: set[str] | frozenset[str]) -> int:
+        """Where the innermost open element of these names stands, -1 if none is open."""
+        return max((own[-1] for n in names if (own := self.places.get(n))), default=-1)
+
     def near(self, names: set[str] | frozenset[str], walls: set[str] | frozenset[str]) -> int:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in names:
-                return i
-            if self.open[i][0] in walls:
-                return -1
-        return -1
+        """The innermost open element of names, unless one of the walls stands inside it."""
+        at = self.last(names)
+        return at if at >= self.last(walls - names) else -1
 
     def start(self, name: str, rest: str) -> None:
         if name in ENDS and (i := self.near(*ENDS[name])) >= 0:
@@ -157,12 +186,12 @@ class Renderer:
         if name in ("td", "th") and self.tables and self.near({"tr"}, {"table"}) < 0:
             self.start("tr", "")
         found = attributes(rest) if rest.strip(" /\t\r\n") else {}
-        hides = name in UNSEEN or "hidden" in found or bool(HIDDEN_STYLE.search(found.get("style", ""))) or (name == "input" and found.get("type", "").lower() == "hidden")
+        hides = name in UNSEEN or "hidden" in found or bool(NOT_DISPLAYED.search(found.get("style", ""))) or (name == "input" and found.get("type", "").lower() == "hidden")
         hides = hides or (name == "dialog" and "open" not in found) or (name == "object" and "data" in found) or (self.foreign > 0 and name in UNDRAWN)
         if (self.foreign or name in ("svg", "math")) and rest.endswith("/"):
             return
         if name in VOID:
-            if self.hidden or hides:
+            if self.hidden or hides or (self.veiled and name != "br"):
                 return
             if name == "br":
                 self.flow.line(force=True)
@@ -174,8 +203,11 @@ class Renderer:
             elif name == "input" and found.get("type", "text").lower() in ("button", "submit", "reset") and found.get("value"):
                 self.flow.text(found["value"], False)
             return
-        self.open.append((name, hides))
+        self.places.setdefault(name, []).append(len(self.open))
+        self.open.append((name, hides, self.veiled))
         self.hidden += hides
+        if seen := VISIBILITY.search(found.get("style", "")):
+            self.veiled = seen[1].lower() != "visible"
         self.foreign += name in ("svg", "math")
         if self.hidden:
             return
@@ -183,7 +215,7 @@ class Renderer:
             self.flow.line()
             if name in APART and not (self.lists and name in ("ul", "ol")):
                 self.flow.gap = True
-        if name == "optgroup" and found.get("label"):
+        if name == "optgroup" and found.get("label") and not self.veiled:
             self.flow.text(found["label"], False)
             self.flow.line()
         if name == "pre":
@@ -191,16 +223,17 @@ class Renderer:
         elif name in ("ul", "ol", "menu", "dir"):
             number = found.get("start", "1")
             self.lists.append([name, int(number) if re.fullmatch(r"-?\d{1,9}", number) else 1, self.flow.indent])
-            self.flow.indent += "  "
+            self.flow.indent = (self.flow.indent + "  ")[:INDENT]
         elif name == "li":
             base = self.lists[-1][2] if self.lists else ""
             mark = "- "
             if self.lists and self.lists[-1][0] == "ol":
                 mark = f"{self.lists[-1][1]}. "
                 self.lists[-1][1] += 1
-            self.flow.mark, self.flow.indent = mark, base + " " * len(mark)
+            self.flow.mark, self.flow.indent = mark, (base + " " * len(mark))[: INDENT + len(mark)]
         elif name == "dd":
-            self.flow.indent += "  "
+            self.flow.dents.append(self.flow.indent)
+            self.flow.indent = (self.flow.indent + "  ")[:INDENT]
         elif name == "table":
             self.tables.append({"rows": [], "row": None, "flow": len(self.flows)})
         elif name == "tr" and self.tables:
@@ -208,11 +241,14 @@ class Renderer:
         elif name in ("td", "th") and self.tables:
             span = found.get("colspan", "1")
             self.tables[-1]["span"] = min(1000, max(1, int(span))) if re.fullmatch(r"\d{1,6}", span) else 1
+            down = found.get("rowspan", "1")
+            self.tables[-1]["down"] = min(65534, int(down) or 65534) if re.fullmatch(r"\d{1,6}", down) else 1
             self.flows.append(Flow())
             self.flows[-1].lists = self.lists
             self.lists = []
 
-    def finish(self, name: str, hides: bool) -> None:
+    def finish(self, name: str, hides: bool, veiled: bool) -> None:
+        self.veiled = veiled
         self.foreign -= name in ("svg", "math")
         if self.hidden:
             self.hidden -= hides
@@ -222,13 +258,14 @@ class Renderer:
             self.kept -= 1
         elif name == "dd":
             self.flow.line()
-            self.flow.indent = self.flow.indent[:-2]
+            if self.flow.dents:
+                self.flow.indent = self.flow.dents.pop()
         elif name in ("td", "th") and self.tables and len(self.flows) > self.tables[-1]["flow"]:
             cell = self.flows.pop()
             cell.line()
             self.lists = cell.lists
             if self.tables[-1]["row"] is not None:
-                self.tables[-1]["row"].append((cell.lines, self.tables[-1]["span"]))
+                self.tables[-1]["row"].append((cell.lines, self.tables[-1]["span"], self.tables[-1]["down"]))
             return
         elif name == "tr" and self.tables:
             if self.tables[-1]["row"]:
@@ -248,7 +285,9 @@ class Renderer:
 
     def close_to(self, i: int) -> None:
         while len(self.open) > i:
-            self.finish(*self.open.pop())
+            element = self.open.pop()
+            self.places[element[0]].pop()
+            self.finish(*element)
 
     def end(self, name: str) -> None:
         if name == "br":
@@ -322,5 +361,5 @@ def extract_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = extract_html(read(spark, sf_dir, "pages"))
+    text = extract_html(spread(read(spark, sf_dir, "pages").select("page_id", "html")))
     return text.select("page_id", "text", F.length("text").cast("long").alias("n_chars"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
