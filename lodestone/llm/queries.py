@@ -18,7 +18,23 @@ QUERIES = {f.__name__: f for f in (op1_chat_format, op2_near_dedup, op3_shard_re
 #: Lower-casing of A-Z alone; DuckDB's lower() would change other letters too.
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: A byte's CRC-32 table by its rule, and the checksum of a text's UTF-8 bytes.
+_CRC_TABLE = "list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END))"
+_BYTES = "list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+
+
+def _shard(n: int) -> str:
+    scores = f"list_transform(range({n}), lambda i: md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || i))"
+    return f"CAST(list_position({scores}, list_min({scores})) - 1 AS INTEGER)"
+
+
 ORACLES = {
+    "op3_shard_rendezvous": f"""
+        WITH t AS MATERIALIZED (SELECT {_CRC_TABLE} AS crc),
+        d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, {_shard(8)} AS shard, {_shard(9)} AS grown_shard,
+                CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {_BYTES}), lambda c, b: xor(c >> 8, t.crc[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) AS BIGINT) AS text_crc32
+              FROM documents, t)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard FROM d""",
     "op1_chat_format": r"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

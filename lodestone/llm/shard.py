@@ -1,9 +1,10 @@
 """Sharding by rendezvous hashing of stable record keys over weighted shards.
 
-Every record is scored against every shard by a hash of (key, shard); the best score wins. A new shard
-takes only the records for which its own score is best, so no record moves between old shards.
+Every record is scored against every shard by the MD5 of `key:shard`, which any system can compute again; the
+best score wins. A new shard takes only the records for which its own score is best, so no record moves between
+old shards. Slots follow the order of the records.
 
-Defined results: a null key is hashed like any other value; a null text has no bytes and the checksum of
+Defined results: a null key is hashed as the word null; a null text has no bytes and the checksum of
 the empty text; repeated rows get slots of their own; an empty table gives no rows; other columns are kept
 by assign_shards and ignored by shard_slots.
 """
@@ -15,16 +16,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, read
+from lodestone.llm.common import discard, fresh, read, stored
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     """The shard (0-based) of a key. Equal weights compare the hashes themselves, others -ln(u) / weight."""
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be positive")
-    hashes = [F.xxhash64(key, F.lit(i)) for i in range(len(weights))]
+    name = F.coalesce(key.cast("string"), F.lit("null"))
+    hashes = [F.md5(F.concat(name, F.lit(f":{i}")).cast("binary")) for i in range(len(weights))]
     if len(set(weights)) > 1:
-        scores = [-F.log((F.shiftrightunsigned(h, 11) + F.lit(0.5)) / F.lit(float(1 << 53))) / F.lit(float(w)) for h, w in zip(hashes, weights)]
+        number = lambda h: F.conv(F.substring(h, 1, 13), 16, 10).cast("double")
+        scores = [-F.log((number(h) + F.lit(0.5)) / F.lit(float(1 << 52))) / F.lit(float(w)) for h, w in zip(hashes, weights)]
     else:
         scores = hashes
     if len(scores) == 1:
@@ -39,22 +42,23 @@ def assign_shards(df: DataFrame, key: str, weights: Sequence[float], grown: Sequ
 
 
 def shard_slots(records: DataFrame, by: Sequence[str], shard: str = "shard") -> DataFrame:
-    """records with `slot`, gapless from 0 within each shard; `by` are all the columns that tell records apart.
+    """records with `slot`, gapless from 0 within each shard in the order of `by`, all the columns that tell records apart.
 
     Equal records are counted before anything is sorted, so a record that fills a third of the table is one
-    row here. Each shard is cut by a hash of the record into as many buckets as there are shuffle partitions;
-    slots are running sums in a bucket plus the sums of the buckets before, of which there are
-    shards x buckets. The counts are checkpointed: the table is read once.
+    row here. The records are cut into ranges of `by`; slots are running sums in a range plus the sums of the
+    shard's ranges before, of which there are shards x ranges. The ranges are written once: sums and slots are
+    read from one and the same partitioning.
     """
-    spark = records.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = cut(records.groupBy(shard, *(c for c in records.columns if c != shard)).agg(F.count("*").alias("__n")).withColumn("__bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int")))
-    sums = counted.groupBy(shard, "__bucket").agg(F.sum("__n").alias("__sum"))
-    before = sums.withColumn("__base", F.sum("__sum").over(Window.partitionBy(shard).orderBy("__bucket")) - F.col("__sum")).drop("__sum")
-    running = F.sum("__n").over(Window.partitionBy(shard, "__bucket").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counted.withColumn("__first", running - F.col("__n")).join(before, [shard, "__bucket"])
-    first = F.col("__base") + F.col("__first")
-    return placed.withColumn("slot", F.explode(F.sequence(first, first + F.col("__n") - 1))).drop("__n", "__bucket", "__first", "__base")
+    n, part, total, base, first = fresh([*records.columns, "slot"], "n", "part", "total", "base", "first")
+    counted = stored(records.groupBy(*records.columns).agg(F.count("*").alias(n)))
+    ranged = stored(counted.repartitionByRange(*by).withColumn(part, F.spark_partition_id()))
+    discard(counted)
+    sums = ranged.groupBy(shard, part).agg(F.sum(n).alias(total))
+    before = sums.select(shard, part, (F.sum(total).over(Window.partitionBy(shard).orderBy(part)) - F.col(total)).alias(base))
+    running = F.sum(n).over(Window.partitionBy(shard, part).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn(first, running - F.col(n)).join(before, [shard, part])
+    start = F.col(base) + F.col(first)
+    return placed.withColumn("slot", F.explode(F.sequence(start, start + F.col(n) - 1))).select(*records.columns, "slot")
 
 
 def write_shards(df: DataFrame, path: str, shard: str = "shard", files: int = 8) -> None:
