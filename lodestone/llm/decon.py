@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import lean, read, slices, strings, utf8
+from lodestone.llm.common import carried, lean, read, slices, strings, utf8
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A-Z to a-z; bytes that no word holds to a space.
@@ -270,7 +270,7 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = 10, m
                 keep[[i for i, t in new.items() if t is None]] = False
                 yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names).filter(pa.array(keep))
 
-    return documents.mapInArrow(lean(run), documents.schema)
+    return carried(documents, run)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,9 @@ the difference of the Mahalanobis log densities plus the log prior odds, squashe
 factors are inverted once and broadcast with the means (a few kilobytes, whatever the input).
 
 Defined results: a null text is empty and scored like one; a document with several labels has their mean,
-rounded (a tie counts as 1); null labels are none; if a class has no training rows every score is 0.5; an
-empty table gives no rows; repeated rows give repeated rows; other columns are kept by keep_good and
-ignored else.
+rounded (a tie counts as 1); null labels are none; if a class has fewer than two training rows every score is
+0.5, so keep_good keeps every document; an empty table gives no rows; repeated rows give repeated rows; other
+columns, whatever their names, are kept by keep_good and ignored else.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import lean, mix64, read, slices, utf8
+from lodestone.llm.common import carried, lean, mix64, read, slices, spread, utf8
 
 LOWER, UPPER, DIGIT, SPACE, LINE, STOP, COMMA, SHOUT, BAR, SYMBOL, OTHER, HIGH = range(12)
 CLASSES = np.array([LOWER if 97 <= c <= 122 else UPPER if 65 <= c <= 90 else DIGIT if 48 <= c <= 57 else LINE if c in b"\n\r" else SPACE if c in b" \t\x0b\x0c" else STOP if c in b".?" else COMMA if c in b",;:" else SHOUT if c in b"!" else BAR if c in b"|" else SYMBOL if c in b"$%&*#" else HIGH if c >= 128 else OTHER for c in range(256)], np.uint8)
@@ -169,8 +169,8 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(model.value.score(_features_of(b)) >= 0.5))
 
-    return documents.mapInArrow(lean(run), documents.schema)
+    return carried(documents, run)
 
 
 def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_quality(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return score_quality(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), read(spark, sf_dir, "labels").select("doc_id", "quality"))

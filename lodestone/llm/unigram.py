@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Recent, lean, read, slices, strings, utf8
+from lodestone.llm.common import Recent, lean, read, slices, spread, strings, utf8
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -115,4 +115,4 @@ def count_tokens(documents: DataFrame, model: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return count_tokens(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path("piece_bpe_32k.model"))
