@@ -2,10 +2,12 @@
 
 An id is split into chunks of 8 bits. Level k holds, for the ids that reach it, chunk k, one bit that says
 whether a chunk k+1 follows, and a rank directory: the number of set bits before each block of 512. The id
-at any position is found by following its bit from level to level with rank queries; no block is decoded.
+at any position is found by following its bit from level to level with rank queries; no block is decoded. A
+document's ids are read in the same way: its run of chunks on each level begins at a rank.
 
 A file is a Parquet data set with one row a segment: the levels of about segment_tokens ids of whole
-documents, and where each document ends. Rows: part, segment, first (ids of the part before it), n_tokens,
+documents (small enough that a row is about a page, which is what a reader of one id fetches), and where each
+document ends. Rows: part, segment, first (ids of the part before it), n_tokens,
 doc_ids, doc_ends, chunks, more, ranks. Parts are ranges of ascending doc_id, in order.
 
 Defined results: a null text is empty and has only the end id; documents with one doc_id follow each other
@@ -37,6 +39,11 @@ LOWERED = bytes(c + 32 if 65 <= c <= 90 else BLANKS[c] for c in range(256))
 #: A letter and the ASCII punctuation behind it.
 EDGE = r"(\p{L})([!-&(-/:-@\[-`{-~])"
 
+#: Fixed value: the words of the tokenizer whose texts may be cut at blanks.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Pieces that a worker remembers; they take a few megabytes as buffers.
+KNOWN = 1 << 18
+
 
 # ---- the code ----
 
@@ -69,6 +76,24 @@ def dac_get(chunks: list[bytes], more: list[bytes], ranks: list[bytes], i: int)
     return value
 
 
+def dac_range(chunks: list[bytes], more: list[bytes], ranks: list[bytes], a: int, z: int) -> np.ndarray:
+    """The ids at positions a to z (exclusive): each level's run of chunks begins at the rank of its first id; nothing before it is decoded."""
+    out = np.frombuffer(chunks[0], np.uint8, z - a, a).astype(np.uint32)
+    at = np.arange(z - a)
+    for k in range(1, len(chunks)):
+        word, shift = a >> 3, a & 7
+        bits = np.unpackbits(np.frombuffer(more[k - 1], np.uint8, (z + 7 >> 3) - word, word), bitorder="little")[shift : shift + z - a].astype(bool)
+        block = a // BLOCK
+        before = int.from_bytes(more[k - 1][block * BLOCK // 8 : a // 8 + 1], "little") & ((1 << (a - block * BLOCK)) - 1)
+        at = at[bits]
+        if not len(at):
+            break
+        a = int.from_bytes(ranks[k - 1][4 * block : 4 * block + 4], "little") + before.bit_count()
+        z = a + len(at)
+        out[at] |= np.frombuffer(chunks[k], np.uint8, z - a, a).astype(np.uint32) << np.uint32(8 * k)
+    return out
+
+
 def dac_decode(chunks: list[bytes], more: list[bytes]) -> np.ndarray:
     """All ids of a segment."""
     out = np.frombuffer(chunks[0], np.uint8).astype(np.uint32)
@@ -82,13 +107,25 @@ def dac_decode(chunks: list[bytes], more: list[bytes]) -> np.ndarray:
 
 # ---- the tokenizer ----
 
-class Pieces:
-    """Ids of texts by a tokenizers file whose words never cross a blank and end in a marked piece.
+def word_wise(parts: dict) -> bool:
+    """Whether a tokenizers file lower-cases, writes blanks as spaces and splits off runs of letters with a marked end."""
+    normal, split = parts.get("normalizer") or {}, parts.get("pre_tokenizer") or {}
+    steps = [(x["type"], x.get("content")) for x in normal.get("normalizers", [])]
+    cuts = [x["type"] for x in split.get("pretokenizers", [])]
+    first = split["pretokenizers"][0] if cuts else {}
+    letters = first.get("pattern", {}).get("Regex") == WORDS and first.get("invert") and first.get("behavior") == "Removed"
+    return steps == [("NFC", None), ("Replace", " "), ("Lowercase", None)] and cuts == ["Split", "ByteLevel"] and bool(letters) and bool(parts["model"].get("end_of_word_suffix")) and not parts.get("post_processor")
+
 
-    A text is cut at blanks, and between a letter and ASCII punctuation (not the apostrophe of a contraction),
-    where the tokenizer cuts too. Each distinct piece of a run of texts is encoded once. Pieces of letters
-    alone are one word each, so many go through the tokenizer as one text, and the ids are parted behind each
-    word's last piece.
+class Pieces:
+    """Ids of texts by a tokenizers file, equal to the library's for whole texts.
+
+    Where the file is one whose words never cross a blank and end in a marked piece (`by_words` reads that from
+    its normaliser, pre-tokenizer and model), a text is cut at blanks, and between a letter and ASCII punctuation
+    (not the apostrophe of a contraction), where the tokenizer cuts too. Each distinct piece of a run of texts is
+    encoded once, and at most KNOWN pieces are remembered from run to run. Pieces of letters alone are one word
+    each, so many go through the tokenizer as one text, and the ids are parted behind each word's last piece.
+    With any other file whole texts go through the library.
     """
 
     def __init__(self, path: str) -> None:
@@ -97,7 +134,10 @@ class Pieces:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            suffix = json.load(f)["model"].get("end_of_word_suffix")
+            parts = json.load(f)
+        suffix = parts["model"].get("end_of_word_suffix")
+        self.by_words = word_wise(parts)
+        self.known, self.flat, self.lens = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix:
@@ -133,8 +173,26 @@ class Pieces:
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         return join(flat, np.uint32), join(lens, np.int64), run
 
+    def ids_of(self, names: pa.Array, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces that index names, and how many each has; known pieces are not encoded again."""
+        at = pc.fill_null(pc.index_in(names, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        fresh = names.take(pa.array(new))
+        found, takes = gather(*self.distinct(fresh.to_pylist()))
+        at[new] = len(self.lens) + np.arange(len(new))
+        flat, lens = np.concatenate([self.flat, found]), np.concatenate([self.lens, takes])
+        if len(lens) <= KNOWN:
+            self.known, self.flat, self.lens = pa.concat_arrays([self.known, fresh]), flat, lens
+        else:  # begin anew with the pieces at hand
+            self.known = names.slice(0, KNOWN)
+            self.flat, self.lens = gather(flat, lens, at[:KNOWN])
+        return gather(flat, lens, at[index])
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
+        if not self.by_words:
+            found = self.encode([x or "" for x in texts.to_pylist()])
+            return np.concatenate([np.zeros(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
         off, data = utf8(texts)
         raw = data.tobytes()
         # composing marks could make one letter of two: then A-Z is left to the tokenizer
@@ -147,8 +205,7 @@ class Pieces:
         words = parts.flatten().dictionary_encode()
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        flat, lens, run = self.distinct(words.dictionary.to_pylist())
-        out, take = gather(flat, lens, run[words.indices.to_numpy()])
+        out, take = self.ids_of(words.dictionary, words.indices.to_numpy())
         ends = np.r_[0, np.cumsum(take)][parts.offsets.to_numpy() - parts.offsets[0].as_py()]
         return out, np.diff(ends)
 
@@ -201,7 +258,7 @@ def _writer(tokenizer: str, end_id: int, segment_tokens: int):
     return encode
 
 
-def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int, segment_tokens: int = 1 << 18) -> None:
+def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int, segment_tokens: int = 1 << 16) -> None:
     """Encode whole texts and write them to path in ascending doc_id order."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lean(_writer(tokenizer, end_id, segment_tokens)), SEGMENT).write.parquet(path)
@@ -210,49 +267,59 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int, s
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(b.num_rows):
-            part, first, docs, ends, chunks, more = (b.column(c)[i].as_py() for c in ("part", "first", "doc_ids", "doc_ends", "chunks", "more"))
-            ids = dac_decode(chunks, more).astype("<u4")
+            part, first, docs, ends, *levels = (b.column(c)[i].as_py() for c in ("part", "first", "doc_ids", "doc_ends", "chunks", "more", "ranks"))
             starts = [0, *ends[:-1]]
-            sums = [crc32(ids[a:z].tobytes()) for a, z in zip(starts, ends)]
+            sums = [crc32(dac_range(*levels, a, z).astype("<u4")) for a, z in zip(starts, ends)]
             n = np.diff(np.r_[0, ends])
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(docs), pa.int32()), pa.array(docs, pa.int64()), pa.array(first + np.asarray(starts, np.int64)), pa.array(n, pa.int64()), pa.array(sums, pa.int64())], names=["part", "doc_id", "local", "n_tokens", "ids_crc32"])
 
 
-def token_index(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of a file: doc_id, start, n_tokens, ids_crc32, read from its codes.
+def part_bases(segments: DataFrame) -> DataFrame:
+    """part and base, the ids of all parts before: one row a part, as many as the write had partitions."""
+    parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    return parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
 
-    A part's first id is the sum of the parts before; there is one row a part, as many as the write had
-    partitions, and only those columns of the segments are read for it.
-    """
+
+def token_index(spark: SparkSession, path: str) -> DataFrame:
+    """Per document of a file: doc_id, start, n_tokens, ids_crc32, read from its codes by the rank directories."""
     segments = spark.read.parquet(path)
-    parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    bases = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    rows = segments.select("part", "first", "doc_ids", "doc_ends", "chunks", "more").mapInArrow(lean(_documents), "part int, doc_id long, local long, n_tokens long, ids_crc32 long")
-    return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    rows = segments.select("part", "first", "doc_ids", "doc_ends", "chunks", "more", "ranks").mapInArrow(lean(_documents), "part int, doc_id long, local long, n_tokens long, ids_crc32 long")
+    return rows.join(part_bases(segments), "part").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+
+
+WANTED = "part int, segment int, start long, positions array<long>"
 
 
 def token_at(spark: SparkSession, path: str, positions: list[int]) -> DataFrame:
     """position and id of the file's ids at these positions, by rank queries; one outside the file gives no row.
 
-    Segments are found by their first positions, of which the driver reads one small row each; only codes of
-    segments that hold a position are read.
+    The segments that hold a position are found by their bounds alone, which stay with the executors; the driver
+    gets one row for each of them, so no more than the caller has positions. Codes are read of these segments only.
     """
     segments = spark.read.parquet(path)
-    rows = sorted(tuple(r) for r in segments.select("part", "segment", "n_tokens").collect())
-    stops = np.cumsum([r[2] for r in rows], dtype=np.int64)
-    total = int(stops[-1]) if len(rows) else 0
-    asked = np.array(sorted({p for p in positions if 0 <= p < total}), np.int64)
-    owner = np.searchsorted(stops, asked, side="right")
-    found = [(*rows[i][:2], int(stops[i]) - rows[i][2], asked[owner == i].tolist()) for i in np.unique(owner)]
-    wanted = spark.createDataFrame(found, "part int, segment int, start long, positions array<long>")
+    asked = np.array(sorted({p for p in positions if p >= 0}), np.int64)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            start, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("start", "n_tokens"))
+            low, high = np.searchsorted(asked, start), np.searchsorted(asked, start + n)
+            keep = np.flatnonzero(high > low)
+            held = pa.array([asked[low[i] : high[i]].tolist() for i in keep], pa.list_(pa.int64()))
+            take = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("part", "segment", "start")), held], names=["part", "segment", "start", "positions"])
+
+    bounds = segments.select("part", "segment", "first", "n_tokens").join(part_bases(segments), "part").select("part", "segment", (F.col("base") + F.col("first")).alias("start"), "n_tokens")
+    found = [tuple(r) for r in bounds.mapInArrow(pick, WANTED).collect()]
+    if len({r[0] for r in found}) <= 1000:  # the scan skips what these values rule out
+        segments = segments.where(F.col("part").isin(sorted({r[0] for r in found})) & F.col("segment").isin(sorted({r[1] for r in found})))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                start, at, chunks, more, ranks = (b.column(c)[i].as_py() for c in ("start", "positions", "chunks", "more", "ranks"))
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([dac_get(chunks, more, ranks, p - start) for p in at], pa.int64())], names=["position", "id"])
+                start, at, *levels = (b.column(c)[i].as_py() for c in ("start", "positions", "chunks", "more", "ranks"))
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([dac_get(*levels, p - start) for p in at], pa.int64())], names=["position", "id"])
 
-    return segments.join(F.broadcast(wanted), ["part", "segment"]).select("start", "positions", "chunks", "more", "ranks").mapInArrow(lean(run), "position long, id long")
+    return segments.join(spark.createDataFrame(found, WANTED), ["part", "segment"]).select("start", "positions", "chunks", "more", "ranks").mapInArrow(lean(run), "position long, id long")
 
 
 def op4_token_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
