@@ -9,8 +9,10 @@ signatures agree in a component with a probability equal to the weighted Jaccard
 Texts with equal multisets are one node. Nodes are banded (24 bands of 5 components: a pair at similarity
 0.8 is missed with probability 7e-5). In a bucket of few nodes all pairs are candidates; in a larger one
 each node is paired with a hub, the node whose bands are the most crowded. Candidates are verified by their
-multisets' overlap. Where a larger bucket is then still in several classes, its nodes are compared in full as
-matrix products of bounded blocks, so no link is lost and no list of pairs is made.
+multisets' overlap; a hub's text goes once to each block of its pairs. Where a larger bucket is then still in
+several classes, its nodes are compared in full as matrix products of bounded blocks, so no link is lost and no
+list of pairs is made; buckets of the same nodes are compared once. What is known of a bucket is joined to its
+nodes under as many keys as its size asks for, so no key stands for more than about HOT rows.
 
 Rows are told apart by a key, a hash of id and text, so neither null nor a repeated id stands for other texts.
 
@@ -31,12 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, lean, mix64, read, slices, strings, utf8
+from lodestone.llm.common import discard, fresh, lean, mix64, read, slices, spread, stored, strings, utf8
 from lodestone.llm.decon import TABLE
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 FEW = 8
-BLOCK_WORDS, BLOCK_NODES = 1 << 18, 1 << 10
+BLOCK_WORDS, BLOCK_NODES = 1 << 18, 1 << 9
+#: Rows of one bucket that go under one key of a join.
+HOT = 1 << 10
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -142,45 +146,51 @@ def _sketcher(bands: int, rows: int):
     return run
 
 
-def _verifier(threshold: float):
-    """Of rows (a, b, bag_a, bag_b, text_a, text_b): those whose texts have these bags and are alike."""
+def _stars(threshold: float):
+    """Of rows sorted by cell, its centre (side 0) first: (a, b) for the centre and each node of the cell that is like it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, centre, xs, xw = None, None, None, None
         for batch in batches:
-            for part in slices(batch, "text_b"):
+            for part in slices(batch, "text"):
                 n = part.num_rows
-                both = pa.concat_arrays([part.column("text_a").cast(pa.large_string()), part.column("text_b").cast(pa.large_string())])
-                # a hub's text comes up again and again: each distinct text is read once
-                coded = pc.fill_null(both, "").dictionary_encode()
-                doc, shingle, weight, _ = bags(coded.dictionary)
-                k = len(coded.dictionary)
-                names = [x.tobytes() for x in bag_names(doc, shingle, weight, k)]
-                ends = np.searchsorted(doc, np.arange(k + 1))
-                index = coded.indices.to_numpy()
-                keep = np.zeros(n, bool)
-                for i, (a, b) in enumerate(zip(part.column("bag_a").to_pylist(), part.column("bag_b").to_pylist())):
-                    x, y = int(index[i]), int(index[n + i])
-                    if names[x] != a or names[y] != b:
-                        continue
-                    xs, xw, ys, yw = shingle[ends[x] : ends[x + 1]], weight[ends[x] : ends[x + 1]], shingle[ends[y] : ends[y + 1]], weight[ends[y] : ends[y + 1]]
-                    at = np.minimum(np.searchsorted(xs, ys), max(len(xs) - 1, 0))
-                    common = int(np.minimum(xw[at], yw)[xs[at] == ys].sum()) if len(xs) else 0
-                    keep[i] = common >= threshold * (int(xw.sum()) + int(yw.sum()) - common)
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep))
+                doc, shingle, weight, _ = bags(part.column("text"))
+                names = bag_names(doc, shingle, weight, n)
+                ends = np.searchsorted(doc, np.arange(n + 1))
+                cells, sides, nodes = (part.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("cell", "side", "node"))
+                found = []
+                for i, name in enumerate(part.column("bag").to_pylist()):
+                    if names[i].tobytes() != name:
+                        continue  # another text with the key of the one that is meant
+                    ys, yw = shingle[ends[i] : ends[i + 1]], weight[ends[i] : ends[i + 1]]
+                    if sides[i] == 0:
+                        now, centre, xs, xw = cells[i], nodes[i], ys.copy(), yw.copy()
+                    elif cells[i] == now and len(xs):
+                        at = np.minimum(np.searchsorted(xs, ys), len(xs) - 1)
+                        common = int(np.minimum(xw[at], yw)[xs[at] == ys].sum())
+                        if common >= threshold * (int(xw.sum()) + int(yw.sum()) - common):
+                            found.append((min(centre, nodes[i]), max(centre, nodes[i])))
+                a, b = zip(*found) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _with_texts(rows: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows (cell, side, node, ...) with the nodes' bags and texts, a cell in one task and sorted. Only texts that are asked for are shuffled."""
+    named = rows.join(nodes.select("node", "bag", F.col("rep.key").alias("key")), "node")
+    texts = docs.select("key", "text").join(named.select("key").distinct(), "key", "left_semi")
+    return named.join(texts, "key").drop("key").repartition("cell").sortWithinPartitions("cell", "side")
+
+
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The candidate pairs (a < b, nodes) whose multisets overlap enough. Only texts of these pairs are shuffled."""
-    ids = nodes.select("node", "bag", F.col("rep.key").alias("key"))
-    a = ids.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"), F.col("key").alias("key_a"))
-    b = ids.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"), F.col("key").alias("key_b"))
-    named = pairs.join(a, "a").join(b, "b")
-    wanted = named.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
-    texts = docs.join(wanted, "key", "left_semi")
-    both = named.join(texts.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a").join(texts.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
-    return both.select("a", "b", "bag_a", "bag_b", "text_a", "text_b").mapInArrow(lean(_verifier(threshold)), "a long, b long").distinct()
+    """The candidate pairs (centre, node, parts) whose multisets overlap enough, as (a, b) with a < b.
+
+    The pairs of a centre are dealt into `parts` cells; the centre's text goes once into each.
+    """
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("cell", F.xxhash64("centre", "salt"))
+    rows = dealt.select("cell", F.lit(1).alias("side"), "node").union(dealt.select("cell", F.lit(0).alias("side"), F.col("centre").alias("node")).distinct())
+    return _with_texts(rows, nodes, docs).select("cell", "side", "node", "bag", "text").mapInArrow(lean(_stars(threshold)), "a long, b long").distinct()
 
 
 def _cell_pairs(nodes: np.ndarray, roots: np.ndarray, side: np.ndarray, texts: pa.Array, names: list[bytes], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -260,47 +270,53 @@ def _cells(threshold: float):
     return run
 
 
+def by_bucket(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """rows (band, node, size, ...) with the columns of per (band, size, ...). A bucket's rows are dealt over as many keys as its size asks for."""
+    parts = F.ceil(F.col("size") / HOT).cast("int")
+    spread = per.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("size")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), parts).cast("int")).join(spread, ["band", "salt"]).drop("salt")
+
+
 def compare_blocks(left: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between different roots of (band, node, root) rows, by comparing nodes that buckets connect.
+    """Links (a, b) between different roots of (band, node, root, size, words) rows, by comparing the nodes of each bucket.
 
-    Buckets that share nodes make a group. In a group, nodes outside its largest class are cut into blocks of
-    about BLOCK_WORDS words and BLOCK_NODES nodes, and so are those inside; outer blocks meet all blocks, inner
-    ones only outer ones. A cell of two blocks is one task's matrix product; no pair is a row unless it links.
+    In a bucket, nodes outside its largest class are cut into blocks of about BLOCK_WORDS words and BLOCK_NODES
+    nodes, and so are those inside; outer blocks meet all blocks, inner ones only outer ones. A cell of two blocks
+    is one task's matrix product; no pair is a row unless it links.
     """
-    hubs = left.groupBy("band").agg(F.min("node").alias("low"))
-    linked = components(left.join(hubs, "band").select(F.col("node").alias("a"), F.col("low").alias("b")))
-    placed = cut(left.select("node", "root").distinct().join(linked.select("node", F.col("root").alias("g")), "node").join(nodes.select("node", "bag", F.col("rep.key").alias("key"), "words"), "node"))
-    classes = placed.groupBy("g", "root").agg(F.count("*").alias("c"))
-    main = classes.groupBy("g").agg(F.max(F.struct("c", "root")).alias("m")).select("g", F.col("m.root").alias("main"))
-    marked = placed.join(main, "g").withColumn("outer", F.col("root") != F.col("main"))
-    blocks = lambda flag: F.ceil(F.greatest(F.sum(F.when(flag, F.col("words")).otherwise(0)) / BLOCK_WORDS, F.count_if(flag) / BLOCK_NODES)).cast("int")
-    sizes = marked.groupBy("g").agg(blocks(F.col("outer")).alias("no"), blocks(~F.col("outer")).alias("ni"))
-    dealt = marked.join(sizes, "g").withColumn("own", F.when(F.col("outer"), F.pmod(F.xxhash64("node"), F.col("no"))).otherwise(F.col("no") + F.pmod(F.xxhash64("node"), F.col("ni"))).cast("int"))
+    classes = left.groupBy("band", "root").agg(F.count("*").alias("c"), F.sum("words").alias("w"), F.max("size").alias("size"))
+    per = classes.groupBy("band").agg(F.max("size").alias("size"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.max(F.struct("c", "root", "w")).alias("m"))
+    blocks = lambda words, count: F.ceil(F.greatest(words / BLOCK_WORDS, count / BLOCK_NODES)).cast("int")
+    per = per.select("band", "size", F.col("m.root").alias("main"), blocks(F.col("w") - F.col("m.w"), F.col("c") - F.col("m.c")).alias("no"), blocks(F.col("m.w"), F.col("m.c")).alias("ni"))
+    dealt = by_bucket(left, per).withColumn("outer", F.col("root") != F.col("main"))
+    dealt = dealt.withColumn("own", F.when(F.col("outer"), F.pmod(F.xxhash64("node"), F.col("no"))).otherwise(F.col("no") + F.pmod(F.xxhash64("node"), F.col("ni"))).cast("int"))
     others = F.when(F.col("outer"), F.sequence(F.lit(0), F.col("no") + F.col("ni") - 1)).otherwise(F.sequence(F.lit(0), F.col("no") - 1))
     spread = dealt.withColumn("other", F.explode(others))
-    cell = F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other"))
-    side = (F.col("own") > F.col("other")).cast("int")
-    texts = docs.join(placed.select("key").distinct(), "key", "left_semi").select("key", "text")
-    rows = spread.select(cell.alias("cell"), side.alias("side"), "node", "root", "bag", "key").join(texts, "key")
-    return rows.select("cell", "side", "node", "root", "bag", "text").repartition("cell").sortWithinPartitions("cell").mapInArrow(lean(_cells(threshold)), "a long, b long").distinct()
+    cell = F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other"))
+    rows = spread.select(cell.alias("cell"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root")
+    return _with_texts(rows, nodes, docs).select("cell", "side", "node", "root", "bag", "text").mapInArrow(lean(_cells(threshold)), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node) for the undirected edges (a, b) of whole numbers, by alternating large and small stars."""
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     state = None
     while True:
+        old = now
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(low, "u")
-        now = cut(star.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
+        now = stored(star.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(old)
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if new == state:
             break
         state = new
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    out = stored(now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct())
+    discard(now)
+    return out
 
 
 def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -309,10 +325,13 @@ def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
     for x in ("a", "b"):
         named = roots.select(F.col("node").alias(x), F.col("root").alias(f"__{x}"))
         ends = ends.join(named, x, "left").withColumn(f"__{x}", F.coalesce(f"__{x}", x))
-    lifted = cut(components(ends.select(F.col("__a").alias("a"), F.col("__b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("__new")))
+    joined = components(ends.select(F.col("__a").alias("a"), F.col("__b").alias("b")))
+    lifted = joined.select(F.col("node").alias("root"), F.col("root").alias("__new"))
     moved = roots.join(lifted, "root", "left").select("node", F.coalesce("__new", "root").alias("root"))
-    fresh = lifted.select(F.col("root").alias("node"), F.col("__new").alias("root")).join(roots.select("node"), "node", "left_anti")
-    return cut(moved.union(fresh))
+    added = lifted.select(F.col("root").alias("node"), F.col("__new").alias("root")).join(roots.select("node"), "node", "left_anti")
+    out = stored(moved.union(added))
+    discard(joined)
+    return out
 
 
 def row_key(doc_id, text):
@@ -320,62 +339,72 @@ def row_key(doc_id, text):
     return F.xxhash64(doc_id.cast("long"), F.coalesce(text.cast("string"), F.lit("")))
 
 
-def _classes(documents: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row for each distinct id and text: doc_id, key, copies, class_id, class_size, chosen."""
+def _classes(documents: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, list[DataFrame]]:
+    """One row for each distinct id and text: doc_id, key, copies, class_id, class_size, chosen; and the tables it is read from."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(F.col("doc_id"), F.col("text")).alias("key"))
-    sketches = cut(docs.mapInArrow(lean(_sketcher(bands, rows)), "doc_id long, key long, bag binary, words long, bands array<long>"))
+    sketches = stored(docs.mapInArrow(lean(_sketcher(bands, rows)), "doc_id long, key long, bag binary, words long, bands array<long>"))
     if not sketches.groupBy("key").count().where("count > 1").isEmpty():
         docs = docs.distinct()  # else each copy of a row would meet all the pairs its text is in
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    nodes = cut(sketches.groupBy("bag").agg(first.alias("rep"), F.count("*").alias("n"), F.max("words").alias("words"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = stored(sketches.groupBy("bag").agg(first.alias("rep"), F.count("*").alias("n"), F.max("words").alias("words"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
     members = nodes.select("node", F.explode("bands").alias("band"))
     sizes = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    crowded = cut(members.join(sizes, "band"))
+    crowded = stored(members.join(sizes, "band"))
 
     few = crowded.where(F.col("size") <= FEW)
     other = few.select("band", F.col("node").alias("b"))
-    pairs = few.select("band", F.col("node").alias("a")).join(other, "band").where("a < b").select("a", "b")
-    large = crowded.where(F.col("size") > FEW)
-    crowd = large.groupBy("node").agg(F.sum("size").alias("crowd"))
-    large = cut(large.join(crowd, "node").select("band", "node", "crowd"))
-    hubs = large.groupBy("band").agg(F.max(F.struct("crowd", "node")).alias("h")).select("band", F.col("h.node").alias("hub"))
-    starred = large.join(hubs, "band").where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    tried = cut(pairs.union(starred).distinct())
-    roots = cut(components(cut(verify(tried, nodes, docs, threshold))))
-
-    # buckets of one class are done with; nodes of the others are compared in full, block by block
-    placed = large.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
-    left = cut(placed.join(split, "band"))
+    pairs = few.select("band", F.col("node").alias("a")).join(other, "band").where("a < b").select("a", "b", F.col("a").alias("centre"), F.lit(1).cast("long").alias("parts"))
+    big = crowded.where(F.col("size") > FEW)
+    large = stored(big.join(big.groupBy("node").agg(F.sum("size").alias("crowd")), "node").select("band", "node", "size", "crowd"))
+    hubs = large.groupBy("band").agg(F.max("size").alias("size"), F.max(F.struct("crowd", "node")).alias("h")).select("band", "size", F.col("h.node").alias("hub"))
+    starred = by_bucket(large, hubs).where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.col("hub").alias("centre"), F.ceil(F.col("size") / HOT).alias("parts"))
+    # a pair that comes up several times is tried once, with one of its centres
+    once = pairs.union(starred).groupBy("a", "b").agg(F.max(F.struct("parts", "centre")).alias("c"))
+    tried = once.select(F.col("c.centre").alias("centre"), F.when(F.col("c.centre") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node"), F.col("c.parts").alias("parts"))
+    links = stored(verify(tried, nodes, docs, threshold))
+    roots = components(links)
+    discard(links, crowded)
+
+    # buckets of one class are done with; of the others, those of the same nodes are compared in full once
+    placed = large.join(roots, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
+    sums = [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(20,0)")).alias(f"s{i}") for i in (0, 1)]
+    split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("size").alias("size"), *sums).where("low != high")
+    chosen_bands = split.groupBy("size", "s0", "s1").agg(F.min("band").alias("band")).select("band", "size")
+    left = stored(by_bucket(placed, chosen_bands).join(nodes.select("node", "words"), "node"))
     if not left.isEmpty():
-        roots = merged(roots, cut(compare_blocks(left, nodes, docs, threshold)))
+        links, old = stored(compare_blocks(left, nodes, docs, threshold)), roots
+        roots = merged(old, links)
+        discard(links, old)
+    discard(left, large)
 
     labelled = nodes.join(roots, "node", "left").select("bag", "rep", "n", F.coalesce("root", "node").alias("root"))
     classes = labelled.groupBy("root").agg(F.min("rep").alias("best"), F.sum("n").alias("class_size"))
     names = labelled.join(classes, "root").select("bag", "best", "class_size")
     counted = sketches.groupBy("doc_id", "bag", "key").agg(F.count("*").alias("copies"))
     chosen = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))
-    return counted.join(names, "bag").select("doc_id", "key", "copies", F.col("best.doc_id").alias("class_id"), "class_size", chosen.alias("chosen"))
+    return counted.join(names, "bag").select("doc_id", "key", "copies", F.col("best.doc_id").alias("class_id"), "class_size", chosen.alias("chosen")), [sketches, nodes, roots]
 
 
 def near_classes(documents: DataFrame, **parameters) -> DataFrame:
     """One row a document: doc_id, class_id, class_size, kept."""
-    dealt = _classes(documents, **parameters).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    dealt = _classes(documents, **parameters)[0].withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return dealt.select("doc_id", "class_id", "class_size", ((F.col("copy") == 1) & F.col("chosen")).alias("kept"))
 
 
 def drop_near(documents: DataFrame, **parameters) -> DataFrame:
     """documents with one row of each class, that of the least id."""
-    kept = cut(_classes(documents, **parameters).where("chosen").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "copies"))
-    same = documents["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (row_key(documents["doc_id"], documents["text"]) == F.col("__key"))
-    repeated = kept.where("copies > 1")
-    if repeated.isEmpty():
+    own_id, own_key, n, body = fresh(documents.columns, "id", "key", "copies", "body")
+    classes, read_from = _classes(documents, **parameters)
+    kept = stored(classes.where("chosen").select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key), F.col("copies").alias(n)))
+    discard(*read_from)
+    same = documents["doc_id"].cast("long").eqNullSafe(kept[own_id]) & (row_key(documents["doc_id"], documents["text"]) == kept[own_key])
+    if kept.where(F.col(n) > 1).isEmpty():
         return documents.join(kept, same, "left_semi")
     # of rows with one id and text any is kept, as they are told apart by other columns at most
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    again = documents.join(repeated, same, "left_semi").withColumn("__text", text).dropDuplicates(["doc_id", "__text"]).drop("__text")
-    return documents.join(kept.where("copies = 1"), same, "left_semi").unionByName(again)
+    again = documents.join(kept.where(F.col(n) > 1), same, "left_semi").withColumn(body, text).dropDuplicates(["doc_id", body]).drop(body)
+    return documents.join(kept.where(F.col(n) == 1), same, "left_semi").unionByName(again)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_classes(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))

@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -43,6 +45,14 @@ def test_chat_round_trip(role):
         assert chat.ESCAPED.sub(r"\1", rendered[start:end]) == text
 
 
+def test_chat_ties_go_by_text(spark):
+    rows = [(1, 0, "user", t) for t in ("a", "a!", "a\\", "a<", "</turn>", "### User: ", "é", "🙂", "\ufffd")]
+    turns = frame(spark, rows, "conv_id long, turn long, role string, text string")
+    got = chat.chat_digest(chat.format_chats(turns)).first()
+    want = "".join(f"user\n{t}\n" for t in sorted((r[3] for r in rows), key=str.encode))
+    assert got["turns_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_chat_digest(spark):
     rows = [(1, 1, "assistant", "b</turn>"), (1, 0, "user", None), (2, 0, "assistant", "x\\y"), (2, 0, "assistant", "x\\y"), (None, None, None, "é"), (3, 0, "tool", "### User: ")]
     turns = frame(spark, rows, "conv_id long, turn long, role string, text string")
@@ -111,12 +121,26 @@ def test_near_classes_match_brute_force(spark):
     for i, (d, _) in enumerate(rows):
         classes.setdefault(root(i), []).append(d)
     want = sorted((d is None, d or 0, min(x for x in c if x is not None), len(c)) for c in classes.values() for d in c)
-    for some, words, size in ((8, 1 << 18, 1 << 10), (2, 500, 7)):
+    for some, words, size in ((8, 1 << 18, 1 << 9), (2, 500, 7)):
         near.FEW, near.BLOCK_WORDS, near.BLOCK_NODES = some, words, size
         got = near.near_classes(frame(spark, rows)).collect()
         assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["class_id"], r["class_size"]) for r in got) == want
         assert sum(r["kept"] for r in got) == len(classes)
-    near.FEW, near.BLOCK_WORDS, near.BLOCK_NODES = 8, 1 << 18, 1 << 10
+    near.FEW, near.BLOCK_WORDS, near.BLOCK_NODES = 8, 1 << 18, 1 << 9
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables")
+def test_near_finds_all_links_of_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    bags = {r["doc_id"]: bag(r["text"]) for r in rows}
+    ids = sorted(bags)
+    links = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if bags[a] and bags[b] and jaccard(bags[a], bags[b]) >= 0.8]
+    of = {r["doc_id"]: r["class_id"] for r in near.near_classes(docs).collect()}
+    found = sum(of[a] == of[b] for a, b in links)
+    assert links and found == len(links)  # recall 1.0
+    linked = {x for pair in links for x in pair}
+    assert all(of[d] == d for d in ids if d not in linked and bags[d])  # and nothing else is joined
 
 
 def test_drop_near_tells_rows_apart_by_text(spark):
@@ -206,14 +230,20 @@ def test_codes(top):
     chunks, more, ranks = dac.dac_encode(ids)
     assert (dac.dac_decode(chunks, more) == ids).all()
     assert [dac.dac_get(chunks, more, ranks, i) for i in range(len(ids))] == ids.tolist()
+    for a, z in ((0, 3001), (0, 0), (3001, 3001), (7, 8), (511, 513), (1000, 2999), (3000, 3001)):
+        assert dac.dac_range(chunks, more, ranks, a, z).tolist() == ids[a:z].tolist()
 
 
-def test_pieces_equal_the_library():
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pieces_equal_the_library(name, monkeypatch):
     import tokenizers
 
-    path = P.path("word_bpe_49k.json")
+    path = P.path(name)
     some = texts()
-    got = split(*dac.Pieces(path)(pa.array(some, pa.string())))
+    monkeypatch.setattr(dac, "KNOWN", 300)
+    coder = dac.Pieces(path)
+    assert coder.by_words == (name == "word_bpe_49k.json")
+    got = [x for a in range(0, len(some), 100) for x in split(*coder(pa.array(some[a : a + 100], pa.string())))]
     assert got == [e.ids for e in tokenizers.Tokenizer.from_file(path).encode_batch([x or "" for x in some], add_special_tokens=False)]
 
 
@@ -281,12 +311,23 @@ def test_html(page, want):
         ("<map name=m>in a map</map>", "in a map"),
         ("<object>fallback</object><object data=x>unseen</object>", "fallback"),
         ("<dialog open>seen</dialog><dialog>closed</dialog>", "seen"),
+        ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no<img alt=no></div>on", "yes\non"),
+        ("<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e</table>", "A | b\n  | c\nd | e"),
+        ("<table><tr><td>a<td rowspan=0 colspan=2>b<tr><td>c<tr><td>d<td>e</table>", "a | b\nc\nd |  |  | e"),
     ],
 )
 def test_html_keeps_what_browsers_show(page, want):
     assert html.render_html(page) == want
 
 
+def test_html_takes_deep_pages():
+    began = time.time()
+    deep = html.render_html("<div>" * 60000 + "<p>a<div>b" + "</div>" * 60000 + "c")
+    assert deep == "a\n\nb\nc" and time.time() - began < 20
+    lists = html.render_html("<ul><li>x" * 20000)
+    assert lists.count("x") == 20000 and len(lists) < 20000 * 90
+
+
 def test_html_keeps_all_words(spark):
     rows = [(1, "<p>a <b>b</b>c</p>"), (1, "<p>a <b>b</b>c</p>"), (2, None), (3, "plain")]
     got = html.extract_html(frame(spark, rows, "page_id long, html string")).collect()
@@ -327,12 +368,39 @@ def test_trie():
     trie, want = exact.PatriciaTrie(), {}
     for _ in range(4000):
         key = bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9)))
-        trie.add(key, owner := rng.randint(0, 99), 1)
-        old = want.get(key, [0, 0])
-        want[key] = [max(old[0], owner), old[1] + 1]
+        trie.add(key, owner := rng.randint(0, 99), 1, 1)
+        want.setdefault(key, []).append(owner)
+    want = {k: [max(v), len(v), v.count(max(v))] for k, v in want.items()}
     assert dict(trie.spill()) == want and trie.bytes == 0
 
 
+def test_trie_spills_complete_subtrees_in_byte_order():
+    rng = random.Random(4)
+    keys = sorted(bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 7))) for _ in range(3000))
+    trie, got, most = exact.PatriciaTrie(), [], 0
+    for i, key in enumerate(keys):
+        trie.add(key, i, 1, 1)
+        most = max(most, trie.bytes)
+        if trie.bytes > 60:
+            got += trie.spill_before(key)
+    got += trie.spill()
+    assert len(got) == len(dict(got)) == len(set(keys)) and most < 100 and trie.bytes == 0
+    assert all(v == [max(i for i, k in enumerate(keys) if k == key), keys.count(key), 1] for key, v in got[:200])
+    shared = exact.PatriciaTrie()  # common beginnings are stored once
+    for i in range(50):
+        shared.add(b"x" * 1000 + str(i).encode(), i, 1, 1)
+    assert shared.bytes < 1200
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["sha", "SHA_", "__id", "key", "id", "copies", "owned", "a.b", "own", "body"]
+    rows = [(1, "one two three", *"abcdefghij"), (2, "one two THREE", *"bcdefghijk"), (2, "one two THREE", *"bcdefghijk"), (None, None, *"cdefghijkl")]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    for stage in (exact.drop_copies, near.drop_near):
+        out = stage(docs)
+        assert out.columns == docs.columns and out.count() == 2
+
+
 def test_exact_groups(spark):
     rows = [(1, "Abc É"), (2, "aBC É"), (3, "abc é"), (4, None), (5, ""), (5, ""), (None, "z"), (None, "z"), (9, "z" * 70000), (8, "z" * 70000)]
     wide = frame(spark, rows).selectExpr("*", "1 AS keep_id", "'x' AS hash")
