@@ -8,8 +8,9 @@ length, or one that ends with a whole short item, marks its words.
 Before the automaton only those runs of words are taken whose neighbours stand side by side in some item,
 which is where a match can be; this is exact.
 
-The items are collected to the driver and broadcast: a fixed test set, not data that grow with the corpus.
-Their size is checked first (max_words); they are cut into automata of block_words words at most.
+The items are collected to the driver and broadcast, at most about pass_bytes of them (checked) at a time, cut
+into automata of block_words words. A larger test set is dealt into passes by a hash of the item; each pass reads
+all documents, and the hit spans of all passes are united before anything is counted or cut.
 
 Defined results: a null text or item has no words; an item without id marks words but is not counted;
 repeated items count once; an item that holds a window of another counts with it; empty tables give no rows
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import carried, lean, read, slices, strings, utf8
+from lodestone.llm.common import carried, discard, fresh, lean, read, slices, stored, strings, utf8
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A-Z to a-z; bytes that no word holds to a space.
@@ -173,15 +175,17 @@ def hits(texts: pa.Array, blocks: list[Benchmark]) -> tuple[np.ndarray, np.ndarr
     return counts, np.cumsum(edge[:-1]) > 0, found
 
 
-def load_benchmark(benchmark: DataFrame, window: int = 10, max_words: int = 4_000_000, block_words: int = 500_000) -> list[Benchmark]:
-    """Automata of all items, blocks of about block_words. Raises if the items hold more than max_words words."""
+def passes_of(benchmark: DataFrame, pass_bytes: int) -> list[DataFrame]:
+    """The items (item_id, text) in parts of about pass_bytes; one larger item makes a larger part."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    if size > 32 * max_words:
-        raise ValueError(f"the benchmark has {size} bytes; decontaminate against parts of it")
+    n = max(1, -(-size // pass_bytes))
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)] if n > 1 else [items]
+
+
+def load_benchmark(items: DataFrame, window: int = 10, block_words: int = 500_000) -> list[Benchmark]:
+    """Automata of the items of one pass, blocks of about block_words."""
     rows = [(r["item_id"], words_of(r["text"])) for r in items.collect()]
-    if sum(len(w) for _, w in rows) > max_words:
-        raise ValueError(f"the benchmark has more than {max_words} words; decontaminate against parts of it")
     blocks, block, held = [], [], 0
     for row in sorted(rows, key=lambda r: (r[0] or "", r[1])):
         block.append(row)
@@ -195,9 +199,71 @@ def load_benchmark(benchmark: DataFrame, window: int = 10, max_words: int = 4_00
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated. No shuffle."""
-    shared = documents.sparkSession.sparkContext.broadcast(load_benchmark(benchmark, window))
+PASS_BYTES = 32 << 20
+
+
+def _spans(mask: np.ndarray) -> list[tuple[int, int]]:
+    """The runs of a mask, as (first, end)."""
+    edge = np.diff(np.r_[False, mask, False].astype(np.int8))
+    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
+
+
+def united_hits(documents: DataFrame, parts: list[DataFrame], window: int) -> DataFrame:
+    """doc_id, name (of the text), spans [first, end] of hit words and items of all passes, for documents that are hit."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("name"), F.col("text").cast("string").alias("text"))
+    found = []
+    for part in parts:
+        shared = documents.sparkSession.sparkContext.broadcast(load_benchmark(part, window))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows in slices(batch, "text"):
+                    counts, mask, items = hits(rows.column("text"), shared.value)
+                    ends, at = np.cumsum(counts), np.array(sorted(items), np.int64)
+                    spans = [[list(x) for x in _spans(mask[ends[i] - counts[i] : ends[i]])] for i in at]
+                    names = [sorted(x for x in items[int(i)] if x is not None) for i in at]
+                    take = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(take), rows.column("name").take(take), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "name", "spans", "items"])
+
+        found.append(docs.mapInArrow(lean(run), "doc_id long, name string, spans array<array<long>>, items array<string>").distinct())
+    return reduce(DataFrame.union, found).groupBy("doc_id", "name").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+
+
+def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for doc_id, n, spans, items in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_words", "spans", "items"))):
+            edge = np.zeros(n + 1, np.int64)
+            for first, end in spans or ():
+                edge[first] += 1
+                edge[end] -= 1
+            names, n_hit = sorted(set(items or ())), int((np.cumsum(edge[:-1]) > 0).sum())
+            out.append((doc_id, n, n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)], names=[x.split()[0] for x in REPORT.split(", ")])
+
+
+def _in_passes(documents: DataFrame, parts: list[DataFrame], window: int) -> DataFrame:
+    """find_hits over several passes: spans and word counts are joined, never texts."""
+    found = united_hits(documents, parts, window)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("name"), pa.array(hits(rows.column("text"), [])[0].astype(np.int64))], names=["doc_id", "name", "n_words"])
+
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("name"), F.col("text").cast("string").alias("text"))
+    words = docs.mapInArrow(lean(count), "doc_id long, name string, n_words long")
+    same = words["doc_id"].eqNullSafe(found["doc_id"]) & (words["name"] == found["name"])
+    return words.join(found, same, "left").select(words["doc_id"], "n_words", "spans", "items").mapInArrow(lean(_reported), REPORT)
+
+
+def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = 10, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """Per document: n_words, n_hit, n_items, items_sha256, contaminated. No shuffle, if the items fit one pass."""
+    parts = passes_of(benchmark, pass_bytes)
+    if len(parts) > 1:
+        return _in_passes(documents, parts, window)
+    shared = documents.sparkSession.sparkContext.broadcast(load_benchmark(parts[0], window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,6 +279,17 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> D
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), REPORT)
 
 
+def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without the spans (first, end) of its words, from the first one's start to the last one's end."""
+    raw = text.encode()
+    at = [m.span() for m in WORD.finditer(raw.translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))]
+    out, done = [], 0
+    for first, end in spans:
+        out.append(raw[done : at[first][0]])
+        done = at[end - 1][1]
+    return (b"".join(out) + raw[done:]).decode()
+
+
 def strip_text(text: str, blocks: list[Benchmark], max_coverage: float) -> str | None:
     """text without its hit spans, again until none is left; None if more than max_coverage of its words were hit."""
     first = True
@@ -223,24 +300,55 @@ def strip_text(text: str, blocks: list[Benchmark], max_coverage: float) -> str |
         if first and mask.sum() > max_coverage * counts[0]:
             return None
         first = False
-        raw = text.encode()
-        spans = [m.span() for m in WORD.finditer(raw.translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))]
-        out, at = [], 0
-        flags = mask.tolist()
-        for i, (a, z) in enumerate(spans):
-            if flags[i] and not (i and flags[i - 1]):
-                out.append(raw[at:a])
-            if flags[i]:
-                at = z
-        text = (b"".join(out) + raw[at:]).decode()
-
-
-def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, length_col: str | None = None) -> DataFrame:
+        text = cut_words(text, _spans(mask))
+
+
+def _strip_in_passes(documents: DataFrame, parts: list[DataFrame], window: int, max_coverage: float, length_col: str | None) -> DataFrame:
+    """remove_spans over several passes: all passes' spans are cut at once, again until no pass finds any."""
+    names = documents.columns
+    own_id, own_name, found_spans = fresh(names, "id", "name", "spans")
+    docs, limit = documents, max_coverage
+    while True:
+        found = stored(united_hits(docs, parts, window).select(F.col("doc_id").alias(own_id), F.col("name").alias(own_name), F.col("spans").alias(found_spans)))
+        if found.isEmpty():
+            return docs
+        key = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
+        both = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found[own_id]) & (key == found[own_name]), "left").drop(own_id, own_name)
+
+        def run(batches: Iterator[pa.RecordBatch], limit=limit) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                columns = {c: b.column(c) for c in b.schema.names}
+                keep, texts = np.ones(b.num_rows, bool), columns["text"].to_pylist()
+                lengths = columns[length_col].to_pylist() if length_col else None
+                for i, spans in enumerate(columns[found_spans].to_pylist()):
+                    if spans:
+                        n = int(hits(pa.array([texts[i]]), [])[0][0])
+                        mask = np.zeros(n, bool)
+                        for first, end in spans:
+                            mask[first:end] = True
+                        keep[i] = mask.sum() <= limit * n
+                        texts[i] = cut_words(texts[i], _spans(mask))
+                        if lengths:
+                            lengths[i] = len(texts[i])
+                columns["text"] = pa.array(texts, columns["text"].type)
+                if lengths:
+                    columns[length_col] = pa.array(lengths, columns[length_col].type)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(pa.array(keep))
+
+        new = stored(carried(both, run).drop(found_spans))
+        discard(found, *([docs] if docs is not documents else []))
+        docs, limit = new, 1.0
+
+
+def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, length_col: str | None = None, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """documents without benchmark passages: hit spans are cut out of `text`; documents that are hit in more than max_coverage of their words go.
 
     length_col, if given, is set to the new text's length in characters where the text changes.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(load_benchmark(benchmark, window))
+    parts = passes_of(benchmark, pass_bytes)
+    if len(parts) > 1:
+        return _strip_in_passes(documents, parts, window, max_coverage, length_col)
+    shared = documents.sparkSession.sparkContext.broadcast(load_benchmark(parts[0], window))
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -468,6 +468,12 @@ def test_decontaminate(spark):
     assert 4 not in by and len(clean) == 5 and "w3" not in by[1]["text"].lower() and by[1]["n_chars"] == len(by[1]["text"]) and by[5]["text"] == "clean text"
     again = decon.find_hits(spark.createDataFrame([(r["doc_id"], r["text"]) for r in clean], "doc_id long, text string"), bench)
     assert again.where("contaminated").count() == 0
+    # a test set that takes several passes gives the same
+    for small in (1, 20):
+        parts = decon.find_hits(frame(spark, rows), bench, pass_bytes=small).collect()
+        assert sorted(map(str, parts)) == sorted(map(str, decon.find_hits(frame(spark, rows), bench).collect()))
+        in_parts = decon.remove_spans(frame(spark, rows).selectExpr("*", "cast(0 AS long) AS n_chars"), bench, length_col="n_chars", pass_bytes=small).collect()
+        assert sorted(map(str, in_parts)) == sorted(map(str, clean))
 
 
 # ---- 9 ----
