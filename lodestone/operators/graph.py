@@ -3,17 +3,23 @@
 Graphs are (src, dst) or (eid, u, v[, w]) tables; vertices without edges come in a table of their own. Every
 answer is the one of the sequential program: the largest parent, the least vertex, the least edge wins, so
 results don't depend on partitioning. Each round is a few joins and aggregates over what is still active, and
-is checkpointed. Loops end when nothing is left to do, however deep the graph is.
+is written as a table. Loops end when nothing is left to do, however deep the graph is. Once at most `finish`
+edges are left (counted), one task does the rest by the sequential program, with the same answer: a long tail of
+rounds over a few edges costs more than the work.
 """
 
 from __future__ import annotations
 
 from itertools import count
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.primitives import cut
+from lodestone.operators.primitives import cut, in_one_task
+
+#: Edges that one task may take: about 100 MB of numbers.
+FINISH = 1 << 21
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
@@ -67,46 +73,86 @@ def edge_map(frontier: DataFrame, edges: DataFrame, visited: DataFrame | None =
     return reached.join(visited.select("v"), "v", "left_anti") if visited is not None else reached
 
 
-def bfs(edges: DataFrame, vertices: DataFrame, start: int) -> DataFrame:
-    """(v, parent): the largest parent one level up; the start is its own parent, -1 if not reached."""
-    edges = edges.select("src", "dst").distinct().persist()
-    level = cut(vertices.where(F.col("v") == start).select("v", F.lit(start).cast("long").alias("value")))
-    visited, since = level, 0
-    while True:
-        level = cut(edge_map(level, edges, visited))
-        if level.isEmpty():
-            break
-        visited, since = visited.union(level), since + 1
+def _reach(start: int):
+    """Breadth-first over arrays of edges (both ends): vertex, largest parent one level up, level."""
+
+    def run(src: np.ndarray, dst: np.ndarray) -> list[np.ndarray]:
+        names, ends = np.unique(np.r_[src, dst, [start]], return_inverse=True)
+        u, v = ends[: len(src)], ends[len(src) : -1]
+        order = np.argsort(u, kind="stable")
+        v, first = v[order], np.searchsorted(u[order], np.arange(len(names) + 1))
+        parent, level = np.full(len(names), -1), np.full(len(names), -1)
+        now, depth = ends[-1:], 0
+        parent[now], level[now] = now, 0
+        while len(now):
+            sizes = first[now + 1] - first[now]
+            at = np.arange(sizes.sum()) + np.repeat(first[now] - (np.cumsum(sizes) - sizes), sizes)
+            to, by = v[at], np.repeat(now, sizes)
+            new = level[to] < 0
+            to, by = to[new], by[new]
+            np.maximum.at(parent, to, by)  # names ascend, so the largest number is the largest name
+            depth += 1
+            now = np.unique(to)
+            level[now] = depth
+        got = np.flatnonzero(level >= 0)
+        return [names[got], names[parent[got]], level[got]]
+
+    return run
+
+
+def _levels(edges: DataFrame, vertices: DataFrame, start: int, finish: int) -> DataFrame:
+    """(v, parent, level) of the vertices that are reached, the start among them."""
+    edges = cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct())
+    there = vertices.where(F.col("v") == start)
+    if 0 < edges.count() <= finish:
+        reached = in_one_task(edges, _reach(start), "v long, parent long, level long")
+        return reached.join(vertices.select("v").distinct(), "v", "left_semi") if not there.isEmpty() else reached.where(F.lit(False))
+    now = cut(there.select(F.col("v").cast("long").alias("v"), F.lit(start).cast("long").alias("parent"), F.lit(0).cast("long").alias("level")).limit(1))
+    visited, since = now, 0
+    for depth in count(1):
+        now = cut(edge_map(now, edges, visited).select("v", F.col("value").alias("parent"), F.lit(depth).cast("long").alias("level")))
+        if now.isEmpty():
+            return visited
+        visited, since = visited.union(now), since + 1
         if since == 8:  # the union of many levels is read again and again
             visited, since = cut(visited), 0
-    result = cut(vertices.select("v").join(visited, "v", "left").select("v", F.coalesce("value", F.lit(-1)).alias("parent")))
-    edges.unpersist()
-    return result
 
 
-def bfs_levels(edges: DataFrame, vertices: DataFrame, start: int) -> DataFrame:
+def bfs(edges: DataFrame, vertices: DataFrame, start: int, finish: int = FINISH) -> DataFrame:
+    """(v, parent): the largest parent one level up; the start is its own parent, -1 if not reached."""
+    reached = _levels(edges, vertices, start, finish).select("v", "parent")
+    return cut(vertices.select("v").join(reached, "v", "left").select("v", F.coalesce("parent", F.lit(-1)).alias("parent")))
+
+
+def bfs_levels(edges: DataFrame, vertices: DataFrame, start: int, finish: int = FINISH) -> DataFrame:
     """(v, level), -1 if not reached."""
-    edges = edges.select("src", "dst").distinct().persist()
-    level = cut(vertices.where(F.col("v") == start).select("v", F.lit(0).cast("long").alias("level")))
-    visited, since = level, 0
-    for depth in count(1):
-        level = cut(edge_map(level, edges, visited).select("v", F.lit(depth).cast("long").alias("level")))
-        if level.isEmpty():
-            break
-        visited, since = visited.union(level), since + 1
-        if since == 8:
-            visited, since = cut(visited), 0
-    result = cut(vertices.select("v").join(visited, "v", "left").select("v", F.coalesce("level", F.lit(-1)).alias("level")))
-    edges.unpersist()
-    return result
+    reached = _levels(edges, vertices, start, finish).select("v", "level")
+    return cut(vertices.select("v").join(reached, "v", "left").select("v", F.coalesce("level", F.lit(-1)).alias("level")))
+
 
+def _greedy_set(src: np.ndarray, dst: np.ndarray) -> list[np.ndarray]:
+    """Of edges both ways, and a loop at every vertex: vertex and flag of the lexicographically first set."""
+    names, ends = np.unique(np.r_[src, dst], return_inverse=True)
+    u, v = ends[: len(src)], ends[len(src) :]
+    order = np.argsort(u, kind="stable")
+    v, first = v[order], np.searchsorted(u[order], np.arange(len(names) + 1)).tolist()
+    flag = np.zeros(len(names), np.int32)
+    for x in range(len(names)):
+        if not flag[x]:
+            flag[v[first[x] : first[x + 1]]] = 2
+            flag[x] = 1
+    return [names, flag]
 
-def maximal_independent_set(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+
+def maximal_independent_set(edges: DataFrame, vertices: DataFrame, finish: int = FINISH) -> DataFrame:
     """(v, flag): 1 in the lexicographically first set, 2 out. A vertex is in once no lower neighbour is open."""
     open_edges = cut(symmetrize(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))))
     undecided = cut(vertices.select("v").distinct())
     parts = []
     while True:
+        if 0 < open_edges.count() + undecided.count() <= finish:
+            rest = open_edges.select("src", "dst").union(undecided.select(F.col("v").alias("src"), F.col("v").alias("dst")))
+            return _all([*parts, in_one_task(rest.select(F.col("src").cast("long"), F.col("dst").cast("long")), _greedy_set, "v long, flag int")])
         chosen = undecided.join(open_edges.where("dst < src").select(F.col("src").alias("v")).distinct(), "v", "left_anti").select("v", F.lit(1).alias("flag"))
         chosen = cut(chosen)
         if chosen.isEmpty():
@@ -128,12 +174,27 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def maximal_matching(edges: DataFrame) -> DataFrame:
+def _greedy_matching(eid: np.ndarray, u: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+    order = np.argsort(eid, kind="stable")
+    _, ends = np.unique(np.r_[u, v], return_inverse=True)
+    used, taken = bytearray(len(ends)), []
+    for i, a, b in zip(order.tolist(), ends[: len(u)][order].tolist(), ends[len(u) :][order].tolist()):
+        if not used[a] and not used[b]:
+            used[a] = used[b] = 1
+            taken.append(i)
+    return [eid[taken]]
+
+
+def maximal_matching(edges: DataFrame, finish: int = FINISH) -> DataFrame:
     """(eid) of the greedy matching by edge id; loops are skipped."""
     active = cut(edges.where("u != v AND eid IS NOT NULL").select("eid", "u", "v"))
     parts = []
     while True:
-        if active.isEmpty():
+        left = active.count()
+        if not left:
+            break
+        if left <= finish:
+            parts.append(in_one_task(active.select(*(F.col(c).cast("long") for c in ("eid", "u", "v"))), _greedy_matching, "eid long"))
             break
         best = active.select("eid", F.explode(F.array("u", "v")).alias("x")).groupBy("x").agg(F.min("eid").alias("best"))
         at_u = active.join(best.select(F.col("x").alias("u"), F.col("best").alias("bu")), "u").where("eid = bu")
@@ -147,7 +208,7 @@ def maximal_matching(edges: DataFrame) -> DataFrame:
 def _roots(hooks: DataFrame) -> DataFrame:
     """(c, root) by pointer jumping over (c, to); a root points to itself."""
     now = cut(hooks)
-    for _ in range(64):
+    while True:
         up = now.select(F.col("c").alias("to"), F.col("to").alias("__up"))
         new = cut(now.join(up, "to").select("c", F.col("__up").alias("to"), (F.col("__up") != F.col("to")).alias("moved")))
         moved = new.where("moved").isEmpty()
@@ -157,14 +218,41 @@ def _roots(hooks: DataFrame) -> DataFrame:
     return now
 
 
-def _boruvka(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _kruskal(eid: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+    """Rows (c, root, eid): the root of each component there is, with eid -1; and the edges taken."""
+    names, ends = np.unique(np.r_[u, v], return_inverse=True)
+    order = np.lexsort((eid, w))
+    parent, taken = list(range(len(names))), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, a, b in zip(order.tolist(), ends[: len(u)][order].tolist(), ends[len(u) :][order].tolist()):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            taken.append(i)
+    roots, none = names[[root(x) for x in range(len(names))]], np.full(len(taken), -1)
+    return [np.r_[names, none], np.r_[roots, none], np.r_[np.full(len(names), -1), eid[taken]]]
+
+
+def _boruvka(edges: DataFrame, finish: int) -> tuple[DataFrame, DataFrame]:
     """The forest's edge ids, and (v, comp) of the vertices with edges."""
     active = cut(edges.where("u != v").select("eid", "u", "v", "w"))
     ends = edges.select(F.explode(F.array("u", "v")).alias("v")).distinct()
     labels = cut(ends.select("v", F.col("v").alias("comp")))
     parts = []
-    for _ in range(64):
-        if active.isEmpty():
+    while True:
+        left = active.count()
+        if not left:
+            break
+        if left <= finish:
+            rest = cut(in_one_task(active.select(*(F.col(c).cast("long") for c in ("eid", "u", "v")), F.col("w").cast("double")), _kruskal, "c long, root long, eid long"))
+            parts.append(rest.where("eid >= 0").select("eid"))
+            labels = labels.join(rest.where("eid < 0").select(F.col("c").alias("comp"), F.col("root").alias("__root")), "comp", "left").select("v", F.coalesce("__root", "comp").alias("comp"))
             break
         # one edge of each pair of components is enough; then each component picks its least
         thin = active.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min(F.struct("w", "eid")).alias("e")).select("u", "v", "e.w", "e.eid")
@@ -182,19 +270,19 @@ def _boruvka(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return forest, labels
 
 
-def min_spanning_forest(edges: DataFrame) -> DataFrame:
+def min_spanning_forest(edges: DataFrame, finish: int = FINISH) -> DataFrame:
     """(eid) of the least forest by (weight, id), which is unique."""
-    return _boruvka(edges)[0]
+    return _boruvka(edges, finish)[0]
 
 
-def spanning_forest(edges: DataFrame) -> DataFrame:
+def spanning_forest(edges: DataFrame, finish: int = FINISH) -> DataFrame:
     """(eid) of the forest that taking edges greedily by id gives."""
-    return _boruvka(edges.withColumn("w", F.lit(0.0)))[0]
+    return _boruvka(edges.withColumn("w", F.lit(0.0)), finish)[0]
 
 
-def connected_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, vertices: DataFrame, finish: int = FINISH) -> DataFrame:
     """(v, comp): comp is the least vertex of the component."""
-    labels = _boruvka(edges.withColumn("w", F.lit(0.0)))[1]
+    labels = _boruvka(edges.withColumn("w", F.lit(0.0)), finish)[1]
     least = labels.groupBy("comp").agg(F.min("v").alias("least"))
     named = labels.join(least, "comp").select("v", "least")
     return vertices.select("v").join(named, "v", "left").select("v", F.coalesce("least", "v").alias("comp"))

@@ -1,4 +1,4 @@
-"""The vocabulary that the operators are written in: positions, scans, packs, histograms, rounds.
+"""The vocabulary that the operators are written in: positions, scans, packs, histograms, tables of a round.
 
 Data are positional in the problems' definitions; here every row carries an id, and positions come from
 sorting by stated keys. Nothing sorts or scans in one task: a global order is a range partitioning, an index
@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,12 +21,21 @@ from pyspark.sql import functions as F
 LOCAL_BITS = 33
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the session's checkpoint folder; set one of our own only where there is none."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one of our own only on a local master where none is set."""
     sc = spark.sparkContext
+    now = sc._jsc.sc().getCheckpointDir()
+    if now.isDefined():
+        return now.get()
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lodestone-"))
+    if not configured and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lodestone-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+#: Tables that cut() has written in this process and that are still there.
+_TABLES: list[str] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -31,14 +43,42 @@ def cut(df: DataFrame) -> DataFrame:
 
     A checkpointed DataFrame still carries the orders and equalities that its plan had; over many rounds of joins
     on renamed columns they double each time, and planning takes longer than the work. A table has none.
+    The tables of a result are removed by clear(), once it has been written.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Remove all tables that cut() has written so far; results that read them must have been written. Returns how many."""
+    n = len(_TABLES)
+    while _TABLES:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
+def in_one_task(rows: DataFrame, run: Callable[..., list[np.ndarray]], schema: str) -> DataFrame:
+    """run over the whole columns of rows, of which the caller has checked how many there are, in one task."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches))
+        out = run(*(c.to_numpy() for c in held.columns))
+        fields = [f.split() for f in schema.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(out, fields)], names=[n for n, _ in fields])
+
+    def guarded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is not None:
+            yield from whole(chain([first], batches))
+
+    return rows.repartition(1).mapInArrow(guarded, schema)
+
+
 def parts_before(rows: DataFrame, part: str, *values: Column) -> DataFrame:
     """Per partition number: the sums of values over all partitions before. One row a partition."""
     sums = rows.groupBy(part).agg(*(v.alias(f"__v{i}") for i, v in enumerate(values)))
@@ -104,11 +144,6 @@ def group_by_key(df: DataFrame, key: str, value: str, name: str = "vals") -> Dat
     return df.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias(name))
 
 
-def reduce_with(df: DataFrame, **monoids: Column) -> DataFrame:
-    """One row of aggregates; any aggregate column serves as the monoid."""
-    return df.agg(*(c.alias(n) for n, c in monoids.items()))
-
-
 def first_extreme(df: DataFrame, value: str, index: str, largest: bool = True) -> DataFrame:
     """(index, value) of the largest (least) value; the least index among ties."""
     pick = F.max_by(index, F.struct(F.col(value), -F.col(index))) if largest else F.min_by(index, F.struct(F.col(value), F.col(index)))
@@ -139,16 +174,3 @@ def lower_bound(points: DataFrame, value: str, queries: DataFrame, at: str, quer
     """(query_id, pos): how many values are below each query, by merging both and counting in one scan."""
     both = points.select(F.col(value).alias("x"), F.lit(1).alias("kind"), F.lit(1).cast("long").alias("one"), F.lit(None).cast("long").alias(query_id)).unionByName(queries.select(F.col(at).alias("x"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("one"), F.col(query_id).cast("long").alias(query_id)))
     return scan(both, "one", ["x", "kind", query_id], "pos").where("kind = 0").select(query_id, "pos")
-
-
-def rounds(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], limit: int = 10_000) -> DataFrame:
-    """Apply step until nothing is left, checkpointing each round; all of it is in the tables step writes to.
-
-    The shape of every deterministic-reservation loop here: each round handles all that is still active, a
-    lower id wins a contested cell, and the losers go on.
-    """
-    for turn in range(limit):
-        if state.isEmpty():
-            return state
-        state = cut(step(state, turn))
-    raise RuntimeError(f"not done after {limit} rounds")

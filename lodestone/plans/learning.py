@@ -124,7 +124,20 @@ def _knn(distance: str) -> str:
 
 _KIND = f"CASE WHEN event_type IN ({', '.join(map(repr, X.INSERTS))}) THEN 'insert' WHEN event_type IN ({', '.join(map(repr, X.DELETES))}) THEN 'delete' ELSE 'query' END"
 _FINAL = f"SELECT user_id AS id FROM (SELECT user_id, arg_max(op, event_id) AS op FROM (SELECT *, {_KIND} AS op FROM events) WHERE op <> 'query' GROUP BY user_id) WHERE op = 'insert'"
+_ROOT = f"""WITH c AS (SELECT feat, greatest(0, least(15, CAST(floor((x + 1) * 8.0) AS INTEGER))) AS val, label
+        FROM (SELECT label, unnest(range(len(embedding))) AS feat, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)),
+    n AS (SELECT feat, val, label, count(*) AS n FROM c GROUP BY ALL),
+    cuts AS (SELECT feat, unnest(range(1, max(val) + 1)) AS cut FROM c GROUP BY feat),
+    sides AS (SELECT feat, cut, val < cut AS below, label, sum(n) AS n FROM n JOIN cuts USING (feat) GROUP BY ALL),
+    whole AS (SELECT *, sum(n) OVER (PARTITION BY feat, cut, below) AS t FROM sides),
+    costs AS (SELECT feat, cut, sum(-n * log2(n / CAST(t AS DOUBLE))) AS cost FROM whole GROUP BY ALL),
+    best AS (SELECT feat, cut, cost FROM costs ORDER BY round(cost, 6), feat DESC, cut LIMIT 1),
+    own AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
+    size AS (SELECT sum(n) AS t, sum(-n * log2(n / CAST((SELECT sum(n) FROM own) AS DOUBLE))) AS bits, count(*) AS labels FROM own)
+    SELECT CAST(feat AS INTEGER) AS feat, CAST(cut AS INTEGER) AS cut, (SELECT arg_max(label, (n, -label)) FROM own) AS majority,
+        size.t < 2 OR labels < 2 OR bits - cost < log2((SELECT max(len(embedding)) + 1 FROM embeddings)) AS is_leaf FROM best, size"""
 ORACLES = {
+    "tree_nodes": _ROOT,
     "vector_knn": _knn(_L2),
     "vector_mips": _knn(_IP),
     "vector_range": f"SELECT a.vec_id AS qid, b.vec_id AS nid FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE {_L2} <= {RADIUS}",

@@ -83,7 +83,20 @@ _COUNTS = f"SELECT qid, count(p.id) AS cnt FROM {RECTANGLES_SQL} LEFT JOIN {FLAT
 _TRI = "(SELECT vec_id AS tid, " + ", ".join(f"CAST(embedding[{3 * k + i + 1}] AS DOUBLE) AS p{n}{c}" for k, n in enumerate("abc") for i, c in enumerate("xyz")) + " FROM embeddings)"
 _RAY = "(SELECT vec_id AS rid, " + ", ".join(f"CAST(embedding[{10 + i}] AS DOUBLE) AS {n}" for i, n in enumerate(("ox", "oy", "oz", "dx", "dy", "dz"))) + " FROM embeddings)"
 
+#: Bits of both scaled coordinates, interleaved.
+_MORTON = "list_sum(list_transform(range(20), lambda b: (((zx >> b) & 1) << (2 * b)) + (((zy >> b) & 1) << (2 * b + 1))))"
+
 ORACLES = {
+    "z_order": f"""WITH p AS {FLAT_SQL}, box AS (SELECT min(x) AS lx, min(y) AS ly, 1048575 / greatest(max(x) - min(x), max(y) - min(y), 1e-300) AS scale FROM p),
+        z AS (SELECT id, CAST(floor((x - lx) * scale) AS BIGINT) AS zx, CAST(floor((y - ly) * scale) AS BIGINT) AS zy FROM p, box)
+        SELECT id, row_number() OVER (ORDER BY CAST({_MORTON} AS BIGINT), id) - 1 AS pos FROM z""",
+    "convex_hull_order": f"""WITH RECURSIVE p AS MATERIALIZED (SELECT min(id) AS id, x, y FROM {FLAT_SQL} GROUP BY x, y), start AS MATERIALIZED (SELECT * FROM p ORDER BY x, y LIMIT 1),
+        h(pos, id, x, y) AS (SELECT CAST(0 AS BIGINT), id, x, y FROM start
+            UNION ALL SELECT h.pos + 1, b.id, b.x, b.y FROM h JOIN p b ON b.id <> h.id
+            WHERE NOT EXISTS (SELECT 1 FROM p c WHERE (b.x - h.x) * (c.y - h.y) - (b.y - h.y) * (c.x - h.x) > 0
+                OR ((b.x - h.x) * (c.y - h.y) = (b.y - h.y) * (c.x - h.x) AND (c.x - h.x) * (c.x - h.x) + (c.y - h.y) * (c.y - h.y) > (b.x - h.x) * (b.x - h.x) + (b.y - h.y) * (b.y - h.y)))
+            AND b.id <> (SELECT id FROM start))
+        SELECT pos, id FROM h""",
     "knn_2d": _knn(FLAT_SQL, _D2, 4),
     "knn_3d": _knn(SOLID_SQL, _D3, 9),
     "radius_2d": f"SELECT a.id AS qid, b.id AS nid FROM {FLAT_SQL} a JOIN {FLAT_SQL} b ON a.id <> b.id WHERE {_D2} <= {RADIUS * RADIUS}",

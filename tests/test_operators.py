@@ -46,15 +46,19 @@ def test_positions_and_scans(spark):
 
 # ---- rounds ----
 
-def test_graph_loops_have_no_round_limit(spark, monkeypatch):
-    monkeypatch.setattr(graph, "ROUND_LIMIT", 2, raising=False)
+@pytest.mark.parametrize("finish", [0, 5, 1 << 21])
+def test_graph_loops_end_when_nothing_is_left(spark, finish):
     path = spark.createDataFrame([(i, i, i + 1) for i in range(7)], "eid long, u long, v long")
     vertices = spark.range(8).withColumnRenamed("id", "v")
     edges = graph.symmetrize(path)
-    assert rows(graph.bfs(edges, vertices, 0)) == [(i, max(0, i - 1)) for i in range(8)]
-    assert rows(graph.bfs_levels(edges, vertices, 0)) == [(i, i) for i in range(8)]
-    assert rows(graph.maximal_independent_set(edges, vertices)) == [(i, 1 + i % 2) for i in range(8)]
-    assert rows(graph.maximal_matching(path)) == [(0,), (2,), (4,), (6,)]
+    assert rows(graph.bfs(edges, vertices, 0, finish)) == [(i, max(0, i - 1)) for i in range(8)]
+    assert rows(graph.bfs_levels(edges, vertices, 0, finish)) == [(i, i) for i in range(8)]
+    assert rows(graph.maximal_independent_set(edges, vertices, finish)) == [(i, 1 + i % 2) for i in range(8)]
+    assert rows(graph.maximal_matching(path, finish)) == [(0,), (2,), (4,), (6,)]
+    none = edges.limit(0)
+    assert rows(graph.bfs(none, vertices, 3, finish)) == [(i, 3 if i == 3 else -1) for i in range(8)]
+    assert rows(graph.maximal_independent_set(none, vertices, finish)) == [(i, 1) for i in range(8)]
+    assert rows(graph.connected_components(path.limit(0), vertices, finish)) == [(i, i) for i in range(8)]
 
 
 # ---- text ----
@@ -138,18 +142,18 @@ def sequential(n, edges):
     return mis, match, sorted(forest), [root(v) for v in range(n)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_graphs_equal_the_sequential_programs(spark, seed):
+@pytest.mark.parametrize(("seed", "finish"), [(1, 0), (2, 12), (3, 1 << 21)])
+def test_graphs_equal_the_sequential_programs(spark, seed, finish):
     rng = random.Random(seed)
     n = 40
     edges = [(e, rng.randrange(n), rng.randrange(n), float(rng.randrange(4))) for e in range(45)]
     df = spark.createDataFrame(edges, "eid long, u long, v long, w double")
     vertices = spark.range(n).withColumnRenamed("id", "v")
     mis, match, forest, roots = sequential(n, edges)
-    assert dict(rows(graph.maximal_independent_set(arcs(spark, [(a, b) for _, a, b, _ in edges]), vertices))) == mis
-    assert [r[0] for r in rows(graph.maximal_matching(df))] == match
-    assert [r[0] for r in rows(graph.min_spanning_forest(df))] == forest
-    comp = dict(rows(graph.connected_components(df, vertices)))
+    assert dict(rows(graph.maximal_independent_set(arcs(spark, [(a, b) for _, a, b, _ in edges]), vertices, finish))) == mis
+    assert [r[0] for r in rows(graph.maximal_matching(df, finish))] == match
+    assert [r[0] for r in rows(graph.min_spanning_forest(df, finish))] == forest
+    comp = dict(rows(graph.connected_components(df, vertices, finish)))
     assert all((comp[a] == comp[b]) == (roots[a] == roots[b]) for a in range(n) for b in range(n)) and all(c <= v for v, c in comp.items())
 
 
