@@ -6,6 +6,7 @@ are squared unless named otherwise; ties go to the lower id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -30,8 +31,8 @@ def bounds(points: DataFrame, axes: Sequence[str]) -> dict[str, tuple[float, flo
     return {a: (row[f"lo_{a}"], row[f"hi_{a}"]) for a in axes}
 
 
-def cell(value: Column, side: float, low: float = 0.0) -> Column:
-    return F.floor((value - F.lit(low)) / F.lit(side)).cast("long")
+def cell(value: Column, side: float | Column, low: float = 0.0) -> Column:
+    return F.floor((value - F.lit(low)) / (side if isinstance(side, Column) else F.lit(side))).cast("long")
 
 
 def around(cells: Sequence[Column]) -> Column:
@@ -45,14 +46,23 @@ def around(cells: Sequence[Column]) -> Column:
 
 # ---- neighbours ----
 
+def first_k(found: DataFrame, k: int) -> DataFrame:
+    """(qid, rank, nid, dist): the k nearest of (qid, nid, dist), ties by nid. Each task keeps k a query before anything is shuffled."""
+    order = Window.partitionBy("qid").orderBy("dist", "nid")
+    return found.select("qid", "nid", "dist").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", (F.col("rank") - 1).alias("rank"), "nid", "dist")
+
+
 def radius_search(points: DataFrame, radius: float, queries: DataFrame | None = None, axes: Sequence[str] = ("x", "y")) -> DataFrame:
-    """(qid, nid, dist) of all pairs within radius, inclusive; a point is not its own neighbour if queries are the points."""
-    own = queries is None
+    """(qid, nid, dist) of all pairs within radius, inclusive; a point is not its own neighbour if queries are the points.
+
+    Radius 0 finds points at the same place; a negative one finds nothing.
+    """
+    own, side = queries is None, radius if radius > 0 else 1.0
     queries = points.select(F.col("id").alias("qid"), *axes) if own else queries
-    q = queries.select("qid", *(F.col(a).alias(f"q{a}") for a in axes)).withColumn("__cell", F.explode(around([cell(F.col(f"q{a}"), radius) for a in axes])))
-    p = points.select(F.col("id").alias("nid"), *axes, F.array(*(cell(F.col(a), radius) for a in axes)).alias("__cell"))
+    q = queries.select("qid", *(F.col(a).alias(f"q{a}") for a in axes)).withColumn("__cell", F.explode(around([cell(F.col(f"q{a}"), side) for a in axes])))
+    p = points.select(F.col("id").alias("nid"), *axes, F.array(*(cell(F.col(a), side) for a in axes)).alias("__cell"))
     d = squared([F.col(a) for a in axes], [F.col(f"q{a}") for a in axes])
-    found = q.join(p, "__cell").withColumn("dist", d).where(F.col("dist") <= radius * radius)
+    found = q.join(p, "__cell").withColumn("dist", d).where((F.col("dist") <= radius * radius) & F.lit(radius >= 0))
     return (found.where("qid != nid") if own else found).select("qid", "nid", "dist")
 
 
@@ -82,7 +92,7 @@ def knn(points: DataFrame, k: int, axes: Sequence[str] = ("x", "y"), max_levels:
         level = min(max_levels, level + max(0, step))
     found, open_ids = [], None
     side = span / 2**level
-    for _ in range(level + 2):
+    while True:  # at twice the span every cell is a neighbour of every other, and all is final
         cells = [cell(F.col(a), side, box[a][0]) for a in axes]
         p = pts.select(F.col("id").alias("nid"), *(F.col(a).alias(f"p{a}") for a in axes), F.array(*cells).alias("__cell"))
         q = (pts.join(open_ids, "id", "left_semi") if open_ids is not None else pts).withColumn("__cell", F.explode(around(cells)))
@@ -90,23 +100,17 @@ def knn(points: DataFrame, k: int, axes: Sequence[str] = ("x", "y"), max_levels:
         rich = q.select("id", "__cell").join(counts, "__cell").groupBy("id").agg(F.sum("c").alias("c")).where(F.col("c") > k).select("id")
         d = squared([F.col(a) for a in axes], [F.col(f"p{a}") for a in axes])
         near = q.join(rich, "id", "left_semi").join(p, "__cell").where("id != nid").select(F.col("id").alias("qid"), "nid", d.alias("dist"))
-        best = near.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "nid"))), 1, k).alias("best"))
-        done = cut(best.where((F.size("best") == k) & (F.element_at("best", -1)["dist"] <= side * side)))
+        done = cut(first_k(near, k).withColumn("last", F.max("rank").over(Window.partitionBy("qid"))).withColumn("far", F.max("dist").over(Window.partitionBy("qid"))).where((F.col("last") == k - 1) & (F.col("far") <= side * side)).select("qid", "rank", "nid", "dist"))
         found.append(done)
-        left = (pts if open_ids is None else open_ids).select("id").join(done.select(F.col("qid").alias("id")), "id", "left_anti")
+        left = (pts if open_ids is None else open_ids).select("id").join(done.where("rank = 0").select(F.col("qid").alias("id")), "id", "left_anti")
         open_ids = cut(left)
         rest = open_ids.count()
         if not rest:
             break
         side *= 2 if rest > n / 64 else 4  # a few stragglers: fewer rounds are cheaper than tighter cells
-    else:
-        q = pts.join(open_ids, "id", "left_semi").select(F.col("id").alias("qid"), *(F.col(a).alias(f"q{a}") for a in axes))
-        d = squared([F.col(a) for a in axes], [F.col(f"q{a}") for a in axes])
-        pairs = q.withColumn("__k", F.lit(0)).join(pts.withColumnRenamed("id", "nid").withColumn("__k", F.lit(0)), "__k").where("qid != nid")
-        found.append(cut(pairs.select("qid", "nid", d.alias("dist")).groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "nid"))), 1, k).alias("best"))))
     out = reduce(DataFrame.union, found)
     pts.unpersist()
-    return out.select("qid", F.posexplode("best").alias("rank", "b")).select("qid", "rank", "b.nid", "b.dist")
+    return out
 
 
 def insert_points(points: DataFrame, batch: DataFrame) -> DataFrame:
@@ -250,63 +254,92 @@ def range_count(points: DataFrame, rects: DataFrame, strips: int = 0, strip_poin
 RAY_EPSILON = 1e-8  # fixed value: a determinant within it is a miss
 
 
-def hit_parameter(o: Sequence[Column], d: Sequence[Column], a: Sequence[Column], b: Sequence[Column], c: Sequence[Column]) -> Column:
-    """The ray's t at a triangle (Moeller and Trumbore), null if it misses or t <= 0."""
-    sub = lambda p, q: [x - y for x, y in zip(p, q)]
-    dot = lambda p, q: reduce(lambda s, t: s + t, [x * y for x, y in zip(p, q)])
-    cross = lambda p, q: [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
-    e1, e2 = sub(b, a), sub(c, a)
-    p = cross(d, e2)
-    det = dot(e1, p)
-    t0 = sub(o, a)
-    q = cross(t0, e1)
-    u, v, t = dot(t0, p) / det, dot(d, q) / det, dot(e2, q) / det
-    return F.when((F.abs(det) > RAY_EPSILON) & u.between(0, 1) & (v >= 0) & (u + v <= 1) & (t > 0), t)
+def ray_cast(points: DataFrame, triangles: DataFrame, rays: DataFrame, levels: int = 0, block: int = 512) -> DataFrame:
+    """(rid, tid): the first triangle on each ray, -1 if there is none; of equal distances the lower id. An empty mesh is never hit.
 
-
-def ray_cast(points: DataFrame, triangles: DataFrame, rays: DataFrame, grid: int = 0) -> DataFrame:
-    """(rid, tid): the first triangle on each ray, -1 if there is none; of equal distances the lower id.
-
-    Triangles lie in all cells of their bounding boxes. A ray takes, for each layer of cells across its main
-    direction, the cells between where it enters and leaves the layer: at most four, with cubic cells.
+    There is a grid for each level, its cells half as wide as those of the level above. A triangle lies in the
+    finest level whose cells are no smaller than its bounding box, so in eight cells at most. A ray takes on each
+    level that has triangles, for each layer of cells across its main direction, the cells between where it enters
+    and leaves the layer: at most four. Of a cell, triangles and rays are packed into blocks of about `block`, and
+    each pair of blocks is tested as matrices wherever there is a free task, so a crowded cell is no task of its own.
     """
     p = points.select("id", *AXES)
     corners = triangles
     for i, name in enumerate(("a", "b", "c")):
         corners = corners.join(p.select(F.col("id").alias(name), *(F.col(x).alias(f"{name}{x}") for x in AXES)), name)
-    corners = corners.select("tid", *(f"{n}{x}" for n in "abc" for x in AXES)).persist()
     box = bounds(p, AXES)
-    m = grid or max(1, min(256, int(round(triangles.count() ** (1 / 3)))))
-    side = max(max((h - l) for l, h in box.values()) / m, 1e-12) * (1 + 1e-9)
-    low = {x: box[x][0] - side * 1e-6 for x in AXES}
-    ranges = [F.sequence(cell(F.least(*(F.col(f"{n}{x}") for n in "abc")) - side * 1e-6, side, low[x]), cell(F.greatest(*(F.col(f"{n}{x}") for n in "abc")) + side * 1e-6, side, low[x])) for x in AXES]
-    tri = corners
-    for x, r in zip(AXES, ranges):
-        tri = tri.withColumn(f"g{x}", F.explode(r))
+    if box["x"][0] is None:
+        return rays.select("rid", F.lit(-1).cast("long").alias("tid"))
+    deepest = levels or max(0, min(9, round(math.log2(max(1, triangles.count())) / 3)))
+    span = max(max((h - l) for l, h in box.values()), 1e-12) * (1 + 1e-6)
+    low = {x: box[x][0] - span * 1e-7 for x in AXES}
+    ends = {x: (F.least(*(F.col(f"{n}{x}") for n in "abc")), F.greatest(*(F.col(f"{n}{x}") for n in "abc"))) for x in AXES}
+    widest = F.greatest(*(h - l for l, h in ends.values()), F.lit(span * 1e-9)) * (1 + 1e-6)
+    level = F.greatest(F.lit(0), F.least(F.lit(deepest), F.floor(F.log2(F.lit(span) / widest)))).cast("int")
+    tri = cut(corners.select("tid", *(f"{n}{x}" for n in "abc" for x in AXES), level.alias("level")).withColumn("side", F.lit(span) / F.pow(F.lit(2.0), F.col("level"))))
+    there = [r["level"] for r in tri.select("level").distinct().collect()]  # ten at most
+    for x in AXES:
+        edges = [cell(e + F.lit(sign) * F.col("side") * 1e-6, F.col("side"), low[x]) for e, sign in zip(ends[x], (-1, 1))]
+        tri = tri.withColumn(f"g{x}", F.explode(F.sequence(*edges)))
+    tri = tri.drop("side")
     d = {x: F.col(f"d{x}") for x in AXES}
     largest = F.greatest(*(F.abs(d[x]) for x in AXES))
     main = F.when(F.abs(d["x"]) == largest, 0).when(F.abs(d["y"]) == largest, 1).otherwise(2)
     pick = lambda name, which=main: F.when(which == 0, F.col(f"{name}x")).when(which == 1, F.col(f"{name}y")).otherwise(F.col(f"{name}z"))
     start = F.when(main == 0, F.lit(low["x"])).when(main == 1, F.lit(low["y"])).otherwise(F.lit(low["z"]))
-    r = rays.where(largest > 0).withColumn("layer", F.explode(F.sequence(F.lit(-1), F.lit(m + 1))))
-    edge = start + F.col("layer") * F.lit(side)
-    t1, t2 = (edge - F.lit(side * 1e-3) - pick("o")) / pick("d"), (edge + F.lit(side * (1 + 1e-3)) - pick("o")) / pick("d")
+    side = F.col("side")
+    r = rays.where(largest > 0).withColumn("level", F.explode(F.array(*map(F.lit, there)).cast("array<int>")))
+    r = r.withColumn("m", F.pow(F.lit(2.0), F.col("level")).cast("int")).withColumn("side", F.lit(span) / F.col("m")).withColumn("layer", F.explode(F.sequence(F.lit(-1), F.col("m") + 1)))
+    edge = start + F.col("layer") * side
+    t1, t2 = (edge - side * 1e-3 - pick("o")) / pick("d"), (edge + side * (1 + 1e-3) - pick("o")) / pick("d")
     r = cut(r.withColumn("t1", F.greatest(F.lit(0.0), F.least(t1, t2))).withColumn("t2", F.greatest(t1, t2)).where("t2 >= 0"))
     for x in AXES:
-        ends = [F.col(f"o{x}") + F.col(t) * d[x] for t in ("t1", "t2")]
+        ends_t = [F.col(f"o{x}") + F.col(t) * d[x] for t in ("t1", "t2")]
         own = {"x": 0, "y": 1, "z": 2}[x]
-        inside = [cell(F.least(*ends) - side * 1e-3, side, low[x]), cell(F.greatest(*ends) + side * 1e-3, side, low[x])]
-        first, last = F.greatest(inside[0], F.lit(-1)), F.least(inside[1], F.lit(m + 1))
+        inside = [cell(F.least(*ends_t) - side * 1e-3, side, low[x]), cell(F.greatest(*ends_t) + side * 1e-3, side, low[x])]
+        first, last = F.greatest(inside[0], F.lit(-1)), F.least(inside[1], F.col("m") + 1)
         r = r.withColumn(f"g{x}", F.when(main == own, F.array(F.col("layer").cast("long"))).when(first <= last, F.sequence(first.cast("long"), last.cast("long"))))
-    r = cut(r.select("rid", *(f"{k}{x}" for k in "od" for x in AXES), "gx", "gy", "gz"))  # too large an expression for one compiled stage with what follows
+    r = cut(r.select("rid", *(f"{k}{x}" for k in "od" for x in AXES), "level", "gx", "gy", "gz"))  # too large an expression for one compiled stage with what follows
     for x in AXES:
         r = r.withColumn(f"g{x}", F.explode(f"g{x}"))
-    tests = r.select("rid", *(f"{k}{x}" for k in "od" for x in AXES), "gx", "gy", "gz").join(tri, ["gx", "gy", "gz"])
-    t = hit_parameter([F.col(f"o{x}") for x in AXES], [d[x] for x in AXES], *([F.col(f"{n}{x}") for x in AXES] for n in "abc"))
-    hits = tests.withColumn("t", t).where("t is not null").groupBy("rid").agg(F.min(F.struct("t", "tid")).alias("h"))
+    key = ["level", "gx", "gy", "gz"]
+    met = r.select("rid", *(f"{k}{x}" for k in "od" for x in AXES), *key).join(tri.select(*key).distinct(), key, "left_semi")
+    t = _packed(tri, key, "tid", [f"{n}{x}" for n in "abc" for x in AXES], block, "t")
+    pairs = t.join(_packed(met, key, "rid", [f"{k}{x}" for k in "od" for x in AXES], block, "r"), key)
+    tests = pairs.repartition(*key, "t_part", "r_part").select(*(f"{k}_{c}" for k in "tr" for c in ("ids", "flat")))
+    hits = tests.mapInArrow(_ray_blocks, "rid long, t double, tid long").groupBy("rid").agg(F.min(F.struct("t", "tid")).alias("h"))
     return rays.select("rid").join(hits, "rid", "left").select("rid", F.coalesce("h.tid", F.lit(-1)).cast("long").alias("tid"))
 
 
+def _packed(rows: DataFrame, key: Sequence[str], index: str, columns: Sequence[str], size: int, name: str) -> DataFrame:
+    """(key, name_part, name_ids, name_flat): the rows of each key in blocks of about size, by ascending index."""
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("__n"))
+    dealt = rows.join(sizes, list(key)).withColumn(f"{name}_part", F.pmod(F.xxhash64(index), F.ceil(F.col("__n") / size)).cast("int"))
+    lists = dealt.groupBy(*key, f"{name}_part").agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.array(*columns).alias("v")))).alias("p"))
+    return lists.select(*key, f"{name}_part", F.transform("p", lambda s: s["i"]).alias(f"{name}_ids"), F.flatten(F.transform("p", lambda s: s["v"])).alias(f"{name}_flat"))
+
+
+def _ray_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first hit of each ray of a block in a block of triangles (Moeller and Trumbore)."""
+    cross = lambda p, q: (p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0])
+    dot = lambda p, q: p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
+    for b in batches:
+        for i in range(b.num_rows):
+            tid, corners, rid, rays = (np.asarray(b.column(c).slice(i, 1).flatten()) for c in ("t_ids", "t_flat", "r_ids", "r_flat"))
+            c, r = corners.reshape(-1, 9).T, rays.reshape(-1, 6).T[:, :, None]
+            e1, e2 = [c[3 + k] - c[k] for k in range(3)], [c[6 + k] - c[k] for k in range(3)]
+            p = cross(r[3:], e2)
+            det = dot(e1, p)
+            t0 = [r[k] - c[k] for k in range(3)]
+            q = cross(t0, e1)
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                u, v, t = dot(t0, p) / det, dot(r[3:], q) / det, dot(e2, q) / det
+                hit = (np.abs(det) > RAY_EPSILON) & (u >= 0) & (u <= 1) & (v >= 0) & (u + v <= 1) & (t > 0)
+            t = np.where(hit, t, np.inf)
+            best, there = t.argmin(axis=1), hit.any(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(rid[there]), pa.array(t[np.arange(len(rid)), best][there]), pa.array(tid[best[there]])], names=["rid", "t", "tid"])
+
+
 # ---- hull ----
 
 def hull_indices(x: np.ndarray, y: np.ndarray, index: np.ndarray) -> np.ndarray:

@@ -12,9 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.geometry import first_k
 from lodestone.operators.primitives import cut
 
 FOUND = "qid long, rank int, nid long, dist double"
@@ -72,11 +73,6 @@ def _pairs_of(batches: Iterator[pa.RecordBatch], metric: str) -> Iterator[tuple[
                 yield ids[0][at : at + 512], ids[1], dist_matrix(q[at : at + 512], b, metric)
 
 
-def _first(found: DataFrame, k: int) -> DataFrame:
-    best = found.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "nid"))), 1, k).alias("best"))
-    return best.select("qid", F.posexplode("best").alias("rank", "b")).select("qid", "rank", "b.nid", "b.dist")
-
-
 def exact_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", block: int = 2048, skip_self: bool = False) -> DataFrame:
     """The k nearest rows of base to each query: blocks as matrices, k of each block, then k of all."""
 
@@ -94,7 +90,7 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", b
             rows, cols = rows[keep], cols[keep]
             yield pa.RecordBatch.from_arrays([pa.array(qids[rows]), pa.array(bids[cols]), pa.array(d[rows, cols])], names=["qid", "nid", "dist"])
 
-    return _first(_block_pairs(base, queries, block).select("q_ids", "q_flat", "b_ids", "b_flat").mapInArrow(run, "qid long, nid long, dist double"), k)
+    return first_k(_block_pairs(base, queries, block).select("q_ids", "q_flat", "b_ids", "b_flat").mapInArrow(run, "qid long, nid long, dist double"), k)
 
 
 def exact_range(base: DataFrame, queries: DataFrame, radius: float, metric: str = "l2", inclusive: bool = True, block: int = 2048, skip_self: bool = False) -> DataFrame:
@@ -131,7 +127,7 @@ def lsh_knn(base: DataFrame, queries: DataFrame, k: int, tables: int = 8, planes
     b, q = lsh_buckets(base, tables, planes, seed), lsh_buckets(queries, tables, planes, seed)
     pairs = q.select(F.col("id").alias("qid"), "table", "bucket").join(b.select(F.col("id").alias("nid"), "table", "bucket"), ["table", "bucket"]).select("qid", "nid").distinct()
     pairs = pairs.where("qid != nid") if skip_self else pairs
-    return _first(with_distance(pairs, base, queries, metric), k)
+    return first_k(with_distance(pairs, base, queries, metric), k)
 
 
 def with_distance(pairs: DataFrame, base: DataFrame, queries: DataFrame, metric: str) -> DataFrame:
@@ -216,13 +212,13 @@ def nn_descent(vectors: DataFrame, k: int = 10, trees: int = 3, leaf: int = 64,
     """
     parts = cluster_trees(vectors, trees, leaf, seed).select("tree", "leaf", "id")
     pairs = parts.select("tree", "leaf", F.col("id").alias("qid")).join(parts.select("tree", "leaf", F.col("id").alias("nid")), ["tree", "leaf"]).where("qid != nid").select("qid", "nid").distinct()
-    lists = cut(_first(with_distance(pairs, vectors, vectors, metric), k))
+    lists = cut(first_k(with_distance(pairs, vectors, vectors, metric), k))
     n = vectors.count()
     for _ in range(rounds):
         both = lists.select(F.col("qid").alias("a"), F.col("nid").alias("b")).union(lists.select(F.col("nid").alias("a"), F.col("qid").alias("b"))).distinct()
         offers = both.select(F.col("a").alias("via"), F.col("b").alias("qid")).join(both.select(F.col("a").alias("via"), F.col("b").alias("nid")), "via").where("qid != nid").select("qid", "nid").distinct()
         fresh = offers.join(lists.select("qid", "nid"), ["qid", "nid"], "left_anti")
-        best = _first(with_distance(fresh, vectors, vectors, metric).union(lists.select("qid", "nid", "dist")), k)
+        best = first_k(with_distance(fresh, vectors, vectors, metric).union(lists.select("qid", "nid", "dist")), k)
         new = cut(best)
         changed = new.join(lists.select("qid", "nid"), ["qid", "nid"], "left_anti").count()
         lists = new
@@ -388,7 +384,7 @@ def beam_search(index: DataFrame, queries: DataFrame, k: int, width: int, metric
         return [(qid, int(ids[v]), d) for d, v in g.beam(q, width, k, cut_ratio, limit)[0][: k + skip_self] if not (skip_self and ids[v] == qid)]
 
     found = _searched(index, queries, answer, "qid long, nid long, dist double", metric, parts).distinct()
-    return _first(found, k)
+    return first_k(found, k)
 
 
 def beam_stats(index: DataFrame, queries: DataFrame, width: int, metric: str = "l2", parts: int = 4) -> DataFrame:
@@ -451,4 +447,4 @@ def degree_stats(graph: DataFrame) -> DataFrame:
 
 def unite_lists(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """Neighbour lists (qid, nid, dist) of both, the k best of each."""
-    return _first(a.select("qid", "nid", "dist").union(b.select("qid", "nid", "dist")).distinct(), k)
+    return first_k(a.select("qid", "nid", "dist").union(b.select("qid", "nid", "dist")).distinct(), k)
