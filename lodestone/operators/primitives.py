@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -34,7 +35,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-#: Tables that cut() has written in this process and that are still there.
+#: Tables and files written in this process that are still there.
 _TABLES: list[str] = []
 
 
@@ -46,14 +47,19 @@ def cut(df: DataFrame) -> DataFrame:
     The tables of a result are removed by clear(), once it has been written.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = new_path(spark, "cut")
     df.write.parquet(path)
-    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the checkpoint folder, which clear() removes."""
+    _TABLES.append(f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _TABLES[-1]
+
+
 def clear(spark: SparkSession) -> int:
-    """Remove all tables that cut() has written so far; results that read them must have been written. Returns how many."""
+    """Remove all tables that cut() has written so far, and new_path()'s; results that read them must have been written. Returns how many."""
     n = len(_TABLES)
     while _TABLES:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
@@ -174,3 +180,26 @@ def lower_bound(points: DataFrame, value: str, queries: DataFrame, at: str, quer
     """(query_id, pos): how many values are below each query, by merging both and counting in one scan."""
     both = points.select(F.col(value).alias("x"), F.lit(1).alias("kind"), F.lit(1).cast("long").alias("one"), F.lit(None).cast("long").alias(query_id)).unionByName(queries.select(F.col(at).alias("x"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("one"), F.col(query_id).cast("long").alias(query_id)))
     return scan(both, "one", ["x", "kind", query_id], "pos").where("kind = 0").select(query_id, "pos")
+
+
+def range_min(values: DataFrame, queries: DataFrame, block: int = 32) -> DataFrame:
+    """(qid, idx, v): the leftmost least of (idx, v) between i and j, both inclusive, of each query (qid, i, j).
+
+    Elements of the first and last block are looked at one by one; whole blocks between them by two entries of a
+    sparse table over the blocks' minima, 2^k blocks long. A query meets at most 2 x block elements and two entries.
+    """
+    best = lambda: F.min(F.struct("v", "idx")).alias("m")
+    cells = values.select("idx", "v", F.floor(F.col("idx") / block).alias("b"))
+    table = cut(cells.groupBy("b").agg(best()).withColumn("k", F.lit(0)))
+    levels, k = [table], 0
+    blocks = (table.agg(F.max("b")).first()[0] or 0) + 1
+    while 2 << k <= blocks:
+        right = table.select((F.col("b") - (1 << k)).alias("b"), F.col("m").alias("r"))
+        table, k = cut(table.join(right, "b").select("b", F.least("m", "r").alias("m"), F.lit(k + 1).alias("k"))), k + 1
+        levels.append(table)
+    sparse = reduce(DataFrame.union, levels)
+    q = queries.select("qid", "i", "j", F.floor(F.col("i") / block).alias("bi"), F.floor(F.col("j") / block).alias("bj"))
+    ends = q.withColumn("b", F.explode(F.array_distinct(F.array("bi", "bj")))).join(cells, "b").where("idx BETWEEN i AND j").select("qid", F.struct("v", "idx").alias("m"))
+    inner = q.where("bj - bi > 1").withColumn("k", F.floor(F.log2((F.col("bj") - F.col("bi") - 1).cast("double"))).cast("int"))
+    inner = inner.withColumn("b", F.explode(F.array(F.col("bi") + 1, F.col("bj") - F.pow(F.lit(2.0), "k").cast("long")))).join(sparse, ["b", "k"]).select("qid", "m")
+    return ends.union(inner).groupBy("qid").agg(F.min("m").alias("m")).select("qid", "m.idx", "m.v")

@@ -7,7 +7,8 @@ the header first and keep the rows' order over the part files.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +143,34 @@ def write_sequence(df: DataFrame, kind: str, path: str, files: int = 0) -> None:
     write_lines(df, "idx", line, path, [HEADERS[kind]], files)
 
 
+def write_two_sequences(a: DataFrame, b: DataFrame, header: str, path: str, files: int = 0) -> None:
+    """The numbers of (idx, v) a, then those of b, under any header."""
+    n = a.count()
+    line = lambda df: number(F.col("v")) if dict(df.dtypes)["v"] == "double" else F.col("v").cast("string")
+    rows = a.select("idx", line(a).alias("line")).union(b.select((F.col("idx") + n).alias("idx"), line(b)))
+    write_lines(rows, "idx", F.col("line"), path, [header], files)
+
+
+def write_radius_result(found: DataFrame, n: int, path: str, files: int = 0) -> None:
+    """(qid, nid) of n queries as numbers: n, how many each query has, then all ids in order of query and id."""
+    counts = found.sparkSession.range(n).select(F.col("id").alias("qid")).join(found.groupBy("qid").agg(F.count("*").alias("c")), "qid", "left")
+    flat = with_position(found.select("qid", "nid"), ["qid", "nid"], "pos")
+    head = found.sparkSession.createDataFrame([(0, n)], "idx long, v long")
+    rows = head.union(counts.select(F.col("qid") + 1, F.coalesce("c", F.lit(0)))).union(flat.select(F.col("pos") + 1 + n, "nid"))
+    write_sequence(rows, "int", path, files)
+
+
+def write_text(rows: DataFrame, order: str, text: str, path: str, files: int = 0) -> None:
+    """Plain lines in the order of a numeric column."""
+    write_lines(rows, order, F.col(text), path, [], files)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(i, line): a file's lines, numbered from 0; part files follow each other."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b")).withColumn("m", F.monotonically_increasing_id())
+    return with_position(lines, ["f", "b", "m"], "i").select("i", F.col("value").alias("line"))
+
+
 def write_edges(df: DataFrame, path: str, files: int = 0) -> None:
     weighted = "w" in df.columns
     line = F.concat_ws(" ", F.col("u").cast("string"), F.col("v").cast("string"), *([number(F.col("w"))] if weighted else []))
@@ -192,6 +221,24 @@ def read_features(spark: SparkSession, path: str, label_first: bool = True) -> t
     return rows, types
 
 
+def write_features(rows: DataFrame, kinds: list[str], path: str, files: int = 0) -> None:
+    """(row, values ARRAY<INT>) as a CSV under a line with the columns' types, i, d or f."""
+    write_lines(rows, "row", F.array_join(F.transform("values", lambda x: x.cast("string")), ","), path, [",".join(kinds)], files)
+
+
+def put_bytes(spark: SparkSession, path: str, chunks: Iterable[bytes]) -> None:
+    """Write one file by the driver, on whatever file system the path is: for exports whose format is a single file."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    held = bytearray()
+    for chunk in chain(chunks, [None]):
+        held += chunk or b""
+        if held and (chunk is None or len(held) > 1 << 20):
+            out.write(held)
+            held = bytearray()
+    out.close()
+
+
 # ---- binary vectors ----
 
 VECTORS = {"fvecs": ("<f4", 4), "ivecs": ("<i4", 4), "bvecs": ("u1", 1)}
@@ -251,6 +298,27 @@ def read_range_truth(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "qid long, nid long, dist double")
 
 
+def truth_bytes(found: DataFrame, n: int, k: int) -> bytes:
+    """A ground truth of n queries with k ids each: n, k, all ids, then all distances; for test sets, which fit the driver."""
+    rows = sorted((r["qid"], r["rank"], r["nid"], r["dist"]) for r in found.where(F.col("rank") < k).select("qid", "rank", "nid", "dist").collect())
+    return np.array([n, k], "<i4").tobytes() + np.array([r[2] for r in rows], "<i4").tobytes() + np.array([r[3] for r in rows], "<f4").tobytes()
+
+
+def read_truth(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, rank, nid, dist) of a ground truth with distances."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column("content"):
+                raw = content.as_py()
+                n, k = np.frombuffer(raw, "<i4", 2).tolist()
+                ids, dists = np.frombuffer(raw, "<i4", n * k, 8), np.frombuffer(raw, "<f4", n * k, 8 + 4 * n * k)
+                at = np.arange(n * k)
+                yield pa.RecordBatch.from_arrays([pa.array(at // k), pa.array((at % k).astype(np.int32)), pa.array(ids.astype(np.int64)), pa.array(dists.astype(np.float64))], names=["qid", "rank", "nid", "dist"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "qid long, rank int, nid long, dist double")
+
+
 def range_truth_bytes(found: DataFrame, n: int) -> bytes:
     """A range ground truth of n queries; for test sets, which fit the driver."""
     rows = sorted((r["qid"], r["dist"], r["nid"]) for r in found.select("qid", "nid", "dist").collect())
@@ -285,13 +353,27 @@ def write_report(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).csv(path)
 
 
-# ---- converters ----
+# ---- converters: lines of other tools' graph formats ----
+
+def write_metis(adjacency: DataFrame, n: int, m: int, path: str, files: int = 0) -> None:
+    """Neighbour lists (v, nbrs) of n vertices and m undirected edges, numbered from 1; a vertex without any has an empty line."""
+    rows = adjacency.sparkSession.range(n).select(F.col("id").alias("v")).join(adjacency.select("v", "nbrs"), "v", "left")
+    write_lines(rows, "v", F.coalesce(F.array_join(F.transform("nbrs", lambda x: (x + 1).cast("string")), " "), F.lit("")), path, [f"{n} {m}"], files)
+
+
+def write_dimacs(edges: DataFrame, n: int, path: str, files: int = 0) -> None:
+    """Weighted edges as `a u v w`, numbered from 1, under `p sp n m`."""
+    line = F.concat_ws(" ", F.lit("a"), (F.col("u") + 1).cast("string"), (F.col("v") + 1).cast("string"), F.col("w").cast("string"))
+    write_lines(edges, "eid", line, path, [f"p sp {n} {edges.count()}"], files)
+
 
-def metis_lines(adjacency: DataFrame) -> DataFrame:
-    """(v, line) of neighbour lists (v, nbrs), numbered from 1."""
-    return adjacency.select("v", F.array_join(F.transform("nbrs", lambda x: (x + 1).cast("string")), " ").alias("line"))
+def write_pairs(edges: DataFrame, path: str, files: int = 0) -> None:
+    """Edges as `u<TAB>v` without a header."""
+    write_lines(edges, "eid", F.concat_ws("\t", F.col("u").cast("string"), F.col("v").cast("string")), path, [], files)
 
 
-def dimacs_lines(edges: DataFrame) -> DataFrame:
-    """(eid, line) of weighted edges as `a u v w`, numbered from 1."""
-    return edges.select("eid", F.concat_ws(" ", F.lit("a"), (F.col("u") + 1).cast("string"), (F.col("v") + 1).cast("string"), F.col("w").cast("string")).alias("line"))
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(eid, u, v) of lines with two numbers each; lines that begin with # or % are notes."""
+    lines = read_lines(spark, path).where("line RLIKE '^[ \t]*[0-9-]'")
+    cells = F.split(F.trim("line"), "[ \t,]+")
+    return with_position(lines, ["i"], "eid").select("eid", cells[0].cast("long").alias("u"), cells[1].cast("long").alias("v"))
