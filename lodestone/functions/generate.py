@@ -1,7 +1,7 @@
 """Inputs for the problems, as expressions over a range of ids.
 
 Every value is a hash of its id and a seed, so a table is the same on any number of partitions and needs no
-state. Distributions follow the problems' descriptions; the numbers themselves are this engine's own.
+state; the hash is MD5, so any other system can make the same table. Distributions follow the problems' descriptions; the numbers themselves are this engine's own.
 """
 
 from __future__ import annotations
@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 
 def whole(seed: int, *keys: Column) -> Column:
-    """A non-negative 63-bit hash."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 1)
+    """A non-negative 60-bit hash: the first 15 digits of the MD5 of `seed:key:...`."""
+    name = F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def unit(seed: int, *keys: Column) -> Column:
     """A double in [0, 1)."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / F.lit(float(1 << 53))
+    return F.shiftright(whole(seed, *keys), 7) / F.lit(float(1 << 53))
 
 
 def _ids(spark: SparkSession, n: int, name: str = "idx") -> DataFrame:
@@ -39,7 +40,7 @@ def random_doubles(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
 def exponential_ints(spark: SparkSession, n: int, r: int, seed: int = 0) -> DataFrame:
     """Few values very often: a random value below a random power of two."""
     top = max(1, int(math.log2(max(2, r))))
-    limit = F.shiftleft(F.lit(1).cast("long"), (whole(seed, F.col("idx")) % (top + 1)).cast("int"))
+    limit = F.pow(F.lit(2.0), whole(seed, F.col("idx")) % (top + 1)).cast("long")
     return _ids(spark, n).withColumn("v", whole(seed + 1, F.pmod(whole(seed + 2, F.col("idx")), limit)) % r)
 
 

@@ -9,7 +9,7 @@ import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"refine_check", "hcnng_recall", "nn_descent_recall", "min_spanning_forest_check", "spanning_forest_check"}
+SLOW = {"refine_check", "hcnng_recall", "nn_descent_recall"}
 
 
 def plain(value):
