@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.primitives import cut, with_position
+from lodestone.operators.primitives import cut, in_one_task, with_position
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,11 +42,25 @@ def split_documents(files: DataFrame, body: str = "value", start: str = "<doc")
 KEY = 8
 
 
+def byte_rows(bodies: DataFrame) -> DataFrame:
+    """(doc_id, pos, byte) of texts (doc_id, body) or of their runs (doc_id, start, body)."""
+    start = F.col("start") if "start" in bodies.columns else F.lit(0)
+    there = bodies.where(F.octet_length("body") > 0).select("doc_id", start.cast("long").alias("start"), "body", F.explode(F.sequence(F.lit(0), F.octet_length("body") - 1)).alias("k"))
+    value = F.conv(F.hex(F.substring("body", F.col("k") + 1, F.lit(1))), 16, 10).cast("int")
+    return there.select("doc_id", (F.col("start") + F.col("k")).alias("pos"), value.alias("byte"))
+
+
 def _suffix_state(bodies: DataFrame) -> DataFrame:
-    """(doc_id, pos, key): the first bytes of every suffix."""
-    at = F.explode(F.sequence(F.lit(0), F.octet_length("body") - 1)).alias("pos")
-    there = bodies.where(F.octet_length("body") > 0).select("doc_id", "body", at)
-    return there.select("doc_id", F.col("pos").cast("long").alias("pos"), F.substring("body", F.col("pos") + 1, F.lit(KEY)).alias("key"))
+    """(doc_id, pos, key): the first bytes of every suffix. Runs of a text, but the last, hold KEY bytes at least."""
+    if "start" in bodies.columns:
+        runs = bodies.select("doc_id", F.col("start").cast("long").alias("start"), "body")
+        ahead = runs.select("doc_id", F.col("start").alias("end"), F.substring("body", 1, KEY).alias("ahead"))
+        joined = runs.withColumn("end", F.col("start") + F.octet_length("body")).join(ahead, ["doc_id", "end"], "left")
+        whole = joined.select("doc_id", "start", F.octet_length("body").alias("n"), F.when(F.col("ahead").isNull(), F.col("body")).otherwise(F.concat("body", "ahead")).alias("body"))
+    else:
+        whole = bodies.select("doc_id", F.lit(0).cast("long").alias("start"), F.octet_length("body").alias("n"), "body")
+    there = whole.where("n > 0").select("doc_id", "start", "body", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    return there.select("doc_id", (F.col("start") + F.col("k")).alias("pos"), F.substring("body", F.col("k") + 1, F.lit(KEY)).alias("key"))
 
 
 def suffix_ranks(bodies: DataFrame) -> tuple[DataFrame, list[tuple[int, DataFrame]], DataFrame]:
@@ -113,6 +127,45 @@ def longest_repeated_substring(bodies: DataFrame) -> DataFrame:
     return best.select("doc_id", F.col("b.lcp").alias("len"), F.col("b.pos").alias("pos1"), F.col("b.next_pos").alias("pos2"))
 
 
+def bw_encode_text(bodies: DataFrame) -> DataFrame:
+    """(doc_id, i, byte): the Burrows-Wheeler transform of a zero byte and the text, over tasks; the text holds no zero byte."""
+    order, data = suffix_array(bodies), byte_rows(bodies)
+    ends = data.groupBy("doc_id").agg(F.max("pos").alias("p")).select("doc_id", F.lit(0).cast("long").alias("i"), "p")
+    rows = order.select("doc_id", (F.col("rank") + 1).alias("i"), (F.col("pos") - 1).alias("p")).union(ends)
+    return rows.join(data.withColumnRenamed("pos", "p"), ["doc_id", "p"], "left").select("doc_id", "i", F.coalesce("byte", F.lit(0)).alias("byte"))
+
+
+def _restore(doc: np.ndarray, i: np.ndarray, byte: np.ndarray) -> list[np.ndarray]:
+    order = np.lexsort((i, doc))
+    doc, byte = doc[order], byte[order].astype(np.uint8)
+    out = [[np.zeros(0, np.int64)] * 3]
+    for d in np.unique(doc):
+        back = np.frombuffer(bw_restore(byte[doc == d].tobytes()), np.uint8)
+        out.append([np.full(len(back), d), np.arange(len(back)), back.astype(np.int64)])
+    return [np.concatenate(c) for c in zip(*out)]
+
+
+def bw_decode_text(codes: DataFrame, finish: int = 1 << 21) -> DataFrame:
+    """(doc_id, pos, byte) of transforms (doc_id, i, byte).
+
+    A stable sort by byte gives each row the row that follows it; the place of every row in this chain comes from
+    list ranking by pointer doubling, log2 n joins. At most `finish` rows (counted) are decoded in one task.
+    """
+    codes = cut(codes.select("doc_id", "i", "byte"))
+    if 0 < codes.count() <= finish:
+        return in_one_task(codes.select(*(F.col(c).cast("long") for c in ("doc_id", "i", "byte"))), _restore, "doc_id long, pos long, byte long").select("doc_id", "pos", F.col("byte").cast("int").alias("byte"))
+    placed = with_position(codes, ["doc_id", "byte", "i"], "g")
+    first = placed.groupBy("doc_id").agg(F.min("g").alias("low"), F.count("*").alias("n"))
+    nodes = cut(placed.join(first, "doc_id").select("doc_id", (F.col("g") - F.col("low")).alias("j"), F.col("i").alias("next"), "byte", "n"))
+    # the chain begins at row 0 and ends at the row that would lead back to it
+    links = cut(nodes.select("doc_id", "j", F.when(F.col("next") != 0, F.col("next")).alias("next"), F.when(F.col("next") != 0, 1).otherwise(0).cast("long").alias("left")))
+    while not links.where("next IS NOT NULL").isEmpty():
+        later = links.select("doc_id", F.col("j").alias("next"), F.col("next").alias("after"), F.col("left").alias("more"))
+        links = cut(links.join(later, ["doc_id", "next"], "left").select("doc_id", "j", F.col("after").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")))
+    ranked = nodes.join(links.select("doc_id", "j", "left"), ["doc_id", "j"])
+    return ranked.select("doc_id", (F.col("n") - F.col("left") - 2).alias("pos"), "byte").where("pos >= 0")
+
+
 # ---- whole texts within a task ----
 
 def doubling(body: bytes) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:

@@ -8,6 +8,7 @@ hashes of ids and a seed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -107,27 +108,43 @@ def exact_range(base: DataFrame, queries: DataFrame, radius: float, metric: str
 
 # ---- hashing ----
 
-def lsh_buckets(vectors: DataFrame, tables: int, planes: int, seed: int = 0) -> DataFrame:
-    """(id, vec, table, bucket): which side of each of a table's random hyperplanes a vector is on."""
+def lsh_codes(vectors: DataFrame, tables: int, planes: int, words: int = 8, seed: int = 0) -> DataFrame:
+    """(id, codes, sketch): a code for each table, which side of its random hyperplanes a vector is on; and 64 x words more such bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _stack(b.column("vec"))
-            normal = np.random.default_rng(seed).standard_normal((tables * planes, x.shape[1]))
-            bits = (x @ normal.T > 0).reshape(len(x), tables, planes)
-            codes = (bits * (1 << np.arange(planes, dtype=np.int64))).sum(2)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(codes.tolist(), pa.list_(pa.int64()))], names=["id", "vec", "codes"])
+            normal = np.random.default_rng(seed).standard_normal((tables * planes + 64 * words, x.shape[1]))
+            bits = x @ normal.T > 0
+            codes = (bits[:, : tables * planes].reshape(len(x), tables, planes) * (1 << np.arange(planes, dtype=np.int64))).sum(2)
+            sketch = np.packbits(bits[:, tables * planes :], axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(codes.tolist(), pa.list_(pa.int64())), pa.array(sketch.tolist(), pa.list_(pa.int64()))], names=["id", "codes", "sketch"])
 
-    coded = vectors.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "id long, vec array<double>, codes array<long>")
-    return coded.select("id", "vec", F.posexplode("codes").alias("table", "bucket"))
+    return vectors.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "id long, codes array<long>, sketch array<long>")
 
 
-def lsh_knn(base: DataFrame, queries: DataFrame, k: int, tables: int = 8, planes: int = 6, metric: str = "l2", seed: int = 0, skip_self: bool = False) -> DataFrame:
-    """k best of the vectors that share a bucket with the query in any table."""
-    b, q = lsh_buckets(base, tables, planes, seed), lsh_buckets(queries, tables, planes, seed)
-    pairs = q.select(F.col("id").alias("qid"), "table", "bucket").join(b.select(F.col("id").alias("nid"), "table", "bucket"), ["table", "bucket"]).select("qid", "nid").distinct()
+def probes(planes: int, flips: int) -> list[int]:
+    """The masks with at most `flips` of the planes' bits: which buckets around a code are looked at."""
+    return [sum(1 << i for i in some) for n in range(flips + 1) for some in combinations(range(planes), n)]
+
+
+def lsh_candidates(base: DataFrame, queries: DataFrame, tables: int, planes: int, flips: int, seed: int = 0, skip_self: bool = False) -> DataFrame:
+    """(qid, nid, apart): pairs that meet in a table's bucket, or in one `flips` planes away, and the share of sketch bits that differ."""
+    b, q = cut(lsh_codes(base, tables, planes, seed=seed)), cut(lsh_codes(queries, tables, planes, seed=seed))
+    masks = F.array(*(F.lit(m).cast("long") for m in probes(planes, flips)))
+    asked = q.select(F.col("id").alias("qid"), F.posexplode("codes").alias("table", "code")).select("qid", "table", F.explode(F.transform(masks, lambda m: F.col("code").bitwiseXOR(m))).alias("bucket"))
+    held = b.select(F.col("id").alias("nid"), F.posexplode("codes").alias("table", "bucket"))
+    pairs = asked.join(held, ["table", "bucket"]).select("qid", "nid").distinct()
     pairs = pairs.where("qid != nid") if skip_self else pairs
-    return first_k(with_distance(pairs, base, queries, metric), k)
+    both = pairs.join(q.select(F.col("id").alias("qid"), F.col("sketch").alias("s")), "qid").join(b.select(F.col("id").alias("nid"), F.col("sketch").alias("t")), "nid")
+    differ = F.aggregate(F.zip_with("s", "t", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return both.select("qid", "nid", (differ / (64 * F.size("s"))).alias("apart"))
+
+
+def lsh_knn(base: DataFrame, queries: DataFrame, k: int, tables: int = 16, planes: int = 10, flips: int = 2, apart: float = 0.465, metric: str = "l2", seed: int = 0, skip_self: bool = False) -> DataFrame:
+    """k best of the candidates whose sketches differ in at most `apart` of their bits; distances are computed of these alone."""
+    near = lsh_candidates(base, queries, tables, planes, flips, seed, skip_self).where(F.col("apart") <= apart)
+    return first_k(with_distance(near.select("qid", "nid"), base, queries, metric), k)
 
 
 def with_distance(pairs: DataFrame, base: DataFrame, queries: DataFrame, metric: str) -> DataFrame:

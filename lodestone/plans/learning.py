@@ -20,49 +20,59 @@ def _rounded(found):
 
 def vector_knn(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return _rounded(V.exact_knn(v, v, K))
+    return _rounded(V.exact_knn(v, asked(v), K, skip_self=True))
 
 
 def vector_mips(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return _rounded(V.exact_knn(v, v, K, metric="mips"))
+    return _rounded(V.exact_knn(v, asked(v), K, metric="mips", skip_self=True))
 
 
 def vector_range(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return V.exact_range(v, v, RADIUS, skip_self=True).select("qid", "nid")
+    return V.exact_range(v, asked(v), RADIUS, skip_self=True).select("qid", "nid")
+
+
+def asked(v):
+    """The stated query set: every vector whose id is divisible by 20. A vector is never its own answer."""
+    return v.where("id % 20 = 0")
 
 
 def _recall(spark, sf_dir, search, least):
     v = vectors(spark, sf_dir)
-    return V.recall(search(v), V.exact_knn(v, v, K), K).select((F.col("recall") >= least).alias("enough"))
+    q = asked(v)
+    return V.recall(search(v, q), V.exact_knn(v, q, K, skip_self=True), K).select((F.col("recall") >= least).alias("enough"))
 
 
 def lsh_recall(spark, sf_dir):
-    return _recall(spark, sf_dir, lambda v: V.lsh_knn(v, v, K, tables=24, planes=4), 0.9)
+    """Whether nine of ten neighbours are found, and whether the distances of at most a fifth of all pairs are computed for it."""
+    v = vectors(spark, sf_dir)
+    q = asked(v)
+    near = V.lsh_candidates(v, q, 16, 10, 2, skip_self=True).where("apart <= 0.465")
+    share = near.agg((F.count("*") / (v.count() * q.count()) <= 0.2).alias("frugal"))
+    return _recall(spark, sf_dir, lambda v, q: V.lsh_knn(v, q, K, skip_self=True), 0.9).crossJoin(share)
 
 
 def vamana_recall(spark, sf_dir):
-    return _recall(spark, sf_dir, lambda v: V.beam_search(V.vamana_index(v), v, K, 80), 0.9)
+    return _recall(spark, sf_dir, lambda v, q: V.beam_search(V.vamana_index(v), q, K, 80, skip_self=True), 0.9)
 
 
 def hcnng_recall(spark, sf_dir):
-    return _recall(spark, sf_dir, lambda v: V.beam_search(V.graph_index(v, V.hcnng_graph(v)), v, K, 120), 0.9)
+    return _recall(spark, sf_dir, lambda v, q: V.beam_search(V.graph_index(v, V.hcnng_graph(v)), q, K, 120, skip_self=True), 0.9)
 
 
 def nn_descent_recall(spark, sf_dir):
-    def search(v):
+    def search(v, q):
         lists = V.nn_descent(v, 2 * K, trees=4, delta=0.001)
-        own = v.select(F.col("id").alias("qid"), F.col("id").alias("nid"), F.lit(0.0).alias("dist"))
-        return V.unite_lists(own, lists.withColumnRenamed("id", "qid"), K)
+        return lists.select(F.col("id").alias("qid"), "rank", "nid", "dist").join(q.select(F.col("id").alias("qid")), "qid", "left_semi")
 
     return _recall(spark, sf_dir, search, 0.9)
 
 
 def graph_range_recall(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    found = V.graph_range_search(V.vamana_index(v), v, RADIUS, 100, skip_self=True)
-    return V.range_recall(found, V.exact_range(v, v, RADIUS, skip_self=True)).select((F.coalesce("recall", F.lit(1.0)) >= 0.9).alias("enough"))
+    found = V.graph_range_search(V.vamana_index(v), asked(v), RADIUS, 100, skip_self=True)
+    return V.range_recall(found, V.exact_range(v, asked(v), RADIUS, skip_self=True)).select((F.coalesce("recall", F.lit(1.0)) >= 0.9).alias("enough"))
 
 
 def lazy_delete_check(spark, sf_dir):
@@ -99,8 +109,10 @@ def stream_state(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
     events.repartitionByRange(4, "event_id").write.parquet(f"{path}/in")  # a stream reads a folder, a file at a time
-    state = X.run_stream(spark, f"{path}/in", events.schema, path)
-    return state.at().select("id")
+    X.run_stream(spark, f"{path}/in", events.schema, path)
+    late = events.limit(0)  # a second run finds the first one's state and progress, and nothing new
+    late.write.mode("append").parquet(f"{path}/in")
+    return X.run_stream(spark, f"{path}/in", events.schema, path).at().select("id")
 
 
 def stream_replay(spark, sf_dir):
@@ -119,7 +131,7 @@ _IP = "(-list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: C
 
 def _knn(distance: str) -> str:
     return f"""SELECT qid, CAST(r - 1 AS INTEGER) AS rank, nid, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, nid) AS r
-        FROM (SELECT a.vec_id AS qid, b.vec_id AS nid, {distance} AS dist FROM embeddings a CROSS JOIN embeddings b)) WHERE r <= {K}"""
+        FROM (SELECT a.vec_id AS qid, b.vec_id AS nid, {distance} AS dist FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)) WHERE r <= {K}"""
 
 
 _KIND = f"CASE WHEN event_type IN ({', '.join(map(repr, X.INSERTS))}) THEN 'insert' WHEN event_type IN ({', '.join(map(repr, X.DELETES))}) THEN 'delete' ELSE 'query' END"
@@ -140,8 +152,9 @@ ORACLES = {
     "tree_nodes": _ROOT,
     "vector_knn": _knn(_L2),
     "vector_mips": _knn(_IP),
-    "vector_range": f"SELECT a.vec_id AS qid, b.vec_id AS nid FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE {_L2} <= {RADIUS}",
-    **{n: "SELECT true AS enough" for n in ("lsh_recall", "vamana_recall", "hcnng_recall", "nn_descent_recall", "graph_range_recall")},
+    "vector_range": f"SELECT a.vec_id AS qid, b.vec_id AS nid FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id WHERE {_L2} <= {RADIUS}",
+    **{n: "SELECT true AS enough" for n in ("vamana_recall", "hcnng_recall", "nn_descent_recall", "graph_range_recall")},
+    "lsh_recall": "SELECT true AS enough, true AS frugal",
     "lazy_delete_check": "SELECT CAST(0 AS BIGINT) AS rows, CAST(0 AS BIGINT) AS named",
     "graph_degrees": "SELECT true AS bounded",
     "stream_state": _FINAL,

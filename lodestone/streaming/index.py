@@ -1,15 +1,15 @@
 """A changing set of points under a stream of inserts, deletes and queries.
 
 Each micro-batch makes one new version of the set, written as Parquet; queries read the version before the
-batch, so they see one consistent state however the batch is spread. Versions are named by batch number, so a
-batch that is run again after a failure writes the same version.
+batch, so they see one consistent state however the batch is spread. Versions are named by batch number, and a
+batch is applied to the version before its own, so one that is run again after a failure writes the same version.
+A set that is opened on a folder with versions goes on with the last whole one; progress is kept beside it. Only
+the last `keep` versions stay.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import geometry
@@ -23,10 +23,24 @@ class VersionedPoints:
     late or out of order leave the state that their numbers' order gives.
     """
 
-    def __init__(self, spark: SparkSession, path: str, points: DataFrame | None = None) -> None:
-        self.spark, self.path, self.version = spark, path.rstrip("/"), -1
-        start = points if points is not None else spark.createDataFrame([], "id long, x double, y double")
-        start.select("id", "x", "y", F.lit(-1).cast("long").alias("seq"), F.lit(True).alias("alive")).write.mode("overwrite").parquet(f"{self.path}/v=-1")
+    def __init__(self, spark: SparkSession, path: str, points: DataFrame | None = None, keep: int = 16) -> None:
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
+        there = self.versions()
+        self.version = max(there, default=-1)
+        if not there:
+            start = points if points is not None else spark.createDataFrame([], "id long, x double, y double")
+            start.select("id", "x", "y", F.lit(-1).cast("long").alias("seq"), F.lit(True).alias("alive")).write.mode("overwrite").parquet(f"{self.path}/v=-1")
+
+    def _files(self):
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        """The versions that have been written whole."""
+        folder, files = self._files()
+        names = [f.getPath() for f in files.listStatus(folder)] if files.exists(folder) else []
+        mark = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return sorted(int(n.getName()[2:]) for n in names if n.getName().startswith("v=") and files.exists(mark(n, "_SUCCESS")))
 
     def whole(self, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v={self.version if version is None else version}")
@@ -38,13 +52,17 @@ class VersionedPoints:
     def apply(self, operations: DataFrame, batch: int) -> None:
         """One batch of (seq, op, id, x, y): of the operations on an id the one with the largest number counts."""
         last = operations.where("op in ('insert', 'delete')").groupBy("id").agg(F.max(F.struct(F.col("seq").cast("long").alias("seq"), "op", "x", "y")).alias("n"))
-        both = self.whole().withColumnRenamed("seq", "s").join(last, "id", "full")
+        base = max((v for v in self.versions() if v < batch), default=-1)
+        both = self.whole(base).withColumnRenamed("seq", "s").join(last, "id", "full")
         newer = F.col("n").isNotNull() & (F.col("s").isNull() | (F.col("n.seq") > F.col("s")))
         stays = ~newer | (F.coalesce("alive", F.lit(False)) & (F.col("n.op") == "insert"))  # an insert of what is there changes no place
         pick = lambda c: F.when(stays, F.col(c)).otherwise(F.col(f"n.{c}")).alias(c)
         state = both.select("id", pick("x"), pick("y"), F.when(newer, F.col("n.seq")).otherwise(F.col("s")).alias("seq"), F.when(newer, F.col("n.op") == "insert").otherwise(F.col("alive")).alias("alive"))
         state.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
         self.version = batch
+        _, files = self._files()
+        for old in self.versions()[: -self.keep]:
+            files.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={old}"), True)
 
     def _direct(self, rows: DataFrame, op: str) -> DataFrame:
         seq = (self.whole().agg(F.max("seq")).first()[0] or 0) + 1
@@ -80,11 +98,11 @@ def operations_of(events: DataFrame, inserts: tuple[str, ...] = INSERTS, deletes
 
 
 def run_stream(spark: SparkSession, source: str, schema, path: str, inserts: tuple[str, ...] = INSERTS, deletes: tuple[str, ...] = DELETES) -> VersionedPoints:
-    """Stream a folder of event files, one at a time, into a VersionedPoints."""
+    """Stream a folder of event files, one at a time, into a VersionedPoints; a run on the same path goes on where the last one ended."""
     ensure_checkpoint_dir(spark)
     state = VersionedPoints(spark, f"{path}/points")
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    query = operations_of(events, inserts, deletes).writeStream.foreachBatch(state.apply).option("checkpointLocation", f"{path}/progress-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    query = operations_of(events, inserts, deletes).writeStream.foreachBatch(state.apply).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     return state
 
@@ -98,15 +116,3 @@ def replay(operations: DataFrame) -> DataFrame:
 def workload(operations: DataFrame) -> DataFrame:
     """(op, n): what a mix of operations consists of."""
     return operations.groupBy("op").agg(F.count("*").alias("n"))
-
-
-def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events by kind in tumbling windows; on a stream, with a watermark. An extension, not one of the problems."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
-    counts = marked.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return counts.select(F.col("w.start").alias("start"), "event_type", "n")
-
-
-def running_position(events: DataFrame) -> DataFrame:
-    """Each user's events numbered in time."""
-    return events.withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))

@@ -96,6 +96,18 @@ def test_suffix_arrays_in_a_task():
     assert text.bw_code(b"abcabcab").replace(b"\0", b"$") == b"bcc$aaabb"
 
 
+def test_one_text_in_runs(spark):
+    whole = b"the cat sat on the mat, the cat sat on the hat; banana bandana banana"
+    runs = spark.createDataFrame([(0, a, bytearray(whole[a : a + 9])) for a in range(0, len(whole), 9)], "doc_id long, start long, body binary")
+    sa, lcp = brute(whole)
+    assert [r["pos"] for r in sorted(text.suffix_array(runs).collect(), key=lambda r: r["rank"])] == sa
+    assert [r["lcp"] for r in sorted(text.lcp_array(runs).collect(), key=lambda r: r["rank"])] == lcp
+    code = text.bw_encode_text(runs)
+    assert bytes(r["byte"] for r in sorted(code.collect(), key=lambda r: r["i"])) == text.bw_code(whole)
+    for finish in (0, 1 << 21):
+        assert bytes(r["byte"] for r in sorted(text.bw_decode_text(code, finish).collect(), key=lambda r: r["pos"])) == whole
+
+
 def test_suffix_arrays_over_tasks(spark):
     bodies = spark.createDataFrame(list(enumerate(map(bytearray, SAMPLES))), "doc_id long, body binary")
     got, repeats = {}, {}
@@ -221,7 +233,7 @@ def test_vector_search(spark):
     truth = vector.exact_knn(vectors, queries, 5, block=50)
     assert [r[2] for r in rows(truth)] == [int(i) for row in np.argsort(d, axis=1, kind="stable")[:, :5] for i in row]
     assert vector.exact_range(vectors, queries, 9.0, block=50).count() == int((d <= 9.0).sum())
-    for found in (vector.lsh_knn(vectors, queries, 5, tables=20, planes=3), vector.beam_search(vector.vamana_index(vectors, degree=12, width=24), queries, 5, 30), vector.beam_search(vector.vamana_index(vectors, degree=12, width=24, shard_size=50), queries, 5, 30)):
+    for found in (vector.lsh_knn(vectors, queries, 5, tables=12, planes=6, apart=0.5), vector.beam_search(vector.vamana_index(vectors, degree=12, width=24), queries, 5, 30), vector.beam_search(vector.vamana_index(vectors, degree=12, width=24, shard_size=50), queries, 5, 30)):
         assert vector.recall(found, truth, 5).first()[0] >= 0.9
     pair = spark.createDataFrame([(0, [1.0, 2.0], [3.0, 5.0])], "id long, a array<double>, b array<double>")
     assert tuple(pair.select(vector.distance(F.col("a"), F.col("b")), vector.distance(F.col("a"), F.col("b"), "mips")).first()) == (13.0, -13.0)
@@ -263,6 +275,23 @@ def test_stream_equals_replay(spark, tmp_path):
     assert rows(state.at().select("id")) == rows(index.replay(index.operations_of(df)))
 
 
+def test_stream_goes_on_where_it_ended(spark, tmp_path):
+    schema = "event_id long, event_type string, user_id long, value double"
+    first = spark.createDataFrame([(0, "signup", 1, 0.0), (1, "signup", 2, 0.0), (2, "logout", 1, 0.0)], schema)
+    second = spark.createDataFrame([(3, "signup", 3, 0.0), (4, "logout", 2, 0.0)], schema)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    first.coalesce(1).write.parquet(source)
+    assert rows(index.run_stream(spark, source, first.schema, out).at().select("id")) == [(2,)]
+    again = index.run_stream(spark, source, first.schema, out)  # nothing new
+    assert rows(again.at().select("id")) == [(2,)]
+    (tmp_path / "out" / "points" / f"v={again.version}" / "_SUCCESS").unlink()  # lost while it was written
+    second.coalesce(1).write.mode("append").parquet(source)
+    state = index.VersionedPoints(spark, str(tmp_path / "out" / "points"))
+    assert state.version < again.version
+    state.apply(index.operations_of(first), again.version)  # the batch is run again
+    assert rows(index.run_stream(spark, source, first.schema, out).at().select("id")) == [(3,)]
+
+
 # ---- generators ----
 
 def test_generators(spark):
