@@ -40,7 +40,9 @@ WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 FEW = 8
 BLOCK_WORDS, BLOCK_NODES = 1 << 18, 1 << 9
 #: Rows of one bucket that go under one key of a join.
-HOT = 1 << 10
+HOT = 1 << 8
+#: Pairs of one centre that go into one cell, with one copy of the centre's text.
+STAR = 1 << 6
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -357,7 +359,7 @@ def _classes(documents: DataFrame, threshold: float = THRESHOLD, bands: int = BA
     big = crowded.where(F.col("size") > FEW)
     large = stored(big.join(big.groupBy("node").agg(F.sum("size").alias("crowd")), "node").select("band", "node", "size", "crowd"))
     hubs = large.groupBy("band").agg(F.max("size").alias("size"), F.max(F.struct("crowd", "node")).alias("h")).select("band", "size", F.col("h.node").alias("hub"))
-    starred = by_bucket(large, hubs).where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.col("hub").alias("centre"), F.ceil(F.col("size") / HOT).alias("parts"))
+    starred = by_bucket(large, hubs).where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.col("hub").alias("centre"), F.ceil(F.col("size") / STAR).alias("parts"))
     # a pair that comes up several times is tried once, with one of its centres
     once = pairs.union(starred).groupBy("a", "b").agg(F.max(F.struct("parts", "centre")).alias("c"))
     tried = once.select(F.col("c.centre").alias("centre"), F.when(F.col("c.centre") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node"), F.col("c.parts").alias("parts"))
