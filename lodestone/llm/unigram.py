@@ -56,16 +56,17 @@ class Unigram:
         """Pieces and score of the best path over text."""
         n = len(text)
         score, count = [0.0] * (n + 1), [0] * (n + 1)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for at, match in self.automaton.iter(text):
-            ends[at].append(match)
+        matches = self.automaton.iter(text)  # in the order of their ends, so none is held
+        end, match = next(matches, (n, None))
         for at in range(n):
             best, pieces, single = None, 0, False
-            for length, own in ends[at]:  # longest first
+            while end == at:  # longest first
+                length, own = match
                 s = score[at + 1 - length] + own
                 if best is None or s > best:
                     best, pieces = s, count[at + 1 - length] + 1
                 single = single or length == 1
+                end, match = next(matches, (n, None))
             if not single and (best is None or score[at] + self.unknown > best):
                 best, pieces = score[at] + self.unknown, count[at] + len(text[at].encode())
             score[at + 1], count[at + 1] = best, pieces

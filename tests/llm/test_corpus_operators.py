@@ -510,6 +510,42 @@ def test_counts_by_brute_force():
         assert (scores[0], counts[0]) == best[len(marked)]
 
 
+def test_count_tokens_of_odd_rows(spark):
+    path = P.path("piece_bpe_32k.model")
+    rows = [(1, "a plain text"), (1, "a plain text"), (None, "two  spaces "), (2, None), (3, ""), (4, "long " * 50000 + "▁end")]
+    plain = unigram.Unigram(unigram.load_pieces(path))
+    whole = lambda t: plain.count("▁" + t.replace(" ", "▁")) if t else (0, 0.0)
+    got = unigram.count_tokens(frame(spark, rows), path).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((d, *whole(t))) for d, t in rows)
+
+
+def test_operators_take_empty_tables_and_clashing_names(spark):
+    """op1, op3, op4, op5 and op9 with no rows, and beside columns that have the names they use themselves."""
+    from pyspark.sql import functions as F
+
+    docs = frame(spark, [(1, "a b"), (1, "a b"), (None, None)])
+    docs = docs.withColumns({c: F.lit("x") for c in ("key", "n", "part", "segment", "n_tokens", "score", "shard", "total", "base", "first", "html", "role")})
+    turns = docs.select("*", F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("x").alias("rendered"), F.lit("x").alias("lead"))
+    weighted = lambda d: shard.assign_shards(d.drop("shard"), "doc_id", [1.0] * 3)
+    words = P.path("word_bpe_49k.json")
+
+    def tokens(d):
+        path = common.new_path(spark, "tokens-odd")
+        dac.write_tokens(d, path, words, 2)
+        assert dac.token_at(spark, path, [0, 10**9]).count() == (0 if d.isEmpty() else 1)
+        return dac.token_index(spark, path)
+
+    runs = [
+        lambda d: unigram.count_tokens(d, P.path("piece_bpe_32k.model")),
+        lambda d: shard.shard_slots(weighted(d), ["doc_id", "text"]),
+        tokens,
+        lambda d: html.extract_html(d.drop("html").withColumnRenamed("text", "html"), "doc_id"),
+    ]
+    for run in runs:
+        assert run(docs).count() == 3 and run(docs.limit(0)).count() == 0
+    assert chat.chat_digest(chat.format_chats(turns)).count() == 2 and chat.chat_digest(chat.format_chats(turns.limit(0))).count() == 0
+
+
 # ---- 10 ----
 
 def test_quality(spark):
