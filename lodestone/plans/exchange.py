@@ -139,7 +139,7 @@ def _near(spark, sf_dir):
 
 def file_truth(spark, sf_dir):
     path, near = P.new_path(spark, "truth"), _near(spark, sf_dir)
-    X.put_bytes(spark, path, [X.truth_bytes(near, table(spark, sf_dir, "part").count(), 5)])
+    X.put_bytes(spark, path, X.truth_chunks(near, table(spark, sf_dir, "part").count(), 5))
     return X.read_truth(spark, path)
 
 

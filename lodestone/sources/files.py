@@ -282,26 +282,54 @@ def vector_bytes(vectors: DataFrame, form: str) -> Iterator[bytes]:
         yield (np.array([len(r["vec"])], "<i4").tobytes() if form in VECTORS else b"") + np.array(r["vec"]).astype(kind).tobytes()
 
 
+def packed(rows: DataFrame, order: list[str], kinds: dict[str, str]) -> DataFrame:
+    """(at, one binary column each): the numbers of some columns in the order given, an Arrow batch a row; written once, so each column can be read by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:  # Arrow's cast refuses what the format cannot hold
+                parts = [b.column(c).cast(pa.from_numpy_dtype(np.dtype(k))).to_numpy().astype(k).tobytes() for c, k in kinds.items()]
+                yield pa.RecordBatch.from_arrays([b.column("at").slice(0, 1), *(pa.array([x], pa.binary()) for x in parts)], names=["at", *kinds])
+
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("at"), *kinds)
+    return cut(ordered.mapInArrow(run, ", ".join(["at long", *(f"{c} binary" for c in kinds)])))
+
+
+def chunks(held: DataFrame, column: str) -> Iterator[bytes]:
+    """The bytes of one column of packed(), in order: the driver holds a partition of them at a time."""
+    for r in held.select("at", column).orderBy("at").select(column).toLocalIterator():
+        yield bytes(r[0])
+
+
 def read_range_truth(spark: SparkSession, path: str) -> DataFrame:
     """(qid, nid, dist) of a range ground truth: counts, then all ids, then all distances."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column("content"):
-                raw = content.as_py()
+                raw = content.as_buffer()
                 n, m = np.frombuffer(raw, "<i4", 2).tolist()
-                counts = np.frombuffer(raw, "<i4", n, 8)
+                ends = np.cumsum(np.frombuffer(raw, "<i4", n, 8), dtype=np.int64)
                 ids = np.frombuffer(raw, "<i4", m, 8 + 4 * n)
                 dists = np.frombuffer(raw, "<f4", m, 8 + 4 * n + 4 * m)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(n), counts)), pa.array(ids.astype(np.int64)), pa.array(dists.astype(np.float64))], names=["qid", "nid", "dist"])
+                for i in range(0, m, 1 << 16):
+                    at = np.arange(i, min(m, i + (1 << 16)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(ends, at, "right")), pa.array(ids[at].astype(np.int64)), pa.array(dists[at].astype(np.float64))], names=["qid", "nid", "dist"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "qid long, nid long, dist double")
 
 
+def truth_chunks(found: DataFrame, n: int, k: int) -> Iterator[bytes]:
+    """A ground truth of n queries with k ids each: n, k, all ids, then all distances; the executors pack the numbers."""
+    held = packed(found.where(F.col("rank") < k), ["qid", "rank", "nid", "dist"], {"nid": "<i4", "dist": "<f4"})
+    yield np.array([n, k], "<i4").tobytes()
+    yield from chunks(held, "nid")
+    yield from chunks(held, "dist")
+
+
 def truth_bytes(found: DataFrame, n: int, k: int) -> bytes:
-    """A ground truth of n queries with k ids each: n, k, all ids, then all distances; for test sets, which fit the driver."""
-    rows = sorted((r["qid"], r["rank"], r["nid"], r["dist"]) for r in found.where(F.col("rank") < k).select("qid", "rank", "nid", "dist").collect())
-    return np.array([n, k], "<i4").tobytes() + np.array([r[2] for r in rows], "<i4").tobytes() + np.array([r[3] for r in rows], "<f4").tobytes()
+    """truth_chunks in one piece, for what fits the driver."""
+    return b"".join(truth_chunks(found, n, k))
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
@@ -310,20 +338,29 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column("content"):
-                raw = content.as_py()
+                raw = content.as_buffer()
                 n, k = np.frombuffer(raw, "<i4", 2).tolist()
                 ids, dists = np.frombuffer(raw, "<i4", n * k, 8), np.frombuffer(raw, "<f4", n * k, 8 + 4 * n * k)
-                at = np.arange(n * k)
-                yield pa.RecordBatch.from_arrays([pa.array(at // k), pa.array((at % k).astype(np.int32)), pa.array(ids.astype(np.int64)), pa.array(dists.astype(np.float64))], names=["qid", "rank", "nid", "dist"])
+                for i in range(0, n * k, 1 << 16):
+                    at = np.arange(i, min(n * k, i + (1 << 16)))
+                    yield pa.RecordBatch.from_arrays([pa.array(at // k), pa.array((at % k).astype(np.int32)), pa.array(ids[at].astype(np.int64)), pa.array(dists[at].astype(np.float64))], names=["qid", "rank", "nid", "dist"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "qid long, rank int, nid long, dist double")
 
 
+def range_truth_chunks(found: DataFrame, n: int) -> Iterator[bytes]:
+    """A range ground truth of n queries: n, how many ids there are, each query's count, all ids, then all distances."""
+    held = packed(found, ["qid", "dist", "nid"], {"nid": "<i4", "dist": "<f4"})
+    counts = found.sparkSession.range(n).select(F.col("id").alias("qid")).join(found.groupBy("qid").agg(F.count("*").alias("c")), "qid", "left").select("qid", F.coalesce("c", F.lit(0)).alias("c"))
+    yield np.array([n, (held.agg(F.sum(F.length("nid"))).first()[0] or 0) // 4], "<i4").tobytes()
+    yield from chunks(packed(counts, ["qid"], {"c": "<i4"}), "c")
+    yield from chunks(held, "nid")
+    yield from chunks(held, "dist")
+
+
 def range_truth_bytes(found: DataFrame, n: int) -> bytes:
-    """A range ground truth of n queries; for test sets, which fit the driver."""
-    rows = sorted((r["qid"], r["dist"], r["nid"]) for r in found.select("qid", "nid", "dist").collect())
-    counts = np.bincount([r[0] for r in rows], minlength=n).astype("<i4") if rows else np.zeros(n, "<i4")
-    return np.array([n, len(rows)], "<i4").tobytes() + counts.tobytes() + np.array([r[2] for r in rows], "<i4").tobytes() + np.array([r[1] for r in rows], "<f4").tobytes()
+    """range_truth_chunks in one piece, for what fits the driver."""
+    return b"".join(range_truth_chunks(found, n))
 
 
 def read_graph_index(spark: SparkSession, path: str) -> DataFrame:

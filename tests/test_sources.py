@@ -70,3 +70,19 @@ def test_features(spark, tmp_path):
     data, types = files.read_features(spark, str(tmp_path / "c"))
     assert rows(data.select("row", "label", "feat", "val")) == [(0, 1, 0, 3), (0, 1, 1, 0), (1, 0, 0, 4), (1, 0, 1, 7)]
     assert rows(types) == [(0, True), (1, False)]
+
+
+def _no_collect(*_):
+    raise AssertionError("the driver collects rows")
+
+
+def _near(spark):
+    return spark.range(40_000).select((F.col("id") / 2).cast("long").alias("qid"), (F.col("id") % 2).cast("int").alias("rank"), (F.col("id") * 3).alias("nid"), (F.col("id") % 2 / 4).alias("dist")).repartition(3)
+
+
+def test_truth_is_packed_by_executors(spark, tmp_path, monkeypatch):
+    near = _near(spark)
+    with monkeypatch.context() as m:
+        m.setattr(type(near), "collect", _no_collect)
+        (tmp_path / "t").write_bytes(files.truth_bytes(near, 20_000, 2))
+    assert rows(files.read_truth(spark, str(tmp_path / "t"))) == rows(near)
