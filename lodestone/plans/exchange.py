@@ -145,7 +145,7 @@ def file_truth(spark, sf_dir):
 
 def file_range_truth(spark, sf_dir):
     path, near = P.new_path(spark, "truth"), _near(spark, sf_dir).where("rank < qid % 6")
-    X.put_bytes(spark, path, [X.range_truth_bytes(near, table(spark, sf_dir, "part").count())])
+    X.put_bytes(spark, path, X.range_truth_chunks(near, table(spark, sf_dir, "part").count()))
     return X.read_range_truth(spark, path)
 
 

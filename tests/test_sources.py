@@ -86,3 +86,12 @@ def test_truth_is_packed_by_executors(spark, tmp_path, monkeypatch):
         m.setattr(type(near), "collect", _no_collect)
         (tmp_path / "t").write_bytes(files.truth_bytes(near, 20_000, 2))
     assert rows(files.read_truth(spark, str(tmp_path / "t"))) == rows(near)
+
+
+def test_range_truth_is_packed_by_executors(spark, tmp_path, monkeypatch):
+    near = _near(spark).where("rank < qid % 3")
+    with monkeypatch.context() as m:
+        m.setattr(type(near), "collect", _no_collect)
+        m.setattr(type(near), "first", lambda df: next(df.toLocalIterator(), None))  # of one row
+        (tmp_path / "r").write_bytes(files.range_truth_bytes(near.select("qid", "nid", "dist"), 20_000))
+    assert rows(files.read_range_truth(spark, str(tmp_path / "r"))) == rows(near.select("qid", "nid", "dist"))
