@@ -119,9 +119,9 @@ def file_features(spark, sf_dir):
 
 def _vector_file(form: str):
     def query(spark, sf_dir):
-        """Whole-numbered vectors, which all forms hold exactly."""
+        """Whole-numbered vectors, which all forms hold exactly; a product of floats, as a whole number beside a float would make it a double."""
         path = P.new_path(spark, form)
-        v = vectors(spark, sf_dir).select("id", F.transform("vec", lambda x: F.floor(F.abs(x) * 100).cast("float")).alias("vec"))
+        v = vectors(spark, sf_dir).select("id", F.transform("vec", lambda x: F.floor(F.abs(x) * F.lit(100).cast("float")).cast("float")).alias("vec"))
         X.put_bytes(spark, path, X.vector_bytes(v, form))
         return X.read_vectors(spark, path, form).select("id", F.array_join(F.transform("vec", lambda x: x.cast("int").cast("string")), " ").alias("vec"))
 

@@ -95,3 +95,17 @@ def test_range_truth_is_packed_by_executors(spark, tmp_path, monkeypatch):
         m.setattr(type(near), "first", lambda df: next(df.toLocalIterator(), None))  # of one row
         (tmp_path / "r").write_bytes(files.range_truth_bytes(near.select("qid", "nid", "dist"), 20_000))
     assert rows(files.read_range_truth(spark, str(tmp_path / "r"))) == rows(near.select("qid", "nid", "dist"))
+
+
+@pytest.mark.parametrize("form", ["fvecs", "ivecs", "bvecs", "fbin", "ibin", "u8bin", "i8bin"])
+def test_vector_queries_multiply_floats(spark, tmp_path, form):
+    """0.29 as a float times 100 is 28.999999 as a double and 29 as a float."""
+    from lodestone.plans import exchange
+
+    duckdb = pytest.importorskip("duckdb")
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame([(0, [0.29, -0.58]), (1, [0.5, 0.0])], "vec_id long, embedding array<float>").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
+    want = sorted(con.execute(exchange.ORACLES[f"file_{form}"]).fetchall())
+    assert rows(exchange.QUERIES[f"file_{form}"](spark, str(tmp_path)).select("id", "vec")) == want == [(0, "29 58"), (1, "50 0")]
