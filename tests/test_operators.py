@@ -305,3 +305,47 @@ def test_generators(spark):
     assert ball.where("x * x + y * y + z * z > 1.0000001").count() == 0
     assert gen.rmat_graph(spark, 60, 300).where("u >= 64 or v >= 64").count() == 0
     assert rows(gen.random_ints(spark, 20, 9)) == rows(gen.random_ints(spark, 20, 9).repartition(3))
+
+
+def test_lazy_delete_builds_its_index_once(spark, tmp_path, monkeypatch):
+    import uuid
+
+    from lodestone.plans import learning
+
+    made, real = tmp_path / "made", vector.vamana_index
+    made.mkdir()
+    folder = str(made)
+
+    def counted(vectors):
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+                yield b
+
+        return real(vectors).mapInArrow(run, vector.INDEX)
+
+    monkeypatch.setattr(vector, "vamana_index", counted)
+    rng = np.random.default_rng(5)
+    data = [(i, rng.standard_normal(8).tolist(), i % 4) for i in range(60)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert [tuple(r) for r in learning.lazy_delete_check(spark, str(tmp_path)).collect()] == [(0, 0)]
+    assert len(list(made.iterdir())) == 1
+
+
+@pytest.mark.parametrize("metric", ["l2", "mips"])
+def test_prune_by_its_rule(metric):
+    """Against the rule one by one, with copies of the pruned row and of others."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((60, 6))
+    if metric == "l2":
+        x[10:14], x[20:25] = x[0], x[30]
+    g = vector.Graph(x, metric)
+    for p, degree, alpha in ((0, 8, 1.2), (30, 8, 1.0), (5, 60, 1.2)):
+        d = g.dist(x[p], np.arange(60))
+        left, want = sorted((i for i in range(60) if i != p), key=lambda i: (d[i], i)), []
+        while left and len(want) < degree:
+            near = left.pop(0)
+            want.append(near)
+            left = [i for i in left if alpha * g.dist(x[near], [i])[0] > d[i]]
+        assert g.prune(p, list(range(60)), degree, alpha) == want
