@@ -349,3 +349,27 @@ def test_prune_by_its_rule(metric):
             want.append(near)
             left = [i for i in left if alpha * g.dist(x[near], [i])[0] > d[i]]
         assert g.prune(p, list(range(60)), degree, alpha) == want
+
+
+def test_lsh_shuffles_no_pairs(spark):
+    """Against buckets and sketches one by one; plans join blocks alone, so no vector is copied beside a pair."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((150, 8))
+    x[20:30] = x[0]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    queries = vectors.where("id % 5 = 0")
+    coded = {r["id"]: (r["codes"], r["sketch"]) for r in vector.lsh_codes(vectors, 4, 6).collect()}
+    ones = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
+    want = {}
+    for a in range(0, 150, 5):
+        for b in range(150):
+            if a != b and any(ones(s, t) <= 1 for s, t in zip(coded[a][0], coded[b][0])):
+                want[a, b] = sum(ones(s, t) for s, t in zip(coded[a][1], coded[b][1])) / 512
+    found = vector.lsh_candidates(vectors, queries, 4, 6, 1, skip_self=True, block=40)
+    assert {(r[0], r[1]): r[2] for r in found.collect()} == want
+    near = [p for p, apart in want.items() if apart <= 0.4]
+    assert vector.lsh_computed(vectors, queries, 4, 6, 1, 0.4, skip_self=True, block=40).first()[0] == len(near)
+    dist = {(a, b): float(((x[a] - x[b]) ** 2).sum()) for a, b in near}
+    best = vector.lsh_knn(vectors, queries, 3, 4, 6, 1, 0.4, skip_self=True, block=40)
+    assert [r[:3] for r in rows(best.select("qid", "rank", "nid"))] == [(a, i, b) for a in range(0, 150, 5) for i, (_, b) in enumerate(sorted((d, q) for (p, q), d in dist.items() if p == a)[:3])]
+    assert best._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
