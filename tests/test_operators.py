@@ -373,3 +373,24 @@ def test_lsh_shuffles_no_pairs(spark):
     best = vector.lsh_knn(vectors, queries, 3, 4, 6, 1, 0.4, skip_self=True, block=40)
     assert [r[:3] for r in rows(best.select("qid", "rank", "nid"))] == [(a, i, b) for a in range(0, 150, 5) for i, (_, b) in enumerate(sorted((d, q) for (p, q), d in dist.items() if p == a)[:3])]
     assert best._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_nn_descent_meets_at_vias(spark, monkeypatch):
+    """No vector is joined to a pair; parts above the local limit, a via of many members and copies are whole."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((400, 6))
+    x[:40] = x[0]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    monkeypatch.setattr(vector, "with_distance", None)
+    monkeypatch.setattr(vector, "LOCAL_PART", 150)
+    sizes = vector.cluster_trees(vectors, 2, 30).groupBy("tree", "leaf").count()
+    assert sizes.agg(F.max("count"), F.sum("count")).first()[1] == 800 and sizes.agg(F.max("count")).first()[0] <= 30
+    found = vector.nn_descent(vectors, 8, trees=2, leaf=30, delta=0.0)
+    assert found.groupBy("id").count().where("count != 8").count() == 0 and found.select("id").distinct().count() == 400
+    truth = vector.exact_knn(vectors, vectors, 8, skip_self=True)
+    assert vector.recall(found.withColumnRenamed("id", "qid").where("qid >= 40"), truth.where("qid >= 40"), 8).first()[0] >= 0.95
+    members = vectors.select(F.lit(1).alias("via"), "id", "vec", (F.col("id") % 2 == 0).alias("fresh"), F.lit(9.0).alias("worst"))
+    got = vector._best(vector._local_join(members, 400, "l2"), 400)
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    want = {(a, b) for a in range(400) for b in range(400) if a != b and (a % 2 == 0 or b % 2 == 0) and d[a, b] <= 9}
+    assert {(r["qid"], r["nid"]) for r in got.collect()} == want
