@@ -394,3 +394,12 @@ def test_nn_descent_meets_at_vias(spark, monkeypatch):
     d = ((x[:, None] - x[None]) ** 2).sum(2)
     want = {(a, b) for a in range(400) for b in range(400) if a != b and (a % 2 == 0 or b % 2 == 0) and d[a, b] <= 9}
     assert {(r["qid"], r["nid"]) for r in got.collect()} == want
+
+
+def test_radius_search_broadcasts_no_points(spark):
+    points = spark.range(300).select("id", (F.col("id") * 37 % 101).cast("double").alias("x"), (F.col("id") * 53 % 97).cast("double").alias("y"))
+    found = geometry.radius_search(points, 6.0)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    at = {r["id"]: (r["x"], r["y"]) for r in points.collect()}
+    want = {(a, b) for a in at for b in at if a != b and (at[a][0] - at[b][0]) ** 2 + (at[a][1] - at[b][1]) ** 2 <= 36}
+    assert {(r["qid"], r["nid"]) for r in found.collect()} == want
