@@ -1,12 +1,15 @@
 """Delaunay triangulation, refinement, and their checks.
 
 A triangulation is one connected structure that every insertion changes, so it is built in one task; its
-input is bounded (max_points) and refused beyond that. The checks are distributed self-joins of edges.
+input is bounded (max_points) and refused beyond that. It is held in flat arrays whose places are used again, about
+50 bytes a triangle. The checks are distributed self-joins of edges.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +25,28 @@ class Triangulation:
     """Incremental Delaunay triangulation: triangles with neighbours, walking location, cavity insertion."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
-        self.x, self.y = x.tolist(), y.tolist()
-        self.corners: list[list[int]] = []
-        self.near: list[list[int]] = []  # neighbour across from each corner
-        self.alive: list[bool] = []
+        self.x, self.y = array("d", x.astype(float).tobytes()), array("d", y.astype(float).tobytes())
+        self.corners = array("i")  # three of each triangle
+        self.near = array("i")  # neighbour across from each corner
+        self.alive = bytearray()
+        self.free: list[int] = []  # places of triangles that are gone
+        self.made: list[int] = []  # by the last insertion
         self.last = 0
         self.rim: dict[tuple[int, int], int] = {}  # outer edges and their triangles
 
+    def put(self, a: int, b: int, c: int, *near: int) -> int:
+        """The place of a new triangle."""
+        if self.free:
+            k = self.free.pop()
+            self.corners[3 * k : 3 * k + 3], self.near[3 * k : 3 * k + 3] = array("i", (a, b, c)), array("i", near)
+            self.alive[k] = 1
+        else:
+            k = len(self.alive)
+            self.corners.extend((a, b, c))
+            self.near.extend(near)
+            self.alive.append(1)
+        return k
+
     def boundary(self, count: int = 10) -> None:
         """Far points around the box, and a fan over them to start from."""
         n = len(self.x)
@@ -39,10 +57,8 @@ class Triangulation:
             self.x.append(cx + r * math.cos(a))
             self.y.append(cy + r * math.sin(a))
         for i in range(1, count - 1):
-            k = len(self.corners)
-            self.corners.append([n, n + i, n + i + 1])
-            self.near.append([-1, k + 1 if i < count - 2 else -1, k - 1 if i > 1 else -1])
-            self.alive.append(True)
+            k = len(self.alive)
+            self.put(n, n + i, n + i + 1, -1, k + 1 if i < count - 2 else -1, k - 1 if i > 1 else -1)
             for a, b in ((n + i, n + i + 1), *(((n, n + i),) if i == 1 else ()), *(((n, n + i + 1),) if i == count - 2 else ())):
                 self.rim[a, b] = k
 
@@ -50,20 +66,20 @@ class Triangulation:
         return (self.x[b] - self.x[a]) * (p[1] - self.y[a]) - (self.y[b] - self.y[a]) * (p[0] - self.x[a])
 
     def in_circle(self, t: int, p: tuple[float, float]) -> bool:
-        a, b, c = self.corners[t]
+        a, b, c = self.corners[3 * t : 3 * t + 3]
         ax, ay, bx, by, cx, cy = self.x[a] - p[0], self.y[a] - p[1], self.x[b] - p[0], self.y[b] - p[1], self.x[c] - p[0], self.y[c] - p[1]
         return (ax * ax + ay * ay) * (bx * cy - cx * by) - (bx * bx + by * by) * (ax * cy - cx * ay) + (cx * cx + cy * cy) * (ax * by - bx * ay) > 0
 
     def locate(self, p: tuple[float, float]) -> int:
         t, steps = self.last, 0
         while True:
-            c = self.corners[t]
+            c = self.corners[3 * t : 3 * t + 3]
             for i in range(3):
                 k = (i + steps) % 3
                 if self.orient(c[(k + 1) % 3], c[(k + 2) % 3], p) < 0:
-                    if self.near[t][k] < 0:
+                    if self.near[3 * t + k] < 0:
                         return -1
-                    t = self.near[t][k]
+                    t = self.near[3 * t + k]
                     break
             else:
                 return t
@@ -73,13 +89,13 @@ class Triangulation:
         """Connect vertex v; False if it lies outside or on a vertex that is there. On a boundary edge of a triangle, both are given."""
         p = (self.x[v], self.y[v])
         start = within if edge else self.locate(p)
-        if start < 0 or any((self.x[c], self.y[c]) == p for c in self.corners[start]):
+        if start < 0 or any((self.x[c], self.y[c]) == p for c in self.corners[3 * start : 3 * start + 3]):
             return False
         cavity, stack, rim = {start}, [start], []
         while stack:
             t = stack.pop()
             for k in range(3):
-                s = self.near[t][k]
+                s = self.near[3 * t + k]
                 if s in cavity:
                     continue
                 if s >= 0 and self.in_circle(s, p):
@@ -89,9 +105,9 @@ class Triangulation:
             rim, grown = [], False
             for t in cavity:
                 for k in range(3):
-                    s = self.near[t][k]
+                    s = self.near[3 * t + k]
                     if s not in cavity:
-                        a, b = self.corners[t][(k + 1) % 3], self.corners[t][(k + 2) % 3]
+                        a, b = self.corners[3 * t + (k + 1) % 3], self.corners[3 * t + (k + 2) % 3]
                         if edge and {a, b} == set(edge):
                             continue
                         if self.orient(a, b, p) <= 0 and s >= 0:
@@ -104,31 +120,30 @@ class Triangulation:
             if not grown:
                 break
         for t in cavity:
-            self.alive[t] = False
+            self.alive[t] = 0
         starts: dict[int, int] = {}
         fresh = []
         for a, b, s, old in rim:
-            k = len(self.corners)
-            self.corners.append([a, b, v])
-            self.near.append([-1, -1, s])
-            self.alive.append(True)
+            k = self.put(a, b, v, -1, -1, s)
             if s >= 0:
-                self.near[s][self.near[s].index(old)] = k
+                self.near[3 * s + self.near[3 * s : 3 * s + 3].index(old)] = k
             else:
                 self.rim[min(a, b), max(a, b)] = k
             starts[a] = k
             fresh.append((b, k))
         for b, k in fresh:
             if (other := starts.get(b)) is not None:
-                self.near[k][0] = other
-                self.near[other][1] = k
+                self.near[3 * k] = other
+                self.near[3 * other + 1] = k
         if edge:  # its halves are outer edges now
             del self.rim[min(edge), max(edge)]
             for _, k in fresh:
-                a, b, _ = self.corners[k]
+                a, b, _ = self.corners[3 * k : 3 * k + 3]
                 for c, i in ((b, 0), (a, 1)):
-                    if self.near[k][i] < 0:
+                    if self.near[3 * k + i] < 0:
                         self.rim[min(c, v), max(c, v)] = k
+        self.free += cavity  # not before: neighbours are told apart by the old places
+        self.made = [k for _, k in fresh]
         self.last = fresh[0][1]
         return True
 
@@ -140,7 +155,7 @@ class Triangulation:
         return None
 
     def triangles(self) -> np.ndarray:
-        return np.array([c for c, a in zip(self.corners, self.alive) if a], np.int64).reshape(-1, 3)
+        return np.array(self.corners, np.int32).reshape(-1, 3)[np.frombuffer(self.alive, bool)]
 
 
 def spread_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -172,7 +187,7 @@ def _collected(points: DataFrame, function, schema: str, max_points: int) -> Dat
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [f for f in frames if len(f)]
         if parts:
-            yield function(pd.concat(parts).sort_values("id", ignore_index=True))
+            yield from function(pd.concat(parts).sort_values("id", ignore_index=True))
 
     return points.select(F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).coalesce(1).mapInPandas(run, schema)
 
@@ -180,13 +195,16 @@ def _collected(points: DataFrame, function, schema: str, max_points: int) -> Dat
 MESH = "kind string, a long, b long, c long, x double, y double"
 
 
-def _mesh(t: Triangulation, ids: list[int]) -> pd.DataFrame:
-    """Points (kind `point`, id in a) and triangles (kind `triangle`) of a triangulation."""
+def _mesh(t: Triangulation, ids: list[int], step: int = 100_000) -> Iterator[pd.DataFrame]:
+    """Points (kind `point`, id in a) and triangles (kind `triangle`) of a triangulation, in pieces."""
     top = max(ids, default=-1) + 1
     names = np.array([*ids, *range(top, top + len(t.x) - len(ids))], np.int64)
-    tri = names[t.triangles()]
-    points = pd.DataFrame({"kind": "point", "a": names, "b": -1, "c": -1, "x": t.x, "y": t.y})
-    return pd.concat([points, pd.DataFrame({"kind": "triangle", "a": tri[:, 0], "b": tri[:, 1], "c": tri[:, 2], "x": 0.0, "y": 0.0})], ignore_index=True)
+    x, y, triangles = np.array(t.x), np.array(t.y), t.triangles()
+    for i in range(0, len(names), step):
+        yield pd.DataFrame({"kind": "point", "a": names[i : i + step], "b": -1, "c": -1, "x": x[i : i + step], "y": y[i : i + step]})
+    for i in range(0, len(triangles), step):
+        tri = names[triangles[i : i + step]]
+        yield pd.DataFrame({"kind": "triangle", "a": tri[:, 0], "b": tri[:, 1], "c": tri[:, 2], "x": 0.0, "y": 0.0})
 
 
 def delaunay(points: DataFrame, max_points: int = 1_000_000) -> DataFrame:
@@ -211,20 +229,20 @@ def least_angle(p: list[tuple[float, float]]) -> float:
     return out
 
 
-def _refine(pdf: pd.DataFrame, angle: float, budget: int) -> pd.DataFrame:
+def _refine(pdf: pd.DataFrame, angle: float, budget: int) -> Iterator[pd.DataFrame]:
     t = _build(pdf)
     limit = len(t.x) + budget * max(1, len(pdf))
-    queue = [k for k, a in enumerate(t.alive) if a]
+    queue = deque(k for k, a in enumerate(t.alive) if a)
     while queue:
         k = queue.pop()
         if not t.alive[k]:
             continue
-        p = [(t.x[c], t.y[c]) for c in t.corners[k]]
+        p = [(t.x[c], t.y[c]) for c in t.corners[3 * k : 3 * k + 3]]
         if least_angle(p) >= angle:
             continue
         if len(t.x) >= limit:
             raise ValueError(f"more than {budget} times the input's points are needed")
-        if abs(t.orient(*t.corners[k][:2], p[2])) < 1e-300:
+        if abs(t.orient(*t.corners[3 * k : 3 * k + 2], p[2])) < 1e-300:
             continue
         x, y = circumcenter(*p[0], *p[1], *p[2])
         within, edge = k, t.encroached((x, y))
@@ -234,20 +252,19 @@ def _refine(pdf: pd.DataFrame, angle: float, budget: int) -> pd.DataFrame:
         if edge:  # a point there would be too near the boundary: the edge is halved instead
             within = t.rim[edge]
             x, y = (t.x[edge[0]] + t.x[edge[1]]) / 2, (t.y[edge[0]] + t.y[edge[1]]) / 2
-            queue.insert(0, k)
+            queue.appendleft(k)
         t.x.append(x)
         t.y.append(y)
         t.last = within
-        before = len(t.corners)
         if not t.insert(len(t.x) - 1, within, edge):
             t.x.pop()
             t.y.pop()
             continue
-        queue += range(before, len(t.corners))
+        queue += t.made  # a place may be in the queue for a triangle that is gone; the one there now is looked at again
     return _mesh(t, pdf.id.tolist())
 
 
-def refine(points: DataFrame, angle: float = MIN_ANGLE, budget: int = 16, max_points: int = 200_000) -> DataFrame:
+def refine(points: DataFrame, angle: float = MIN_ANGLE, budget: int = 16, max_points: int = 1_000_000) -> DataFrame:
     """The Delaunay mesh with circumcentres of thin triangles added until none has an angle below `angle`."""
     return _collected(points, lambda pdf: _refine(pdf, angle, budget), MESH, max_points)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import geometry as G
 from lodestone.operators import mesh as M
+from lodestone.operators.primitives import cut
 from lodestone.plans.inputs import FLAT_SQL, RECTANGLES_SQL, SOLID_SQL, flat_points, rectangles, scene, solid_points
 
 K, RADIUS, SOLID_RADIUS = 4, 250.0, 0.15
@@ -65,7 +66,7 @@ def delaunay_check(spark, sf_dir):
 
 
 def refine_check(spark, sf_dir):
-    mesh = M.refine(flat_points(spark, sf_dir))
+    mesh = cut(M.refine(flat_points(spark, sf_dir)))  # its points and triangles are read several times
     return M.thin_triangles(mesh, slack=1e-3).crossJoin(M.check_mesh(mesh).select("turned", "not_delaunay"))
 
 

@@ -403,3 +403,14 @@ def test_radius_search_broadcasts_no_points(spark):
     at = {r["id"]: (r["x"], r["y"]) for r in points.collect()}
     want = {(a, b) for a in at for b in at if a != b and (at[a][0] - at[b][0]) ** 2 + (at[a][1] - at[b][1]) ** 2 <= 36}
     assert {(r["qid"], r["nid"]) for r in found.collect()} == want
+
+
+def test_refine_takes_what_one_task_can_hold(spark):
+    """Places of triangles that are gone are used again, and 900,000 points are not refused."""
+    rng = np.random.default_rng(9)
+    import pandas as pd
+
+    t = mesh._build(pd.DataFrame({"id": np.arange(3000), "x": rng.random(3000), "y": rng.random(3000)}))
+    assert len(t.triangles()) == 2 * 3000 + 8 and len(t.alive) < 1.1 * len(t.triangles())
+    many = spark.range(900_000).select("id", F.col("id").cast("double").alias("x"), F.col("id").cast("double").alias("y"))
+    assert mesh.refine(many).columns == ["kind", "a", "b", "c", "x", "y"]
